@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 def local_time(text: Column, zone: str = "Asia/Seoul") -> Column:
     """ISO text with an offset to wall-clock time in ``zone``; bad text is NULL."""
-    return F.from_utc_timestamp(F.try_to_timestamp(text), zone)
+    instant = F.try_to_timestamp(text).cast("timestamp_ntz")  # rendered in the session zone
+    return F.convert_timezone(F.current_timezone(), F.lit(zone), instant)
 
 
 def naive_local(text: Column) -> Column:

@@ -40,6 +40,11 @@ def mean(a: Column) -> Column:
     return let(known(a), lambda v: F.try_divide(total(v), F.size(v)))
 
 
+def is_code(k):
+    """Predicate x == k. A keyword default in a lambda would be read as a second lambda argument."""
+    return lambda x: x == k
+
+
 def share(a: Column, predicate) -> Column:
     """Share of non-missing elements for which the predicate holds."""
     return let(known(a), lambda v: F.try_divide(F.size(F.filter(v, predicate)).cast("double"), F.size(v)))
@@ -282,7 +287,7 @@ def transition_entropy(a: Column, states) -> Column:
         def row(k):
             mine = F.filter(p, lambda z: z["f"] == k)
             return let(mine, lambda m: F.size(m) * F.coalesce(entropy_of_counts(F.array(*[
-                F.size(F.filter(m, lambda z, j=j: z["t"] == j)) for j in states]), 2.0), F.lit(0.0)))
+                F.size(F.filter(F.transform(m, lambda z: z["t"]), is_code(j))) for j in states]), 2.0), F.lit(0.0)))
 
         valid = F.size(p)
         return F.try_divide(sum((row(k) for k in states[1:]), row(states[0])), valid)
@@ -432,25 +437,17 @@ def cosinor(a: Column, hours: Column) -> Column:
     return guarded
 
 
-def prefix_sums(a: Column) -> Column:
-    """Running totals with a leading zero (size n + 1); missing counts as zero."""
-    return F.aggregate(
-        a,
-        F.struct(F.lit(0.0).alias("s"), F.array(F.lit(0.0)).alias("l")),
-        lambda t, x: F.struct(
-            (t["s"] + F.coalesce(x, F.lit(0.0))).alias("s"),
-            F.concat(t["l"], F.array(t["s"] + F.coalesce(x, F.lit(0.0)))).alias("l")),
-        lambda t: t["l"])
-
-
-def window_means(a: Column, width: int, min_share: float) -> Column:
-    """Mean of each complete window; NULL where fewer than ``min_share`` elements are known."""
-    seen = F.transform(a, lambda x: x.isNotNull().cast("double"))
-    return let(prefix_sums(a), lambda s: let(prefix_sums(seen), lambda c: F.transform(
-        positions(F.greatest(F.size(s) - width, F.lit(0))),
-        lambda i: F.when(
-            F.get(c, i + width) - F.get(c, i) >= width * min_share,
-            F.try_divide(F.get(s, i + width) - F.get(s, i), F.get(c, i + width) - F.get(c, i))))))
+def densify(where: Column, vals: Column, n: int) -> Column:
+    """Array of length n from sorted distinct positions and their values; gaps are NULL."""
+    def gap(k):
+        return F.array_repeat(F.lit(None).cast("double"), k)
+
+    prev = F.concat(F.array(F.lit(-1)), where)
+    body = F.zip_with(
+        F.zip_with(F.slice(prev, 1, F.size(where)), where, lambda p, q: q - p - 1), vals,
+        lambda k, v: F.concat(gap(k), F.array(v)))
+    tail = F.lit(n - 1) - F.coalesce(F.element_at(where, -1), F.lit(-1))
+    return F.concat(F.flatten(body), gap(tail))
 
 
 def theil_sen(a: Column) -> Column:

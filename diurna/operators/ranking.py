@@ -100,3 +100,14 @@ def ordinal(df: DataFrame, group, order_hex: str, tie: str, out: str = "idx") ->
     rn = F.row_number().over(Window.partitionBy(*group, "_piece").orderBy(order_hex, tie)) - 1
     return d.withColumn("_rn", rn).join(offsets, [*group, "_piece"]).withColumn(
         out, (F.col("_rn") + F.col("_off")).cast("bigint")).drop("_rn", "_off", "_piece")
+
+
+def spearman(df: DataFrame, group, x: str, y: str, min_n: int = 2) -> DataFrame:
+    """Rank correlation per group over complete pairs: rho and n."""
+    group = list(group)
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    rx = midranks(d, group, "_x").select(*group, "_x", F.col("midrank").alias("_rx"))
+    ry = midranks(d, group, "_y").select(*group, "_y", F.col("midrank").alias("_ry"))
+    j = d.join(rx, [*group, "_x"]).join(ry, [*group, "_y"])
+    varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry")) & (F.count("*") >= min_n)
+    return j.groupBy(*group).agg(F.when(varied, F.corr("_rx", "_ry")).alias("rho"), F.count("*").alias("n"))

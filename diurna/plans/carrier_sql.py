@@ -22,6 +22,24 @@ CTES: dict[str, str] = {
     "c_rec": """SELECT *, row_number() OVER (PARTITION BY subject_id, wk ORDER BY date, minute) - 1 AS pos,
       count(*) OVER (PARTITION BY subject_id, wk) AS n
       FROM (SELECT *, CAST(CAST(date_trunc('week', date) AS DATE) AS VARCHAR) AS wk FROM c_min)""",
+    "c_fin": """SELECT subject_id, wk, value, code, minute, row_number() OVER (PARTITION BY subject_id, wk ORDER BY pos) - 1 AS pos,
+      count(*) OVER (PARTITION BY subject_id, wk) AS n FROM c_rec WHERE value IS NOT NULL""",
+    "c_fill": """SELECT subject_id, wk, pos, n, CASE WHEN value IS NOT NULL THEN value WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv
+        ELSE pv + (nv - pv) * (pos - pp) / (np - pp) END AS value FROM (SELECT *,
+        last_value(value IGNORE NULLS) OVER w1 AS pv, last_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER w1 AS pp,
+        first_value(value IGNORE NULLS) OVER w2 AS nv, first_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER w2 AS np
+        FROM c_rec WINDOW w1 AS (PARTITION BY subject_id, wk ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+          w2 AS (PARTITION BY subject_id, wk ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
+    "c_prof": """SELECT s.subject_id, s.h AS hour, c.value FROM (SELECT subject_id, unnest(range(24)) AS h FROM c_subj) s
+      LEFT JOIN c_hour c ON c.subject_id = s.subject_id AND c.hour = s.h""",
+    "c_pfill": """SELECT subject_id, h AS hour, value, known FROM (SELECT subject_id, t - 24 AS h, known,
+        CASE WHEN value IS NOT NULL THEN value WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * (t - pt) / (nt - pt) END AS value
+        FROM (SELECT *, last_value(value IGNORE NULLS) OVER w1 AS pv, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER w1 AS pt,
+          first_value(value IGNORE NULLS) OVER w2 AS nv, first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER w2 AS nt,
+          count(value) OVER (PARTITION BY subject_id) // 3 AS known
+          FROM (SELECT subject_id, hour + 24 * k AS t, value FROM c_prof, (SELECT unnest([0, 1, 2]) AS k))
+          WINDOW w1 AS (PARTITION BY subject_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+            w2 AS (PARTITION BY subject_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))) WHERE h BETWEEN 0 AND 23""",
     "c_raw": """SELECT subject_id, date,
       string_agg(CASE WHEN minute % 11 = 0 THEN '...' WHEN minute % 13 = 0 THEN 'x1'
         ELSE CAST(value AS VARCHAR) END, '/' ORDER BY minute) || '/' AS txt,
@@ -47,6 +65,16 @@ CTES: dict[str, str] = {
     "c_long": """SELECT subject_id, date, day_index, is_weekend, channel, value FROM (
       SELECT subject_id, date, day_index, is_weekend, unnest(['v_max', 'click_v', 'purchase_v']) AS channel,
         unnest([v_max, click_v, purchase_v]) AS value FROM c_day)""",
+    "c_lp": """SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY subject_id, channel) AS n,
+      count(value) OVER (PARTITION BY subject_id, channel) AS nv, CASE WHEN value IS NOT NULL THEN count(value) OVER w - 1 END AS fpos,
+      max(day_index) OVER (PARTITION BY subject_id, channel) AS last_day
+      FROM c_long WINDOW w AS (PARTITION BY subject_id, channel ORDER BY day_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "c_lf": "SELECT * FROM c_lp WHERE value IS NOT NULL",
+    "c_mom": """SELECT f.subject_id, f.channel, max(f.nv)::DOUBLE AS nv, max(f.n) AS n, max(m) AS m, avg(pow(value - m, 2)) AS m2, avg(pow(value - m, 3)) AS m3,
+      avg(pow(value - m, 4)) AS m4, avg(abs(value - m)) AS mad, min(value) AS lo, max(value) AS hi, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.25) AS q25,
+      median(value) AS med, quantile_cont(value, 0.75) AS q75, quantile_cont(value, 0.9) AS p90
+      FROM c_lf f JOIN (SELECT subject_id, channel, avg(value) AS m FROM c_lf GROUP BY 1, 2) b ON b.subject_id = f.subject_id AND b.channel = f.channel GROUP BY 1, 2""",
+    "c_lk": "SELECT DISTINCT subject_id, channel FROM c_long",
     "c_subj": """SELECT DISTINCT CAST(user_id AS VARCHAR) AS subject_id, CAST(user_id % 3 AS INTEGER) AS y3,
       CAST(user_id % 3 > 0 AS INTEGER) AS y, CASE user_id % 3 WHEN 0 THEN 'CN' WHEN 1 THEN 'MCI' ELSE 'Dem' END AS diag
       FROM events""",

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from diurna.plans.carrier_sql import CTES
 from diurna.sources.carriers import Tables
 
+# Moves exact decimal halves off the rounding edge, where the last bit of a sum would decide.
+NUDGE = 2.7e-9
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -26,7 +29,7 @@ def with_carriers(sql: str) -> str:
                 needed.append(name)
 
     visit(sql)
-    ordered = [n for n in CTES if n in needed]
+    ordered = needed  # depth first, so a view follows the views it reads
     if not ordered:
         return sql
     head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in ordered)
@@ -46,7 +49,7 @@ def query(name: str, s: str = "", i: str = "", f: str = "", sql: str | None = No
         return (
             [F.col(c).cast("string").alias(c) for c in s.split()]
             + [F.col(c).cast("bigint").alias(c) for c in i.split()]
-            + [(F.round(F.col(c).cast("double"), digits) + F.lit(0.0)).alias(c) for c in f.split()]
+            + [(F.round(F.col(c).cast("double") + F.lit(NUDGE), digits) + F.lit(0.0)).alias(c) for c in f.split()]
         )
 
     def decorate(fn: Callable[[Tables], DataFrame]):
@@ -62,7 +65,7 @@ def query(name: str, s: str = "", i: str = "", f: str = "", sql: str | None = No
             cols = (
                 [f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in s.split()]
                 + [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in i.split()]
-                + [f'round(CAST("{c}" AS DOUBLE), {digits}) + 0.0 AS "{c}"' for c in f.split()]
+                + [f'round(CAST("{c}" AS DOUBLE) + {NUDGE}, {digits}) + 0.0 AS "{c}"' for c in f.split()]
             )
             ORACLE[name] = f"SELECT {', '.join(cols)} FROM (\n{with_carriers(sql.strip())}\n) AS q"
         return fn
