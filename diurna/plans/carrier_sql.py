@@ -95,6 +95,7 @@ CTES: dict[str, str] = {
       CAST({h("'y'", "o_custkey")} % 3 > 0 AS INTEGER) AS y, o_totalprice / 1000000.0 AS score FROM orders""",
     "c_vec": "SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(label >= 5 AS INTEGER) AS y, CAST(label % 3 AS INTEGER) AS y3, "
     "CAST(vec_id % 5 AS INTEGER) AS fold, " + ", ".join(f"CAST(embedding[{k}] AS DOUBLE) AS x{k}" for k in range(1, 9)) + " FROM embeddings",
+    "c_vn": "SELECT vec_id, label, y, y3, fold, " + ", ".join(f"CASE WHEN vec_id % 9 <> {k} THEN x{k} END AS x{k}" for k in range(1, 9)) + " FROM c_vec",
     "c_vl": "SELECT vec_id, label, y, y3, fold, feature, value FROM (SELECT vec_id, label, y, y3, fold, unnest(["
     + ", ".join(f"'x{k}'" for k in range(1, 9)) + "]) AS feature, unnest([" + ", ".join(f"x{k}" for k in range(1, 9)) + "]) AS value FROM c_vec)",
     "c_contrib": """SELECT vec_id, y, fold, feature, value,

@@ -32,9 +32,9 @@ def with_carriers(sql: str) -> str:
     ordered = needed  # depth first, so a view follows the views it reads
     if not ordered:
         return sql
-    head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in ordered)
+    head = "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in ordered)
     return head + "\n" + sql if not sql.lstrip().upper().startswith("WITH") else (
-        head + ",\n" + sql.lstrip()[4:]
+        head + ",\n" + re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", "", sql)
     )
 
 

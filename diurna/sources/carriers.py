@@ -189,6 +189,10 @@ class Tables:
             (F.col("vec_id") % 5).cast("int").alias("fold"),
             *[F.col("embedding")[k - 1].cast("double").alias(f"x{k}") for k in range(1, 9)])
 
+    @cached_property
+    def vectors_missing(self) -> DataFrame:
+        return self.vectors.withColumns({f"x{k}": F.when(F.col("vec_id") % 9 != k, F.col(f"x{k}")) for k in range(1, 9)})
+
     @cached_property
     def vector_long(self) -> DataFrame:
         return stack_columns(self.vectors, ["vec_id", "label", "y", "y3", "fold"], FEATURES, "feature")

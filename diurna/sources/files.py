@@ -105,3 +105,10 @@ def cached_table(spark: SparkSession, root: str, key: str, build) -> DataFrame:
             raise
     write_table(build(), path)
     return spark.read.parquet(path)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table used several times and read it back; survives executor loss."""
+    path = scratch(df.sparkSession, name)
+    write_table(df, path)
+    return df.sparkSession.read.parquet(path)
