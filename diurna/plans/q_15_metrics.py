@@ -258,7 +258,7 @@ def _(t):
 @query("leave_one_two_out_delta", i="removed evaluations", f="positive_fraction min_delta", sql=f"""
     WITH s AS (SELECT y3 AS t, {AM} AS a, CASE WHEN p0 * 1.3::DOUBLE >= p1 AND p0 * 1.3::DOUBLE >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS b FROM c_prob),
     c AS (SELECT t, a, b, count(*) AS n FROM s GROUP BY 1, 2, 3),
-    rm AS (SELECT 1 AS removed, t AS t1, a AS a1, b AS b1, NULL AS t2, NULL AS a2, NULL AS b2, n AS times FROM c
+    rm AS (SELECT 1 AS removed, t AS t1, a AS a1, b AS b1, NULL::INT AS t2, NULL::INT AS a2, NULL::INT AS b2, n AS times FROM c
       UNION ALL SELECT 2, x.t, x.a, x.b, z.t, z.a, z.b, CASE WHEN (x.t, x.a, x.b) = (z.t, z.a, z.b) THEN x.n * (x.n - 1) / 2 ELSE x.n * z.n END FROM c x JOIN c z ON (x.t, x.a, x.b) <= (z.t, z.a, z.b)),
     f AS (SELECT removed, t1, a1, b1, t2, a2, b2, times, k,
       sum(CASE WHEN c.t = k AND c.a = k THEN c.n ELSE 0 END) - (t1 = k AND a1 = k)::INT - coalesce((t2 = k AND a2 = k)::INT, 0) AS tpa, sum(CASE WHEN c.t = k THEN c.n ELSE 0 END) - (t1 = k)::INT - coalesce((t2 = k)::INT, 0) AS sup,
