@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.operators.contracts import frame_fingerprint
+from diurna.operators.ranking import one_row
 
 
 def log(df: DataFrame, check: str, passed: Column, detail: Column, severity: str = "critical") -> DataFrame:
@@ -77,7 +78,7 @@ def frozen(before: DataFrame, after: DataFrame, columns) -> DataFrame:
     a = frame_fingerprint(before, columns).withColumnsRenamed({"digest_a": "a1", "digest_b": "b1", "n_rows": "n1"})
     b = frame_fingerprint(after, columns).withColumnsRenamed({"digest_a": "a2", "digest_b": "b2", "n_rows": "n2"})
     same = (F.col("a1") == F.col("a2")) & (F.col("b1") == F.col("b2")) & (F.col("n1") == F.col("n2"))
-    return a.crossJoin(F.broadcast(b)).select("n1", "a1", "b1", same.cast("int").alias("unchanged"))
+    return a.transform(one_row, b).select("n1", "a1", "b1", same.cast("int").alias("unchanged"))
 
 
 def identifiers(df: DataFrame, subject: str, date: str, label: str, features) -> DataFrame:

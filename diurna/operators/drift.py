@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diurna.operators.neighbours import nearest
-from diurna.operators.ranking import cumulate, quantiles
+from diurna.operators.ranking import cumulate, one_row, quantiles
 
 
-def _cdf(long: DataFrame, feature: str, value: str, side: str) -> DataFrame:
-    c = cumulate(long, [feature], value, {"a": F.sum((F.col(side) == 0).cast("int")), "b": F.sum((F.col(side) == 1).cast("int")), "seq": F.max(F.lit(1))})
+def _cdf(long: DataFrame, feature: str, value: str, side: str, ranked: bool = False) -> DataFrame:
+    c = cumulate(long, [feature], value, {"a": F.sum((F.col(side) == 0).cast("int")), "b": F.sum((F.col(side) == 1).cast("int"))}, ranked=ranked)
     return c.withColumn("gap", F.abs(F.try_divide("cum_a", "tot_a") - F.try_divide("cum_b", "tot_b")))
 
 
@@ -22,7 +22,7 @@ def ks(long: DataFrame, feature: str, value: str, side: str) -> DataFrame:
 
 def wasserstein(long: DataFrame, feature: str, value: str, side: str) -> DataFrame:
     """Area between the two CDFs; the next distinct value is found by rank, an equi-join."""
-    c = _cdf(long, feature, value, side)
+    c = _cdf(long, feature, value, side, ranked=True)
     nxt = c.select(feature, (F.col("cum_seq") - 1).alias("cum_seq"), F.col(value).alias("_next"))
     return c.join(nxt, [feature, "cum_seq"]).groupBy(feature).agg(F.sum(F.col("gap") * (F.col("_next") - F.col(value))).alias("wasserstein"))
 
@@ -94,6 +94,6 @@ def memorisation(synthetic: DataFrame, train: DataFrame, holdout: DataFrame, col
         long = d if long is None else long.unionAll(d)
     q = quantiles(long, ["pair"], "distance", [0.05, 0.5]).groupBy().pivot("pair", list(parts)).agg(F.max("q50").alias("median"), F.max("q5").alias("p05"))
     rates = parts["train"].agg(F.count("*").alias("n_synthetic"), F.avg((F.col("distance") == 0).cast("double")).alias("exact_rate"), F.avg((F.col("distance") < near).cast("double")).alias("near_rate"))
-    return rates.crossJoin(F.broadcast(q)).select(  # one row each
+    return rates.transform(one_row, q).select(  # one row each
         "n_synthetic", F.col("train_median").alias("train_median"), F.col("train_p05").alias("train_p05"), "holdout_median", F.col("real_median").alias("baseline_median"),
         "exact_rate", "near_rate", F.try_divide("train_median", "holdout_median").alias("ratio"))

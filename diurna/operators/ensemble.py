@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from diurna.functions.numbers import clip
 from diurna.operators.metrics import roc_auc
-from diurna.operators.ranking import midranks, quantiles, spearman
+from diurna.operators.ranking import midranks, one_row, quantiles, spearman
 from diurna.operators.resample import bootstrap_weights
 from diurna.operators.sequences import reference_ecdf
 
@@ -107,7 +107,7 @@ def prior_baseline(train: DataFrame, test: DataFrame, label: str, classes) -> Da
     c = train.groupBy(label).agg(F.count("*").alias("c"))
     r = c.agg(*[(F.sum(F.when(F.col(label) == k, F.col("c")).otherwise(0)) / F.sum("c")).alias(f"p{k}") for k in classes],
               F.max(F.struct("c", (-F.col(label)).alias("l")))["l"].alias("_m"))
-    return test.crossJoin(F.broadcast(r.withColumn("majority", -F.col("_m")).drop("_m")))
+    return test.transform(one_row, r.withColumn("majority", -F.col("_m")).drop("_m"))
 
 
 # ------------------------------------------------------------------ contributions
@@ -139,7 +139,7 @@ def rank_stability(df: DataFrame, feature: str, value: str, fold: str, k: int) -
     r = m.withColumn("rank", F.row_number().over(Window.partitionBy(fold).orderBy(F.col("m").desc(), feature)))
     n = df.select(fold).distinct().agg(F.count("*").alias("_n"))
     return r.groupBy(feature).agg(F.avg("rank").alias("mean_rank"), F.stddev_samp("rank").alias("sd_rank"), F.min("rank").alias("min_rank"), F.max("rank").alias("max_rank"),
-                                  F.sum((F.col("rank") <= k).cast("int")).alias("folds_in_top")).crossJoin(F.broadcast(n)).withColumn(
+                                  F.sum((F.col("rank") <= k).cast("int")).alias("folds_in_top")).transform(one_row, n).withColumn(
         "always_top", (F.col("folds_in_top") == F.col("_n")).cast("int")).drop("_n")
 
 

@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from diurna.operators.metrics import roc_auc
+from diurna.operators.ranking import one_row
 from diurna.operators.resample import bootstrap_weights, permuted
 
 # Two-sided 95 percent t quantiles for 1..30 degrees of freedom, then normal.
@@ -76,7 +78,7 @@ def permutation_auc(scores: DataFrame, subject: str, score: str, label: str, per
 def permutation_p(null: DataFrame, observed: DataFrame, value: str) -> DataFrame:
     """(1 + #null >= observed) / (n + 1) and null percentiles; one row per permutation goes in."""
     obs = observed.select(F.col(value).alias("observed"))  # one row
-    j = null.crossJoin(F.broadcast(obs))
+    j = null.transform(one_row, obs)
     p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
     return j.groupBy("observed").agg(
         F.count("*").alias("n"), ((F.sum((F.col(value) >= F.col("observed")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"),
@@ -110,7 +112,7 @@ def winner_bias(scores: DataFrame, subject: str, score: str, label: str, candida
 
     obs = best(roc_auc(scores, [candidate], score, label), []).withColumnRenamed("gain", "observed_max")
     dr = best(bootstrap_auc(scores, subject, score, label, [candidate], draws, seed), ["draw"]).agg(F.avg("gain").alias("mean_max"), F.count("gain").alias("n_draws"))
-    return dr.crossJoin(F.broadcast(obs)).withColumn("bias", F.col("mean_max") - F.col("observed_max"))
+    return dr.transform(one_row, obs).withColumn("bias", F.col("mean_max") - F.col("observed_max"))
 
 
 def macro_f1(conf: Column, k: int = 3) -> Column:
@@ -142,13 +144,13 @@ def leave_out_deltas(df: DataFrame, truth: str, pred_a: str, pred_b: str, k: int
     def minus(conf, *ix):
         return F.transform(conf, lambda x, i: x - sum((F.when(i == F.col(c), 1).otherwise(0) for c in ix[1:]), F.when(i == F.col(ix[0]), 1).otherwise(0)))
 
-    one = cells.crossJoin(F.broadcast(totals)).select(
+    one = cells.transform(one_row, totals).select(
         F.lit(1).alias("removed"), F.col("n").alias("times"), (macro_f1(minus(F.col("ca"), "ia")) - macro_f1(minus(F.col("cb"), "ib"))).alias("delta"))
     other = cells.select(F.col("ia").alias("ja"), F.col("ib").alias("jb"), F.col("n").alias("m"))
     # at most k^3 x k^3 cell pairs, whatever the data size
     pairs = cells.join(other, (F.col("ia") * 100 + F.col("ib")) <= (F.col("ja") * 100 + F.col("jb")))
     times = F.when((F.col("ia") == F.col("ja")) & (F.col("ib") == F.col("jb")), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("m"))
-    two = pairs.crossJoin(F.broadcast(totals)).select(
+    two = pairs.transform(one_row, totals).select(
         F.lit(2).alias("removed"), times.cast("bigint").alias("times"),
         (macro_f1(minus(F.col("ca"), "ia", "ja")) - macro_f1(minus(F.col("cb"), "ib", "jb"))).alias("delta")).where("times > 0")
     return one.unionByName(two).groupBy("removed").agg(
@@ -184,7 +186,7 @@ def _incomplete_beta(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| >= |t|) for Student's t; Arrow-batched."""
     ok = t.notna() & df.notna() & (df > 0)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from diurna.functions.hashing import hash_int
 from diurna.operators.neighbours import nearest
+from diurna.operators.ranking import one_row
 from diurna.operators.screen import anova_f
 from diurna.sources.carriers import stack_columns
 
@@ -32,7 +33,7 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     """n / (k * n_class) as column ``weight``."""
     c = df.groupBy(label).agg(F.count("*").alias("_c"))
     t = c.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k"))
-    w = c.crossJoin(F.broadcast(t)).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))
+    w = c.transform(one_row, t).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))
     return df.join(w, label)
 
 
@@ -302,9 +303,12 @@ def _path_length(tree, x: np.ndarray) -> np.ndarray:
 def isolation_scores(df: DataFrame, columns, row_id: str, trees: int = 25, sample: int = 256, seed: int = 0) -> DataFrame:
     """Isolation-forest score per row. Each tree sees ``sample`` hash-chosen rows, so what reaches
     the driver and is shipped to tasks has a fixed size; all rows are scored in Arrow batches."""
-    rows = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), row_id)
-    w = Window.partitionBy("tree").orderBy(hash_int(seed, F.col("tree"), F.col(row_id)), row_id)
-    picked = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample)
+    n = df.count()
+    # The rows with the smallest hashes are wanted; a cut on the hash leaves a few times that many.
+    cut = int(min(1.0, 4.0 * sample / max(n, 1)) * 2 ** 32) if n > 16 * sample else 2 ** 32
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: F.struct(k.alias("tree"), hash_int(seed, k, F.col(row_id)).alias("h")))
+    rows = df.select(row_id, F.array(*[F.col(c).cast("double") for c in columns]).alias("x"), F.inline(F.filter(hashed, lambda z: z["h"] < cut)))
+    picked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("tree").orderBy("h", row_id))).where(F.col("_r") <= sample)
     groups: dict[int, list] = {}
     for r in picked.toLocalIterator():
         groups.setdefault(r.tree, []).append(r.x)

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from diurna.operators.ranking import cumulate, midranks, quantiles
 
 
-def counts_by_score(df: DataFrame, group, score: str, label: str, weight: str | None = None) -> DataFrame:
+def counts_by_score(df: DataFrame, group, score: str, label: str, weight: str | None = None, ranked: bool = False) -> DataFrame:
     """Positives and negatives per distinct score with running and total counts."""
     w = F.col(weight) if weight else F.lit(1)
     return cumulate(df, group, score, {
-        "pos": F.sum(F.when(F.col(label) == 1, w).otherwise(0)), "neg": F.sum(F.when(F.col(label) == 0, w).otherwise(0)), "seq": F.max(F.lit(1))})
+        "pos": F.sum(F.when(F.col(label) == 1, w).otherwise(0)), "neg": F.sum(F.when(F.col(label) == 0, w).otherwise(0))}, ranked=ranked)
 
 
 def auc_of(c: DataFrame, group) -> DataFrame:
@@ -125,7 +125,7 @@ def roc_points(df: DataFrame, group, score: str, label: str) -> DataFrame:
     equi-join, because they may lie in another value range.
     """
     group = list(group)
-    c = counts_by_score(df, group, score, label)
+    c = counts_by_score(df, group, score, label, ranked=True)
     tp = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
     fp = F.col("tot_neg") - F.col("cum_neg") + F.col("neg")
     d = c.select(*group, F.col(score).alias("cut"), "pos", "neg", F.col("cum_seq").alias("r"), F.col("tot_seq").alias("n_cuts"),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.functions.hashing import hash_int
+from diurna.operators.ranking import one_row
 
 BLOCK = 1024
 PIVOTS = 64
@@ -58,7 +59,7 @@ def _pair_blocks(q: DataFrame, r: DataFrame, keys, block: int):
     nq, nr = sizes(q, "_nq"), sizes(r, "_nr")
 
     def side(d, row_id, own, other, mine, theirs):
-        d = d.join(nq, keys).join(nr, keys) if keys else d.crossJoin(F.broadcast(nq)).crossJoin(F.broadcast(nr))
+        d = d.join(nq, keys).join(nr, keys) if keys else d.transform(one_row, nq).transform(one_row, nr)
         d = d.withColumn(own, F.pmod(hash_int("block", F.col(row_id)), F.col(mine)))
         d = d.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(theirs) - 1)))
         return d.withColumn("_pair", F.concat_ws(":", *keys, "_qb", "_rb")).drop("_nq", "_nr", "_qb", "_rb", *keys).groupBy("_pair")
@@ -89,18 +90,22 @@ def nearest(queries: DataFrame, reference: DataFrame, columns, k: int, query_id:
     # A fixed number of pivots, so the one-row array that is broadcast has a fixed size.
     piv = r.orderBy(hash_int("pivot", F.col("rid")), "rid").limit(pivots).agg(F.sort_array(F.collect_list(F.struct("rid", "rx"))).alias("_p"))
     gaps = lambda x: F.transform("_p", lambda z: _distance(z["rx"], F.col(x)))
-    rc = r.crossJoin(F.broadcast(piv)).withColumn("_d", gaps("rx")).withColumns({
+    rc = r.transform(one_row, piv).withColumn("_d", gaps("rx")).withColumns({
         "cell": (F.array_position("_d", F.array_min("_d")) - 1).cast("int"), "_r": F.array_min("_d")}).drop("_p", "_d")
-    qc = q.crossJoin(F.broadcast(piv)).withColumn("_d", gaps("qx")).drop("_p")
+    qc = q.transform(one_row, piv).withColumn("_d", gaps("qx")).drop("_p")
     own = qc.withColumn("cell", (F.array_position("_d", F.array_min("_d")) - 1).cast("int"))
     ref = rc.select("rid", "rx", "cell")
     first = _merge(_compare(own.select("qid", "qx", "cell"), ref, ["cell"], k, skip_self, block), k)
     bound = first.where(F.col("rank") == k).select("qid", F.col("dist").alias("_bound"))
     radius = rc.groupBy("cell").agg(F.max("_r").alias("_radius"))  # at most ``pivots`` rows
-    others = own.withColumnRenamed("cell", "_own").join(bound, "qid", "left").select(
-        "qid", "qx", "_own", "_bound", F.posexplode("_d").alias("cell", "_gap")).where(F.col("cell") != F.col("_own"))
-    others = others.join(F.broadcast(radius), "cell").where(
-        F.col("_bound").isNull() | (F.col("_gap") - F.col("_radius") <= F.col("_bound") * (1 + 1e-9) + 1e-12))
+    radii = radius.agg(F.map_from_entries(F.collect_list(F.struct("cell", "_radius"))).alias("_radii"))
+    # Cells that may still hold a closer row, decided inside the row: nothing is exploded in vain.
+    reach = F.coalesce(F.col("_bound") * (1 + 1e-9) + 1e-12, F.lit(float("inf")))
+    open_cells = F.filter(
+        F.transform("_d", lambda g, i: F.struct(i.alias("cell"), g.alias("gap"))),
+        lambda z: (z["cell"] != F.col("cell")) & (z["gap"] - F.try_element_at("_radii", z["cell"]) <= reach))
+    others = own.join(bound, "qid", "left").transform(one_row, radii).select("qid", "qx", F.explode(open_cells).alias("_z")).select(
+        "qid", "qx", F.col("_z.cell").alias("cell"))
     second = _compare(others.select("qid", "qx", "cell"), ref, ["cell"], k, skip_self, block)
     return _merge(first.select("qid", "rid", "dist").unionByName(second), k)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diurna.functions.numbers import clip, signed_log
-from diurna.operators.ranking import quantile_name, quantiles
+from diurna.operators.ranking import one_row, quantile_name, quantiles
 from diurna.sources.carriers import stack_columns
 
 
@@ -93,7 +93,7 @@ def signed_log_scale(df: DataFrame, train: DataFrame, columns, heavy, low: float
     d, tr = clip_to_train(d, tr, columns, low, high)
     params = quantile_params(tr, columns, {"q1": 0.25, "med": 0.5, "q3": 0.75})
     sds = tr.agg(*[F.stddev_pop(c).alias(f"{c}__sd") for c in columns])
-    params = params.crossJoin(F.broadcast(sds))  # one row each
+    params = params.transform(one_row, sds)  # one row each
 
     def scaled(c):
         iqr, sd = p(c, "q3") - p(c, "q1"), p(c, "sd")
@@ -121,4 +121,4 @@ def scope_record(fitted: DataFrame, scored: DataFrame, subject: str) -> DataFram
     f = fitted.select(subject).distinct()
     rec = f.agg(F.count("*").alias("n_fitted"), F.bit_xor(h).alias("digest"))
     hit = scored.select(subject).distinct().join(f, subject, "left_semi").agg(F.count("*").alias("n_scored_and_fitted"))
-    return rec.crossJoin(F.broadcast(hit))
+    return rec.transform(one_row, hit)

@@ -14,38 +14,51 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row frame (always a global aggregate, so its size does not depend on the data)."""
+    return df.crossJoin(F.broadcast(row))
+
+
 def _attach(df: DataFrame, small: DataFrame, group: list[str]) -> DataFrame:
     """Join per-group facts; without a group the facts are one row."""
-    return df.join(small, group) if group else df.crossJoin(F.broadcast(small))
+    return df.join(small, group) if group else df.transform(one_row, small)
 
 
-def with_ranges(d: DataFrame, group: list[str], value: str, ranges: int = RANGES) -> DataFrame:
+def with_ranges(d: DataFrame, group: list[str], value: str, sums, ranges: int = RANGES) -> DataFrame:
     cuts = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    edges = d.groupBy(*group).agg(F.percentile_approx(value, cuts, F.lit(20 * ranges)).alias("_edges"))
+    # Always true; it only names the sums, so that this branch is not pruned to another
+    # aggregation and the exchange of distinct values is computed once for all branches.
+    seen = F.abs(F.hash(*sums).cast("bigint")) >= 0
+    edges = d.groupBy(*group).agg(F.percentile_approx(F.when(seen, F.col(value)), cuts, F.lit(20 * ranges)).alias("_edges"))
     return _attach(d, edges, group).withColumn(
         "_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
 
 
-def cumulate(df: DataFrame, group, value: str, sums: dict[str, Column], ranges: int = RANGES) -> DataFrame:
-    """Distinct (group, value) rows with each sum, its running total ``cum_*`` and group total ``tot_*``."""
+def cumulate(df: DataFrame, group, value: str, sums: dict[str, Column], ranges: int = RANGES, ranked: bool = False) -> DataFrame:
+    """Distinct (group, value) rows with each sum, its running total ``cum_*`` and group total ``tot_*``.
+
+    ``ranked`` adds ``cum_seq``, the position of the value among the distinct values, and ``tot_seq``.
+    """
     group = list(group)
     d = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(*[e.alias(k) for k, e in sums.items()])
-    d = with_ranges(d, group, value, ranges)
-    run = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    inside = d.withColumns({f"cum_{k}": F.sum(k).over(run) for k in sums})
-    totals = d.groupBy(*group, "_range").agg(*[F.sum(k).alias(k) for k in sums])
+    d = with_ranges(d, group, value, list(sums), ranges)
+    part = Window.partitionBy(*group, "_range").orderBy(value)
+    run = part.rowsBetween(Window.unboundedPreceding, 0)
+    inside = d.withColumns({**{f"cum_{k}": F.sum(k).over(run) for k in sums}, **({"cum_seq": F.row_number().over(part)} if ranked else {})})
+    names = [*sums, "seq"] if ranked else list(sums)
+    totals = d.groupBy(*group, "_range").agg(*[F.sum(k).alias(k) for k in sums], *([F.count("*").alias("seq")] if ranked else []))
     key = group if group else [F.lit(0)]
     before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*key)
     offsets = totals.select(
         *group, "_range",
-        *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_off_{k}") for k in sums],
-        *[F.sum(k).over(whole).alias(f"tot_{k}") for k in sums])
+        *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_off_{k}") for k in names],
+        *[F.sum(k).over(whole).alias(f"tot_{k}") for k in names])
     out = inside.join(offsets, [*group, "_range"])
     return out.select(
         *group, value, *sums,
-        *[(F.col(f"cum_{k}") + F.col(f"_off_{k}")).alias(f"cum_{k}") for k in sums],
-        *[f"tot_{k}" for k in sums])
+        *[(F.col(f"cum_{k}") + F.col(f"_off_{k}")).alias(f"cum_{k}") for k in names],
+        *[f"tot_{k}" for k in names])
 
 
 def quantile_name(q: float) -> str:

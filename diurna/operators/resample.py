@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from diurna.functions.hashing import hash_int, hash_unit, seeded_md5
 from diurna.operators.neighbours import nearest
 from diurna.operators.prep import standard_scale
-from diurna.operators.ranking import cumulate, ordinal
+from diurna.operators.ranking import cumulate, one_row, ordinal
 from diurna.sources.files import materialise
 
 
@@ -27,7 +27,7 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
 def undersample_random(train: DataFrame, row_id: str, label: str, ratio: float, seed: int) -> DataFrame:
     """All minority rows and round(ratio * n_min) majority rows in hash order."""
     d = ordinal(train.withColumn("_hx", seeded_md5(seed, F.col(row_id))), [label], "_hx", row_id)
-    d = d.crossJoin(F.broadcast(class_sizes(train, label)))
+    d = d.transform(one_row, class_sizes(train, label))
     return d.where((F.col(label) == F.col("minority")) | (F.col("idx") < F.bround(F.col("n_min") * F.lit(ratio)))).select(*train.columns)
 
 
@@ -38,12 +38,12 @@ def subject_quotas(train: DataFrame, subject: str, label: str, ratio: float, see
     subjects are wanted, subjects are drawn in hash order.
     """
     size = class_sizes(train, label)
-    maj = train.crossJoin(F.broadcast(size)).where(F.col(label) != F.col("minority"))
+    maj = train.transform(one_row, size).where(F.col(label) != F.col("minority"))
     per = maj.groupBy(subject).agg(F.count("*").alias("c"), F.max(F.bround(F.col("n_min") * F.lit(ratio))).cast("bigint").alias("keep"), F.max("n_maj").alias("tot"))
     exact = F.col("c") * F.col("keep") / F.col("tot")
     per = per.withColumns({"_fr": exact - F.floor(exact), "alloc": F.greatest(F.lit(1), F.floor(exact)).cast("bigint")})
     sums = per.agg(F.sum("alloc").alias("_sa"), F.count("*").alias("_ns"))
-    per = per.crossJoin(F.broadcast(sums))
+    per = per.transform(one_row, sums)
     # remaining > 0: one more each, largest fraction first (ties in hash order). It never exceeds the subjects with room, so one round is exact.
     up = per.where(F.col("alloc") < F.col("c")).select(subject, (-F.col("_fr")).alias("_nf"), F.md5(subject).alias("_hx"))
     ahead = cumulate(up, [], "_nf", {"cnt": F.count("*")}).select("_nf", (F.col("cum_cnt") - F.col("cnt")).alias("_ahead"))
@@ -52,7 +52,7 @@ def subject_quotas(train: DataFrame, subject: str, label: str, ratio: float, see
     level = _level(per)
     hx = seeded_md5(seed, F.col(subject))
     drawn = ordinal(per.select(subject, hx.alias("_hx")), [], "_hx", subject).select(subject, F.col("idx").alias("_draw"))
-    j = per.join(up, subject, "left").join(drawn, subject).crossJoin(F.broadcast(level))
+    j = per.join(up, subject, "left").join(drawn, subject).transform(one_row, level)
     cut = j.where("_sa > keep and alloc > _level").withColumn("_key", F.md5(F.col(subject)))
     cut = ordinal(cut, [], "_key", subject).select(subject, F.col("idx").alias("_cut"))
     j = j.join(cut, subject, "left")
@@ -78,7 +78,7 @@ def _level(per: DataFrame) -> DataFrame:
 def undersample_balanced(train: DataFrame, subject: str, row_id: str, label: str, ratio: float, seed: int) -> DataFrame:
     quotas = subject_quotas(train, subject, label, ratio, seed).select(subject, "quota")
     d = ordinal(train.withColumn("_hx", seeded_md5(seed, F.col(row_id))), [subject, label], "_hx", row_id)
-    d = d.crossJoin(F.broadcast(class_sizes(train, label))).join(quotas, subject, "left")
+    d = d.transform(one_row, class_sizes(train, label)).join(quotas, subject, "left")
     return d.where((F.col(label) == F.col("minority")) | (F.col("idx") < F.col("quota"))).select(*train.columns)
 
 
@@ -91,7 +91,7 @@ def sampling_report(before: DataFrame, after: DataFrame, subject: str, label: st
     top = after.groupBy(subject).agg(F.count("*").alias("_c")).agg(F.max("_c").alias("_mx"), F.sum("_c").alias("_sm"))
     r = b
     for x in (a, lost, top, size):
-        r = r.crossJoin(F.broadcast(x))  # all one row
+        r = r.transform(one_row, x)  # all one row
     maj_after = F.when(F.col("minority") == 1, F.col("n_after") - F.col("pos_after")).otherwise(F.col("pos_after"))
     return r.select("n_before", "pos_before", "n_after", "pos_after", "subjects_lost", (F.col("_mx") / F.col("_sm")).alias("top_subject_share"),
                     (F.col("subjects_lost") > 0).cast("int").alias("warn_lost"), (F.col("_mx") / F.col("_sm") > 0.10).cast("int").alias("warn_dominant"),
@@ -101,7 +101,7 @@ def sampling_report(before: DataFrame, after: DataFrame, subject: str, label: st
 def deficit_slots(df: DataFrame, row_id: str, label: str) -> DataFrame:
     """slot 0 .. (n_maj - n_min - 1): the surplus majority rows themselves number the rows to be made."""
     d = ordinal(df.withColumn("_hx", F.md5(F.col(row_id).cast("string"))), [label], "_hx", row_id)
-    d = d.crossJoin(F.broadcast(class_sizes(df, label))).where((F.col(label) != F.col("minority")) & (F.col("idx") >= F.col("n_min")))
+    d = d.transform(one_row, class_sizes(df, label)).where((F.col(label) != F.col("minority")) & (F.col("idx") >= F.col("n_min")))
     return d.select((F.col("idx") - F.col("n_min")).alias("slot"), "minority", "n_min")
 
 
@@ -110,7 +110,7 @@ def indexed(df: DataFrame, row_id: str) -> DataFrame:
 
 
 def minority_rows(df: DataFrame, label: str) -> DataFrame:
-    return df.crossJoin(F.broadcast(class_sizes(df, label))).where(F.col(label) == F.col("minority")).select(*df.columns)
+    return df.transform(one_row, class_sizes(df, label)).where(F.col(label) == F.col("minority")).select(*df.columns)
 
 
 def oversample_random(df: DataFrame, row_id: str, label: str, seed: int) -> DataFrame:
@@ -137,7 +137,7 @@ def interpolate(slots: DataFrame, seeds: DataFrame, nn: DataFrame, columns, row_
 def _source(slots: DataFrame, seeds: DataFrame, row_id: str, seed: int) -> DataFrame:
     src = indexed(seeds, row_id).select("idx", "n", F.col(row_id).alias("source_id"))
     size = seeds.agg(F.count("*").alias("_n"))
-    s = slots.crossJoin(F.broadcast(size)).withColumn("idx", F.pmod(hash_int(seed, "i", F.col("slot")), F.col("_n")))
+    s = slots.transform(one_row, size).withColumn("idx", F.pmod(hash_int(seed, "i", F.col("slot")), F.col("_n")))
     return s.join(src.drop("n"), "idx").select("slot", "source_id")
 
 
@@ -150,7 +150,7 @@ def smote(df: DataFrame, columns, row_id: str, label: str, k: int = 5, seed: int
 def majority_share(df: DataFrame, z: DataFrame, columns, row_id: str, label: str, k: int) -> DataFrame:
     """Share of majority rows among the k nearest of all rows, for each minority row, in standardised space."""
     nn = nearest(minority_rows(z, label), z, columns, k, row_id, row_id, skip_self=True)
-    lab = df.crossJoin(F.broadcast(class_sizes(df, label))).select(F.col(row_id).alias("rid"), (F.col(label) != F.col("minority")).cast("int").alias("_m"))
+    lab = df.transform(one_row, class_sizes(df, label)).select(F.col(row_id).alias("rid"), (F.col(label) != F.col("minority")).cast("int").alias("_m"))
     return materialise(nn.join(lab, "rid").groupBy("qid").agg(F.avg("_m").alias("share")).withColumnRenamed("qid", row_id), "share")
 
 
@@ -160,7 +160,7 @@ def borderline_smote(df: DataFrame, columns, row_id: str, label: str, k: int = 5
     share = majority_share(df, z, columns, row_id, label, k)
     flagged = minority_rows(df, label).join(share, row_id).withColumn("_d", ((F.col("share") >= 0.5) & (F.col("share") < 1)).cast("int"))
     n = flagged.agg(F.sum("_d").alias("_nd"))
-    seeds = flagged.crossJoin(F.broadcast(n)).where((F.col("_nd") < 2) | (F.col("_d") == 1)).select(*df.columns)
+    seeds = flagged.transform(one_row, n).where((F.col("_nd") < 2) | (F.col("_d") == 1)).select(*df.columns)
     zs = z.join(seeds.select(row_id), row_id, "left_semi")
     nn = materialise(nearest(zs, zs, columns, k, row_id, row_id, skip_self=True), "nn")
     return interpolate(_source(deficit_slots(df, row_id, label), seeds, row_id, seed), seeds, nn, columns, row_id, k, seed)
@@ -170,8 +170,8 @@ def adasyn(df: DataFrame, columns, row_id: str, label: str, k: int = 5, seed: in
     """round(share_i / sum(share) * deficit) synthetic rows per minority row."""
     z = standard_scale(df, df, columns)
     share = majority_share(df, z, columns, row_id, label, k)
-    tot = share.agg(F.sum("share").alias("_t")).crossJoin(F.broadcast(class_sizes(df, label)))
-    g = share.crossJoin(F.broadcast(tot)).withColumn("_g", F.bround(F.try_divide(F.col("share"), F.col("_t")) * (F.col("n_maj") - F.col("n_min"))).cast("int"))
+    tot = share.agg(F.sum("share").alias("_t")).transform(one_row, class_sizes(df, label))
+    g = share.transform(one_row, tot).withColumn("_g", F.bround(F.try_divide(F.col("share"), F.col("_t")) * (F.col("n_maj") - F.col("n_min"))).cast("int"))
     slots = g.where("_g > 0").select(F.col(row_id).alias("source_id"), F.explode(F.sequence(F.lit(1), F.col("_g"))).alias("_j"))
     slots = slots.select("source_id", F.concat_ws("-", "source_id", "_j").alias("slot"))
     pos = minority_rows(df, label)
@@ -192,7 +192,7 @@ def tomek_links(df: DataFrame, columns, row_id: str, label: str) -> DataFrame:
 
 def smote_tomek(df: DataFrame, columns, row_id: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
     """Rows after SMOTE with both members of every Tomek link removed; synthetic ids are negative."""
-    made = smote(df, columns, row_id, label, k, seed).crossJoin(F.broadcast(class_sizes(df, label))).select(
+    made = smote(df, columns, row_id, label, k, seed).transform(one_row, class_sizes(df, label)).select(
         (-F.col("slot") - 1).cast("bigint").alias(row_id), F.col("minority").alias(label), *columns)
     both = df.select(F.col(row_id).cast("bigint").alias(row_id), F.col(label).cast("int").alias(label), *columns).unionByName(made)
     both = materialise(both, "smote")
@@ -204,7 +204,7 @@ def smote_tomek(df: DataFrame, columns, row_id: str, label: str, k: int = 5, see
 def postprocess_synthetic(synthetic: DataFrame, train: DataFrame, columns, non_negative=()) -> DataFrame:
     """Clipped rows with counts of the violations found in each row."""
     params = train.agg(*[e for c in columns for e in (F.min(c).alias(f"{c}__lo"), F.max(c).alias(f"{c}__hi"))])
-    d = synthetic.crossJoin(F.broadcast(params))  # one row
+    d = synthetic.transform(one_row, params)  # one row
     base = {c: (F.greatest(F.col(c), F.lit(0.0)) if c in non_negative else F.col(c)) for c in columns}
     add = lambda xs: sum(xs, F.lit(0))
     return d.select(
@@ -218,7 +218,7 @@ def with_provenance(synthetic: DataFrame, train: DataFrame, subject: str, genera
     """Literal provenance and an order-free digest of the subjects the generator was fitted on."""
     h = F.conv(F.substring(F.md5(F.col(subject).cast("string")), 1, 15), 16, 10).cast("bigint")
     digest = train.select(subject).distinct().agg(F.bit_xor(h).alias("source_digest"), F.count("*").alias("source_subjects"))
-    return synthetic.crossJoin(F.broadcast(digest)).withColumns({
+    return synthetic.transform(one_row, digest).withColumns({
         "generator": F.lit(generator), "gen_seed": F.lit(seed), "source_class": source_class, "is_synthetic": F.lit(1)})
 
 
@@ -239,7 +239,7 @@ def subject_balanced_weights(df: DataFrame, subject: str, label: str) -> DataFra
     cw = class_weights(per, label).select(label, F.col("weight").alias("_cw"))
     d = per.join(cw, label).withColumn("_raw", F.col("_cw") / F.col("rows"))
     tot = d.agg((F.sum("rows") / F.sum(F.col("_raw") * F.col("rows"))).alias("_scale"))
-    return d.crossJoin(F.broadcast(tot)).select(subject, label, "rows", (F.col("_raw") * F.col("_scale")).alias("weight"))
+    return d.transform(one_row, tot).select(subject, label, "rows", (F.col("_raw") * F.col("_scale")).alias("weight"))
 
 
 def bootstrap_weights(subjects: DataFrame, subject: str, draws: int, seed: int, by=(), carry=()) -> DataFrame:
@@ -275,4 +275,4 @@ def prevalence_matched(df: DataFrame, row_id: str, label: str, target: float, re
                  F.when(neg <= F.col("_n0"), neg).otherwise(F.col("_n0")).alias("_q0"))
     d = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     d = ordinal(d.withColumn("_hx", seeded_md5(seed, F.col("repeat"), F.col(row_id))), ["repeat", label], "_hx", row_id)
-    return d.crossJoin(F.broadcast(q)).where(F.col("idx") < F.when(F.col(label) == 1, F.col("_q1")).otherwise(F.col("_q0"))).select("repeat", *df.columns)
+    return d.transform(one_row, q).where(F.col("idx") < F.when(F.col(label) == 1, F.col("_q1")).otherwise(F.col("_q0"))).select("repeat", *df.columns)

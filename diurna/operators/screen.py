@@ -9,7 +9,7 @@ from diurna.functions.hashing import seeded_md5
 from diurna.operators.drift import pair_correlations
 from diurna.operators.metrics import roc_auc
 from diurna.operators.prep import median_impute
-from diurna.operators.ranking import midranks, ordinal, quantiles
+from diurna.operators.ranking import midranks, one_row, ordinal, quantiles
 from diurna.operators.selection import column_facts
 
 
@@ -82,8 +82,8 @@ def jaccard(sets: DataFrame, fold: str, feature: str) -> DataFrame:
     b = s.select(F.col(fold).alias("_f2"), F.col("s").alias("s2"))
     j = s.join(b, F.col(fold) < F.col("_f2")).select((F.size(F.array_intersect("s", "s2")) / F.size(F.array_union("s", "s2"))).alias("j"))
     n = sets.select(fold).distinct().agg(F.count("*").alias("n_sets"))
-    always = sets.groupBy(feature).agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).agg(F.sum((F.col("c") == F.col("n_sets")).cast("int")).alias("n_always"))
-    return j.agg(F.avg("j").alias("mean_jaccard"), F.min("j").alias("min_jaccard")).crossJoin(F.broadcast(always)).crossJoin(F.broadcast(n))
+    always = sets.groupBy(feature).agg(F.count("*").alias("c")).transform(one_row, n).agg(F.sum((F.col("c") == F.col("n_sets")).cast("int")).alias("n_always"))
+    return j.agg(F.avg("j").alias("mean_jaccard"), F.min("j").alias("min_jaccard")).transform(one_row, always).transform(one_row, n)
 
 
 def redundancy(df: DataFrame, columns, limit: float = 0.95) -> DataFrame:

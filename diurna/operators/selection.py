@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.functions.numbers import clip, to_number
-from diurna.operators.ranking import quantiles
+from diurna.operators.ranking import one_row, quantiles
 from diurna.sources.carriers import stack_columns
 
 
@@ -79,7 +79,7 @@ def bounds(df: DataFrame, columns, q: float, by=()) -> DataFrame:
 
 def attach_bounds(df: DataFrame, b: DataFrame, by=()) -> DataFrame:
     """Without a group the bounds are a single row; with one the optimizer picks the join."""
-    return df.join(b, list(by), "left") if by else df.crossJoin(F.broadcast(b))
+    return df.join(b, list(by), "left") if by else df.transform(one_row, b)
 
 
 def drop_outliers(df: DataFrame, columns, q: float, by=()) -> DataFrame:
@@ -103,7 +103,7 @@ def retention_scan(df: DataFrame, columns, qs, label: str) -> DataFrame:
     b = quantiles(long, ["feature"], "value", every)
     names = dict(zip(every, b.columns[2:]))
     one = b.agg(*[F.max(F.when(F.col("feature") == c, F.col(n))).alias(f"{c}_{n}") for c in columns for n in names.values()])
-    j = df.crossJoin(F.broadcast(one))
+    j = df.transform(one_row, one)
 
     def inside(q):
         lo, hi = names[round(q, 6)], names[round(1 - q, 6)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diurna.operators.ranking import cumulate, midranks, quantiles
+from diurna.operators.ranking import cumulate, midranks, one_row, quantiles
 
 
 def rolling(df: DataFrame, keys, order: str, value: str, width: int = 7) -> DataFrame:
@@ -61,7 +61,7 @@ def leak_report(wins: DataFrame, cuts: DataFrame, subject: str) -> DataFrame:
         F.max("t").alias("in_test"), F.min("t").alias("only_test"))
     shared = dates.agg(F.sum(((F.col("in_test") == 1) & (F.col("only_test") == 0)).cast("int")).alias("n_shared_dates"),
                        F.sum("in_test").alias("n_test_dates"))
-    return counts.crossJoin(F.broadcast(shared)).withColumn(  # one row each
+    return counts.transform(one_row, shared).withColumn(  # one row each
         "leak_share", F.coalesce(F.try_divide("n_shared_dates", "n_test_dates"), F.lit(0.0)))
 
 
@@ -79,7 +79,7 @@ def gap_spanning(df: DataFrame, subject: str, date: str, lengths) -> DataFrame:
         F.sum((F.col("runs") > 1).cast("int")).alias("subjects_with_gap"), F.sum(F.col("runs") - 1).alias("total_gaps"),
         F.percentile("runs", F.lit(0.5)).alias("runs_median"), F.max("runs").alias("runs_max"),
         F.min("longest").alias("longest_min"), F.percentile("longest", F.lit(0.5)).alias("longest_median"))
-    return shares.withColumn("share", F.try_divide("n_gap", "n_windows")).crossJoin(F.broadcast(facts))
+    return shares.withColumn("share", F.try_divide("n_gap", "n_windows")).transform(one_row, facts)
 
 
 def padded_sequence(df: DataFrame, subject: str, order: str, values, steps: int, keep: str = "last", side: str = "left", pad: float = -1.0) -> DataFrame:

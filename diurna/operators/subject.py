@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from diurna.functions import series as S
 from diurna.functions.numbers import ratio
 from diurna.operators.intraday import spectral_peak
+from diurna.operators.ranking import one_row
 
 EPS = 1e-8
 
@@ -287,7 +288,7 @@ def coverage(df: DataFrame, subject: str, date: str) -> DataFrame:
         F.sum("_r").alias("rows"), F.count("*").alias("days"), F.min(date).alias("_a"), F.max(date).alias("_b"),
         F.max("_gap").alias("max_gap"), F.avg("_gap").alias("mean_gap"))
     first = df.agg(F.min(date).alias("_origin"))
-    g = g.crossJoin(F.broadcast(first))  # one row
+    g = g.transform(one_row, first)  # one row
     span = F.datediff("_b", "_a") + 1
     return g.select(subject, "rows", "days", span.alias("span"), (F.col("days") / span).alias("coverage"),
                     (F.col("rows") - F.col("days")).alias("duplicates"), F.datediff("_a", "_origin").alias("first_offset"), "max_gap", "mean_gap")

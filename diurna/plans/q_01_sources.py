@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diurna.operators import contracts as C
+from diurna.operators.ranking import one_row
 from diurna.plans.registry import query
 from diurna.sources import files
 
@@ -104,7 +105,7 @@ TEST_KEY = b"example key for checks only"
 def _(t):
     df = t.subjects.select("subject_id", C.keyed_pseudonym(F.col("subject_id"), TEST_KEY).alias("digest"))
     n = C.collisions(df, "subject_id", "digest").agg(F.count("*").alias("n_collisions"))
-    return df.crossJoin(F.broadcast(n))  # one row by construction
+    return df.transform(one_row, n)  # one row by construction
 
 
 @query("load_labels_checked", s="subject_id status", i="n_rows n_labels code", sql="""

@@ -144,11 +144,11 @@ def _(t):
 
 @query("isolation_outlier", i="vec_id outlier", f="isolation")
 def _(t):
-    from diurna.operators.ranking import quantiles
+    from diurna.operators.ranking import one_row, quantiles
 
     s = L.isolation_scores(t.vectors, XS, "vec_id")
     cut = quantiles(s, [], "isolation", [0.9]).select(F.col("q90").alias("cut"))
-    return s.crossJoin(F.broadcast(cut)).withColumn("outlier", F.col("isolation") > F.col("cut"))
+    return s.transform(one_row, cut).withColumn("outlier", F.col("isolation") > F.col("cut"))
 
 
 # ------------------------------------------------------------------ ensembles
