@@ -68,7 +68,7 @@ def _level(per: DataFrame) -> DataFrame:
     c = cumulate(per.withColumn("_a", F.col("alloc").cast("double")), [], "_a", {"s": F.sum("alloc"), "m": F.count("*"), "kp": F.max("keep")})
     rest = F.col("tot_m") - F.col("cum_m")
     keep = F.col("kp")
-    lv = F.when(rest > 0, F.floor((keep - F.col("cum_s")) / rest)).otherwise(F.col("_a"))
+    lv = F.when(rest > 0, F.floor((keep - F.col("cum_s")) / rest)).otherwise(F.when(F.col("cum_s") <= keep, F.col("_a")).otherwise(-1))
     ok = c.withColumns({"_level": lv.cast("bigint"), "_extra": (keep - F.col("cum_s") - lv * rest).cast("bigint")}).where(F.col("_level") >= F.col("_a"))
     # the largest quota value whose level is not below it
     best = ok.agg(F.max(F.struct("_a", "_level", "_extra")).alias("b"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Encodings tried in this order.
 ENCODINGS = ("utf-8", "MS949", "EUC-KR")
+_LOCAL: dict[str, str | None] = {}
 REPLACEMENT = "�"
 
 
@@ -18,10 +19,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     Only when that setting is absent (single machine, tests) a temporary folder is used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="diurna-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _LOCAL["dir"] = tempfile.mkdtemp(prefix="diurna-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
