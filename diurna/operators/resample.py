@@ -43,7 +43,8 @@ def subject_quotas(train: DataFrame, subject: str, label: str, ratio: float, see
     exact = F.col("c") * F.col("keep") / F.col("tot")
     per = per.withColumns({"_fr": exact - F.floor(exact), "alloc": F.greatest(F.lit(1), F.floor(exact)).cast("bigint")})
     sums = per.agg(F.sum("alloc").alias("_sa"), F.count("*").alias("_ns"))
-    per = per.transform(one_row, sums)
+    # one row per subject, read by four steps below
+    per = materialise(per.transform(one_row, sums), "quotas")
     # remaining > 0: one more each, largest fraction first (ties in hash order). It never exceeds the subjects with room, so one round is exact.
     up = per.where(F.col("alloc") < F.col("c")).select(subject, (-F.col("_fr")).alias("_nf"), F.md5(subject).alias("_hx"))
     ahead = cumulate(up, [], "_nf", {"cnt": F.count("*")}).select("_nf", (F.col("cum_cnt") - F.col("cnt")).alias("_ahead"))

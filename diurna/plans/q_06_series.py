@@ -300,7 +300,7 @@ def win_sql(width: int, name: str) -> str:
     SELECT k.subject_id, k.date, m10_max AS m10, l5_min AS l5 FROM (SELECT DISTINCT subject_id, date FROM c_min) k LEFT JOIN ({win_sql(600, 'm10')}) a ON a.subject_id = k.subject_id AND a.date = k.date
     LEFT JOIN ({win_sql(300, 'l5')}) b ON b.subject_id = k.subject_id AND b.date = k.date""")
 def _(t):
-    return I.window_extrema(I.minute_rows(t.day_arrays, DK, "mins", "vals"), DK, 600, 300, 0.001)
+    return I.window_extrema(t.day_arrays, DK, "mins", "vals", 600, 300, 0.001)
 
 
 WAKE = """hit AS (SELECT s.subject_id, s.date, s.st FROM (SELECT subject_id, date, unnest(range(1411)) AS st FROM (SELECT DISTINCT subject_id, date FROM c_min)) s
@@ -311,8 +311,7 @@ WAKE = """hit AS (SELECT s.subject_id, s.date, s.st FROM (SELECT subject_id, dat
 @query("wake_window", s="subject_id date", i="onset offset_minute", sql=f"""
     WITH {WAKE} SELECT k.subject_id, k.date, onset, offs AS offset_minute FROM (SELECT DISTINCT subject_id, date FROM c_min) k LEFT JOIN ww ON ww.subject_id = k.subject_id AND ww.date = k.date""")
 def _(t):
-    d = I.wake_windows(I.minute_rows(t.day_arrays, DK, "mins", "vals"), DK, 30.0)
-    return d.groupBy(*DK).agg(F.max("onset").alias("onset"), F.max("offset_minute").alias("offset_minute"))
+    return I.wake_windows(t.day_arrays, DK, "mins", "vals", 30.0)
 
 
 @query("sedentary_bouts_in_window", s="subject_id date", i="sed_total sed_longest sed_n", f="sed_mean", sql=f"""
@@ -322,8 +321,7 @@ def _(t):
       CASE WHEN ww.onset IS NOT NULL THEN count(length) END AS sed_n, avg(length) AS sed_mean
     FROM (SELECT DISTINCT subject_id, date FROM c_min) k LEFT JOIN ww ON ww.subject_id = k.subject_id AND ww.date = k.date LEFT JOIN r ON r.subject_id = k.subject_id AND r.date = k.date GROUP BY k.subject_id, k.date, ww.onset""")
 def _(t):
-    d = I.wake_windows(I.minute_rows(t.day_arrays, DK, "mins", "vals"), DK, 30.0)
-    return I.sedentary_in_window(d, DK, 60)
+    return I.wake_windows(t.day_arrays, DK, "mins", "vals", 30.0, sedentary=60.0)
 
 
 DFT = "SELECT {k}, h, sqrt(pow(sum(value * cos(2 * pi() * h * pos / n)), 2) + pow(sum(value * sin(2 * pi() * h * pos / n)), 2)) AS amp FROM {src} WHERE h <= n // 2 GROUP BY {k}, h"

@@ -49,7 +49,7 @@ def query(name: str, s: str = "", i: str = "", f: str = "", sql: str | None = No
         return (
             [F.col(c).cast("string").alias(c) for c in s.split()]
             + [F.col(c).cast("bigint").alias(c) for c in i.split()]
-            + [(F.round(F.col(c).cast("double") + F.lit(NUDGE), digits) + F.lit(0.0)).alias(c) for c in f.split()]
+            + [(F.round(F.nullif(F.col(c).cast("double"), F.lit(float("nan"))) + F.lit(NUDGE), digits) + F.lit(0.0)).alias(c) for c in f.split()]
         )
 
     def decorate(fn: Callable[[Tables], DataFrame]):
@@ -65,7 +65,7 @@ def query(name: str, s: str = "", i: str = "", f: str = "", sql: str | None = No
             cols = (
                 [f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in s.split()]
                 + [f'CAST("{c}" AS BIGINT) AS "{c}"' for c in i.split()]
-                + [f'round(CAST("{c}" AS DOUBLE) + {NUDGE}, {digits}) + 0.0 AS "{c}"' for c in f.split()]
+                + [f'round(nullif(CAST("{c}" AS DOUBLE), CAST(\'nan\' AS DOUBLE)) + {NUDGE}, {digits}) + 0.0 AS "{c}"' for c in f.split()]
             )
             ORACLE[name] = f"SELECT {', '.join(cols)} FROM (\n{with_carriers(sql.strip())}\n) AS q"
         return fn

@@ -86,19 +86,16 @@ def test_wake_window_and_bouts(spark):
     minutes = list(range(1440))
     vals = [2.0 if 300 <= m < 360 or 900 <= m < 960 else 1.0 for m in minutes]
     d = spark.createDataFrame([("s", "d", minutes, vals)], "subject_id string, date string, mins array<int>, vals array<double>")
-    k = ["subject_id", "date"]
-    w = I.wake_windows(I.minute_rows(d, k, "mins", "vals"), k, 1.5)
-    r = w.groupBy(*k).agg(F.max("onset").alias("a"), F.max("offset_minute").alias("b")).first()
-    assert (r.a, r.b) == (285, 975)  # 15 active minutes of 30 reach the mean of 1.5
-    s = I.sedentary_in_window(w, k, 1.5).first()
-    assert (s.sed_total, s.sed_longest, s.sed_n) == (570, 540, 3)
+    r = I.wake_windows(d, ["subject_id", "date"], "mins", "vals", 1.5).first()
+    assert (r.onset, r.offset_minute) == (285, 975)  # 15 active minutes of 30 reach the mean of 1.5
+    assert (r.sed_total, r.sed_longest, r.sed_n) == (570, 540, 3)
 
 
 def test_window_extrema(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.gamma(2, 1, 1440), 2)
     d = spark.createDataFrame([("s", list(range(1440)), [float(v) for v in x])], "k string, mins array<int>, vals array<double>")
-    r = I.window_extrema(I.minute_rows(d, ["k"], "mins", "vals"), ["k"]).first()
+    r = I.window_extrema(d, ["k"], "mins", "vals").first()
     c = np.concatenate([[0], np.cumsum(x)])
     w10, w5 = (c[600:] - c[:-600]) / 600, (c[300:] - c[:-300]) / 300
     close(r.m10, w10.max())
