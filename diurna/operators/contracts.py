@@ -8,6 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from diurna.functions.numbers import MISSING_TOKENS, blank_to_null, to_number
 
@@ -115,9 +116,9 @@ def duplicate_rows(df: DataFrame, columns) -> DataFrame:
         F.count("*").alias("groups"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("extra_rows"))
 
 
-def column_pair_mismatches(df: DataFrame, columns) -> DataFrame:
-    """Rows on which each pair of columns differs, from one aggregation over the schema's pairs."""
-    pairs = list(combinations(sorted(columns), 2))
+def column_pair_mismatches(df: DataFrame, columns, pairs=None) -> DataFrame:
+    """Rows on which each pair of columns differs, from one aggregation."""
+    pairs = list(combinations(sorted(columns), 2)) if pairs is None else pairs
     wide = df.agg(*[F.sum((~F.col(a).eqNullSafe(F.col(b))).cast("bigint")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
     return wide.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"p{k}").alias("mismatches"))
@@ -125,7 +126,23 @@ def column_pair_mismatches(df: DataFrame, columns) -> DataFrame:
 
 
 def identical_column_pairs(df: DataFrame, columns) -> DataFrame:
-    return column_pair_mismatches(df, columns).where("mismatches = 0").drop("mismatches")
+    """Pairs of columns equal on every row.
+
+    An order-free fingerprint per column (value hashed with its row) shortlists the pairs, so
+    the exact comparison covers candidates only and not the square of the column count. Equal
+    columns always share the fingerprint; unequal ones that collide fail the exact comparison.
+    """
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)}
+    row = F.xxhash64(*[F.col(c) for c in sorted(columns)])
+    mark = {c: F.col(c).cast("double") if c in numeric else F.col(c).cast("string") for c in columns}
+    prints = df.agg(*[F.bit_xor(F.xxhash64(row, mark[c])).alias(c) for c in columns]).first().asDict()  # one row, schema wide
+    groups: dict = {}
+    for c in columns:
+        groups.setdefault(prints[c], []).append(c)
+    pairs = [p for g in groups.values() for p in combinations(sorted(g), 2)]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string")
+    return column_pair_mismatches(df, columns, pairs).where("mismatches = 0").drop("mismatches")
 
 
 def formula_check(df: DataFrame, formulas: dict[str, tuple[Column, Column]], digits: int = 2) -> DataFrame:

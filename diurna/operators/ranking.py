@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from diurna.sources.files import materialise
+
 RANGES = 64
 
 
@@ -25,13 +27,23 @@ def _attach(df: DataFrame, small: DataFrame, group: list[str]) -> DataFrame:
 
 
 def with_ranges(d: DataFrame, group: list[str], value: str, sums, ranges: int = RANGES) -> DataFrame:
-    cuts = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    """Adds the value range of each distinct row.
+
+    The cuts come from a hash sample of about 16 values per range and group. They must be a
+    function of the data alone: several branches of a plan evaluate them, and an approximate
+    percentile depends on the order in which partial sketches happen to be merged.
+    """
     # Always true; it only names the sums, so that this branch is not pruned to another
     # aggregation and the exchange of distinct values is computed once for all branches.
     seen = F.abs(F.hash(*sums).cast("bigint")) >= 0
-    edges = d.groupBy(*group).agg(F.percentile_approx(F.when(seen, F.col(value)), cuts, F.lit(20 * ranges)).alias("_edges"))
-    return _attach(d, edges, group).withColumn(
-        "_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    rows = d.where(seen).select(*group, value)
+    size = rows.groupBy(*group).agg(F.count("*").alias("_n"))
+    unit = F.pmod(F.xxhash64(F.col(value)), F.lit(2 ** 32)) / F.lit(float(2 ** 32))
+    sample = _attach(rows, size, group).where(unit * F.col("_n") < 16 * ranges)
+    edges = sample.groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias("_s")).select(*group, F.transform(
+        F.sequence(F.lit(1), F.lit(ranges - 1)), lambda k: F.get("_s", F.floor(k * F.size("_s") / ranges).cast("int"))).alias("_edges"))
+    d = d.join(edges, group, "left") if group else d.transform(one_row, edges)
+    return d.withColumn("_range", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col(value))), F.lit(0))).drop("_edges")
 
 
 def cumulate(df: DataFrame, group, value: str, sums: dict[str, Column], ranges: int = RANGES, ranked: bool = False) -> DataFrame:
@@ -89,7 +101,11 @@ def quantiles(df: DataFrame, group, value: str, qs, ranges: int = RANGES) -> Dat
 
 
 def midranks(df: DataFrame, group, value: str, ranges: int = RANGES) -> DataFrame:
-    """Distinct (group, value) rows with the average rank of the ties and the group size."""
+    """Distinct (group, value) rows with the average rank of the ties and the group size.
+
+    To join ranks back by value, the value must be stored or a row expression, not an aggregate
+    that a second evaluation may round differently.
+    """
     c = cumulate(df, group, value, {"cnt": F.count("*")}, ranges)
     return c.select(*group, value, (F.col("cum_cnt") - F.col("cnt") + (F.col("cnt") + 1) / 2).alias("midrank"),
                     F.col("tot_cnt").alias("n"))
@@ -119,6 +135,9 @@ def spearman(df: DataFrame, group, x: str, y: str, min_n: int = 2) -> DataFrame:
     """Rank correlation per group over complete pairs: rho and n."""
     group = list(group)
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    # Ranks are joined back by value. A computed double may differ in its last bit when a plan
+    # branch is evaluated again (sums merge in another order), so the pairs are stored first.
+    d = materialise(d, "pairs")
     rx = midranks(d, group, "_x").select(*group, "_x", F.col("midrank").alias("_rx"))
     ry = midranks(d, group, "_y").select(*group, "_y", F.col("midrank").alias("_ry"))
     j = d.join(rx, [*group, "_x"]).join(ry, [*group, "_y"])

@@ -204,7 +204,7 @@ def _(t):
 
 @query("identical_column_pairs", s="col_a col_b", sql="SELECT 'value' AS col_a, 'value_copy' AS col_b")
 def _(t):
-    df = t.events.select("value", F.col("value").alias("value_copy"), (F.col("value") + 1).alias("shifted"))
+    df = t.events.select("value", F.col("value").alias("value_copy"), (F.col("value") + 1).alias("shifted"), "event_type")
     return C.identical_column_pairs(df, df.columns)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from diurna.functions import series as S
 from diurna.operators import sequences as Q
 from diurna.operators.ranking import quantiles
 from diurna.plans.registry import query

@@ -29,6 +29,17 @@ def test_quantiles(skewed):
         np.testing.assert_allclose(got.loc[g, ["q0", "q1", "q50", "q97_5", "q100"]].astype(float), np.quantile(x, [0, 0.01, 0.5, 0.975, 1]), rtol=1e-12)
 
 
+def test_many_groups_over_many_partitions(spark):
+    """Ranges must be the same in every branch of the plan, also for several mid-sized groups."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"g": rng.integers(0, 6, 12000), "v": rng.normal(size=12000)})
+    d = spark.createDataFrame(pdf).repartition(16)
+    want = pdf.groupby("g").v.quantile([0.1, 0.5, 0.9]).unstack()
+    for _ in range(3):
+        got = R.quantiles(d, ["g"], "v", [0.1, 0.5, 0.9]).toPandas().set_index("g").sort_index()
+        np.testing.assert_allclose(got[["q10", "q50", "q90"]], want, rtol=1e-12)
+
+
 def test_midranks(skewed):
     got = R.midranks(skewed, ["g"], "v", ranges=8).toPandas()
     pdf = skewed.toPandas().dropna()
