@@ -147,7 +147,11 @@ def _joined(spans: Column) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("bigint").alias(f"n_{r.kind}") for r in BASE]
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+    counts = [number(r.kind).alias(f"n_{r.kind}") for r in BASE]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
