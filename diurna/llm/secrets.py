@@ -168,7 +168,7 @@ def _sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 a AS ({' UNION ALL '.join(parts)}),
 u AS (SELECT doc_id, rank, kind, least, m[k] AS hit, part[k] AS body,
-             list_sum(list_transform(g[1:k], x -> length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:k - 1], x -> length(x))), 0)::BIGINT AS pos
+             list_sum(list_transform(g[1:k], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0)::BIGINT AS pos
       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM a WHERE len(m) > 0)),
 s AS (SELECT doc_id, rank, kind, pos, kind || ':' || pos || ':' || (pos + length(hit)) AS span FROM u WHERE length(body) >= least),
 r AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
