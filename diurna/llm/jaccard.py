@@ -12,8 +12,10 @@
    to be scanned is least.
 5. Every set is compared with the first set of each of its lists, and linked sets are contracted to
    components. Only lists that still hold several components are scanned, each member outside
-   the list's largest component against the others, and only links leave that join. So a group of
-   many near copies is never expanded into its pairs, and no link between components is lost.
+   the list's largest component against members of other components. Pairs whose prefixes share too
+   few shingles to reach the threshold are ruled out inside that join (small sets) or by counting
+   their common lists (large sets); whole sets are fetched for the few pairs that remain. So a
+   group of many near copies is never expanded into its pairs, and no link between components is lost.
 
 Shingles that a bounded sample shows to be frequent are last in the order and are taken as shared
 without being exchanged.
@@ -39,6 +41,7 @@ SHINGLE = 5
 SIMILARITY = Fraction(3, 4)
 SAMPLE, COMMON = 4_000, 4
 EXTRA = 16  # l = 1 + n // EXTRA
+SHORT = 64  # prefixes up to this length travel with the list entries
 BOUNDARIES = (0, 8, 16, 32, 64, 128)
 LAST = (1 << 63) - 1
 
@@ -209,23 +212,42 @@ def links(rows: DataFrame, total: int, size: int = SHINGLE, t: Fraction = SIMILA
 
     lead = posts.groupBy("key").agg(F.min("k").alias("lead"), F.max("k").alias("last")).where("lead < last").select(F.col("key").alias("lkey"), "lead")
     pairs = posts.join(lead, F.col("key") == F.col("lkey")).where("k <> lead").select("k", "lead").distinct()
-    a, b = whole.alias("a"), whole.alias("b")
-    near = pairs.join(a.select(F.col("k").alias("ak"), F.col("n").alias("an")).distinct(), F.col("k") == F.col("ak")).join(b.select(F.col("k").alias("bk"), F.col("n").alias("bn")).distinct(), F.col("lead") == F.col("bk"))
-    near = near.where(_near(F.col("an"), F.col("bn"), t)).select("k", "lead").distinct()
-    held = near.join(a.select(F.col("k").alias("ak"), F.col("n").alias("an"), F.col("tokens").alias("at")), F.col("k") == F.col("ak")).join(
-        b.select(F.col("k").alias("bk"), F.col("n").alias("bn"), F.col("tokens").alias("bt")), F.col("lead") == F.col("bk"))
-    first = stored(held.where(_linked(F.col("at"), F.col("bt"), F.col("an"), F.col("bn"), t)).select(F.col("k").alias("a"), F.col("lead").alias("b")), "first-links")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The linked ones of the pairs (k, lead), by their whole sets."""
+        lengths = whole.select("k", "n").distinct()
+        a, b = lengths.toDF("ak", "an"), lengths.toDF("bk", "bn")
+        near = pairs.join(a, F.col("k") == F.col("ak")).join(b, F.col("lead") == F.col("bk")).where(_near(F.col("an"), F.col("bn"), t)).select("k", "lead").distinct()
+        a, b = whole.toDF("ak", "an", "at"), whole.toDF("bk", "bn", "bt")
+        held = near.join(a, F.col("k") == F.col("ak")).join(b, F.col("lead") == F.col("bk"))
+        return held.where(_linked(F.col("at"), F.col("bt"), F.col("an"), F.col("bn"), t)).select(F.col("k").alias("a"), F.col("lead").alias("b"))
+
+    first = stored(verified(pairs), "first-links")
 
     groups = components(first, "first-components").withColumnsRenamed({"node": "gk", "component": "gc"})
-    placed = posts.join(groups, F.col("k") == F.col("gk"), "left").select("key", "k", F.coalesce("gc", "k").alias("c"))
+    placed = posts.join(groups, F.col("k") == F.col("gk"), "left").select("key", "k", "n", F.coalesce("gc", "k").alias("c"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").select(F.col("key").alias("mkey"), F.col("top.c").alias("main"))
-    open_posts = stored(placed.join(main, F.col("key") == F.col("mkey")).select("key", "k", "c", "main"), "open-lists")
-    full = open_posts.join(whole.withColumnRenamed("k", "wk"), F.col("k") == F.col("wk")).select("key", "k", "c", "main", "n", "tokens")
-    p, q = full.where("c <> main").alias("p"), full.alias("q")
-    cross = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & ((F.col("q.c") == F.col("q.main")) | (F.col("p.k") < F.col("q.k")))
-    cross = cross & _near(F.col("p.n"), F.col("q.n"), t) & _linked(F.col("p.tokens"), F.col("q.tokens"), F.col("p.n"), F.col("q.n"), t)
-    rest = p.join(q, cross).select(F.col("p.k").alias("a"), F.col("q.k").alias("b"))
+    # lists that hold several components; short prefixes go along, so that most pairs are ruled out inside the join
+    small = docs.select(F.col("k").alias("sk"), F.when(F.size("prefix") <= SHORT, F.transform("prefix", lambda x: x["token"])).alias("px"))
+    open_posts = placed.join(main, F.col("key") == F.col("mkey")).join(small, F.col("k") == F.col("sk")).select("key", "k", "n", "c", "main", "px")
+    open_posts = stored(open_posts, "open-lists")
+    p, q = open_posts.where("c <> main").alias("p"), open_posts.alias("q")
+
+    def need(na: Column, nb: Column) -> Column:
+        """So many of the first missing(n) + 2 shingles must be shared, as all that follow can at most be."""
+        after = F.greatest(na - _missing(na, t), nb - _missing(nb, t)) - 2
+        return F.ceil((na + nb) * t.numerator / (t.numerator + t.denominator) - after - 1e-9)
+
+    pn, qn = F.col("p.n"), F.col("q.n")
+    cross = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & ((F.col("q.c") == F.col("q.main")) | (F.col("p.k") < F.col("q.k"))) & _near(pn, qn, t)
+    unknown = F.col("p.px").isNull() | F.col("q.px").isNull()
+    both = p.join(q, cross & (unknown | (F.size(F.array_intersect("p.px", "q.px")) >= need(pn, qn))))
+    # single-shingle lists cover one shingle less than the prefix
+    least = F.when(unknown & (pn > x) & (qn > x), need(pn, qn) - 1).otherwise(0)
+    pair = both.select(F.least("p.k", "q.k").alias("k"), F.greatest("p.k", "q.k").alias("lead"), least.alias("least"))
+    counted = pair.groupBy("k", "lead").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
+    rest = verified(counted.where("shared >= least").select("k", "lead"))
     return first.unionByName(rest).distinct()
 
 
