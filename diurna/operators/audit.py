@@ -94,9 +94,16 @@ def same_frames(a: DataFrame, b: DataFrame, check: str) -> DataFrame:
 
 
 def privacy(texts: DataFrame, text: str, source: str, ids: DataFrame, subject: str) -> DataFrame:
-    """Raw ids found as whole words in written text: an equi-join on words, not every text with every id."""
-    words = texts.select(source, F.explode(F.array_distinct(F.split(F.col(text), "[^A-Za-z0-9_@.#-]+"))).alias("_w"))
-    return words.join(ids.select(F.col(subject).alias("_w")).distinct(), "_w").groupBy(source).agg(F.count("*").alias("ids_found"))
+    """Raw ids found as whole words in written text: an equi-join on words, not every text with every id.
+
+    Tokens are also tried without edge punctuation, and in parts cut at it. Clean sources have a row with 0.
+    """
+    tokens = F.split(F.col(text), "[^A-Za-z0-9_@.#-]+")
+    bare = F.transform(tokens, lambda w: F.regexp_replace(w, "^[_@.#-]+|[_@.#-]+$", ""))
+    parts = F.split(F.col(text), "[^A-Za-z0-9_-]+")
+    words = texts.select(source, F.explode(F.array_distinct(F.concat(tokens, bare, parts))).alias("_w"))
+    hits = words.join(ids.select(F.col(subject).alias("_w")).distinct(), "_w").groupBy(source).agg(F.count("*").alias("ids_found"))
+    return texts.select(source).distinct().join(hits, source, "left").withColumn("ids_found", F.coalesce("ids_found", F.lit(0)))
 
 
 def compare_reported(measured: DataFrame, name: str, value: str, reported: dict[str, float]) -> DataFrame:

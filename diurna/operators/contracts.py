@@ -89,14 +89,24 @@ def manifest_report(data: DataFrame, manifest: DataFrame, subject: str, manifest
 
 
 def frame_fingerprint(df: DataFrame, columns) -> DataFrame:
-    """Order-free digest: row count and XOR of two 60-bit halves of the row md5."""
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in columns]))
+    """Order-free digest: row count and two sums, modulo 2^60, of 60-bit halves of the row md5.
+
+    Fields carry their name and length, so neither a separator nor a moved value can hide a change,
+    and equal rows add up instead of cancelling.
+    """
+    fields = []
+    for c in columns:
+        v = F.col(c).cast("string")
+        fields += [F.lit(f"{c}:"), F.coalesce(F.length(v).cast("string"), F.lit("-1")), F.lit(":"), F.coalesce(v, F.lit(""))]
+    row = F.md5(F.concat(*fields))
 
     def half(start):
-        return F.conv(F.substring(row, start, 15), 16, 10).cast("bigint")
+        return F.conv(F.substring(row, start, 15), 16, 10).cast("decimal(38,0)")
+
+    def total(c):
+        return (F.coalesce(F.sum(c), F.lit(0)) % F.lit(1 << 60)).cast("bigint")
 
-    return df.select(half(1).alias("a"), half(16).alias("b")).agg(
-        F.count("*").alias("n_rows"), F.bit_xor("a").alias("digest_a"), F.bit_xor("b").alias("digest_b"))
+    return df.select(half(1).alias("a"), half(16).alias("b")).agg(F.count("*").alias("n_rows"), total("a").alias("digest_a"), total("b").alias("digest_b"))
 
 
 def profile(df: DataFrame, columns) -> DataFrame:

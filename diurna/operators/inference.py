@@ -12,17 +12,6 @@ from diurna.operators.metrics import roc_auc
 from diurna.operators.ranking import one_row
 from diurna.operators.resample import bootstrap_weights, permuted
 
-# Two-sided 95 percent t quantiles for 1..30 degrees of freedom, then normal.
-T975 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139,
-        2.200985, 2.178813, 2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963,
-        2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.045230, 2.042272)
-
-
-def t_quantile(df: Column) -> Column:
-    table = F.array(*[F.lit(v) for v in T975])
-    return F.when(df < 1, F.lit(None)).when(df <= 30, F.get(table, (df - 1).cast("int"))).otherwise(F.lit(1.959964))
-
-
 def bootstrap_auc(scores: DataFrame, subject: str, score: str, label: str, key, draws: int, seed: int, stratified: bool = False) -> DataFrame:
     """AUC per (key, draw) with the same subject draws for every key."""
     people = scores.select(subject, label).distinct()
@@ -64,10 +53,11 @@ def hanley_mcneil(auc: Column, n1: Column, n0: Column, z: float = 1.96) -> dict[
 
 
 def variability(df: DataFrame, key, value: str) -> DataFrame:
-    n, sd = F.count(value), F.coalesce(F.stddev_samp(value), F.lit(0.0))
-    half = t_quantile(n - 1) * sd / F.sqrt(n)
-    return df.groupBy(*key).agg(n.alias("n"), F.avg(value).alias("mean"), sd.alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"),
-                                (F.avg(value) - half).alias("t_low"), (F.avg(value) + half).alias("t_high"))
+    """Mean with a 95 percent t interval; the quantile is exact for every number of degrees of freedom."""
+    sd = F.coalesce(F.stddev_samp(value), F.lit(0.0))
+    g = df.groupBy(*key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), sd.alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    half = t_quantile(F.lit(0.975), (F.col("n") - 1).cast("double")) * F.col("sd") / F.sqrt("n")
+    return g.withColumn("_half", half).select(*key, "n", "mean", "sd", "min", "max", (F.col("mean") - F.col("_half")).alias("t_low"), (F.col("mean") + F.col("_half")).alias("t_high"))
 
 
 def permutation_auc(scores: DataFrame, subject: str, score: str, label: str, permutations: int, seed: int) -> DataFrame:
@@ -197,6 +187,28 @@ def two_sided_t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return out
 
 
+@F.pandas_udf(DoubleType())
+def t_quantile(q: pd.Series, df: pd.Series) -> pd.Series:
+    """Quantile of Student's t by bisection of its tail; Arrow-batched, null below one degree of freedom."""
+    ok = q.notna() & df.notna() & (df >= 1)
+    out = pd.Series(np.nan, index=q.index)
+    if ok.any():
+        qq, dd = q[ok].to_numpy(float), df[ok].to_numpy(float)
+        tail = 2 * np.minimum(qq, 1 - qq)
+        low, high = np.zeros_like(dd), np.full_like(dd, 1.0)
+        for _ in range(60):  # widen until the tail beyond is small enough
+            wide = _incomplete_beta(dd / 2, 0.5, dd / (dd + high * high)) > tail
+            if not wide.any():
+                break
+            high[wide] *= 2
+        for _ in range(60):
+            mid = (low + high) / 2
+            more = _incomplete_beta(dd / 2, 0.5, dd / (dd + mid * mid)) > tail
+            low, high = np.where(more, mid, low), np.where(more, high, mid)
+        out[ok] = np.where(qq < 0.5, -1, 1) * (low + high) / 2
+    return out
+
+
 def one_sample_t(df: DataFrame, key, value: str, group: str, reference: int, tested: int) -> DataFrame:
     """t of the tested group's mean against the reference group's mean."""
     ref = F.avg(F.when(F.col(group) == reference, F.col(value)))

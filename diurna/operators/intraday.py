@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from diurna.functions import series as S
 from diurna.functions.numbers import MISSING_TOKENS, known, ratio
@@ -222,11 +223,24 @@ def active_position(codes: Column, active_from: int) -> dict[str, Column]:
             "second_half": S.share(F.slice(v, half + 1, F.greatest(F.size(v), F.lit(1))), lambda x: x >= active_from)}
 
 
+@F.pandas_udf(DoubleType())
+def _peak_share(filled: pd.Series) -> pd.Series:
+    """Largest share of power in one harmonic; FFT per series, Arrow-batched."""
+    out = []
+    for x in filled:
+        v = None if x is None else np.asarray(x, float)
+        if v is None or not len(v) or np.isnan(v).any():
+            out.append(None)
+            continue
+        power = np.abs(np.fft.rfft(v - v.mean())[1:]) ** 2
+        total = power.sum()
+        out.append(float(power.max() / total) if len(power) and total > 1e-12 else None)
+    return pd.Series(out, index=filled.index, dtype=float)
+
+
 def spectral_peak(filled: Column, n_known: Column, min_known: int = 8) -> Column:
     """Largest share of power in one harmonic of a gap-filled series."""
-    ks = F.sequence(F.lit(1), F.greatest((F.size(filled) / 2).cast("int"), F.lit(1)))
-    power = F.transform(S.amplitudes(S.let(filled, lambda v: S.let(S.mean(v), lambda m: F.transform(v, lambda x: x - m))), ks), lambda x: x * x)
-    return F.when((n_known >= min_known) & (S.sd(filled) > 1e-12), S.let(power, lambda p: F.when(S.total(p) > 1e-12, F.array_max(p) / S.total(p))))
+    return F.when((n_known >= min_known) & (S.sd(filled) > 1e-12), F.nullif(_peak_share(filled), F.lit(float("nan"))))
 
 
 def first_harmonic(profile: Column) -> Column:

@@ -49,10 +49,10 @@ def with_ranges(d: DataFrame, group: list[str], value: str, sums, ranges: int =
 def cumulate(df: DataFrame, group, value: str, sums: dict[str, Column], ranges: int = RANGES, ranked: bool = False) -> DataFrame:
     """Distinct (group, value) rows with each sum, its running total ``cum_*`` and group total ``tot_*``.
 
-    ``ranked`` adds ``cum_seq``, the position of the value among the distinct values, and ``tot_seq``.
+    Null and NaN values are left out. ``ranked`` adds ``cum_seq``, the position of the value among the distinct values, and ``tot_seq``.
     """
     group = list(group)
-    d = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(*[e.alias(k) for k, e in sums.items()])
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*group, value).agg(*[e.alias(k) for k, e in sums.items()])
     d = with_ranges(d, group, value, list(sums), ranges)
     part = Window.partitionBy(*group, "_range").orderBy(value)
     run = part.rowsBetween(Window.unboundedPreceding, 0)

@@ -9,13 +9,16 @@ from diurna.operators.ranking import one_row
 from diurna.plans.registry import query
 from diurna.sources import files
 
-CUST_SQL = "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer"
+CUST_SQL = "SELECT c_custkey, c_mktsegment || chr(10) || c_custkey AS c_mktsegment, c_acctbal FROM customer"
 
 
 def customer_csv(t, name="customer"):
+    """Two exports with the columns in another order and a quoted newline in every label."""
     path = files.scratch(t.spark, name)
-    files.write_table(t.table("customer"), path, "csv")
-    return path
+    df = t.table("customer").withColumn("c_mktsegment", F.concat("c_mktsegment", F.lit("\n"), F.col("c_custkey").cast("string")))
+    for k, columns in enumerate((df.columns, df.columns[::-1])):
+        files.write_table(df.where(F.col("c_custkey") % 2 == k).select(*columns), f"{path}/{k}", "csv")
+    return [f"{path}/0", f"{path}/1"]
 
 
 @query("scan_csv_allowlist", s="c_mktsegment", i="c_custkey", f="c_acctbal", sql=CUST_SQL)
@@ -30,19 +33,22 @@ def _(t):
     t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = t.table("customer").select("c_custkey", F.concat(F.lit("서울 "), F.col("c_mktsegment")).alias("label"))
     for k, enc in enumerate(("utf-8", "EUC-KR")):
-        df.where(F.col("c_custkey") % 2 == k).write.option("header", True).option("encoding", enc).csv(f"{path}/{k}")
+        columns = ["c_custkey", "label"] if k else ["label", "c_custkey"]
+        df.where(F.col("c_custkey") % 2 == k).select(*columns).write.option("header", True).option("encoding", enc).csv(f"{path}/{k}")
     return files.read_csv_fallback(t.spark, [f"{path}/0", f"{path}/1"], ["c_custkey", "label"])
 
 
-@query("scan_discover_by_stem", s="source_name", i="n", sql="""
-    SELECT 'train_activity.csv' AS source_name, count(*) AS n FROM customer WHERE c_custkey % 2 = 0
-    UNION ALL SELECT 'val_activity.csv.part1', count(*) FROM customer WHERE c_custkey % 2 = 1""")
+@query("scan_discover_by_stem", s="source_name", i="n keys", sql="""
+    SELECT 'train_activity.csv' AS source_name, count(*) AS n, sum(c_custkey) AS keys FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT 'val_activity.csv.part1', count(*), sum(c_custkey) FROM customer WHERE c_custkey % 2 = 1""")
 def _(t):
     base = files.scratch(t.spark, "stems")
     df = t.table("customer")
     for k, name in enumerate(("train_activity.csv", "val_activity.csv.part1", "train_sleep.csv")):
-        files.write_table(df.where(F.col("c_custkey") % 2 == k % 2), f"{base}/{name}", "csv")
-    return files.read_by_stem(t.spark, base, "activity").groupBy("source_name").agg(F.count("*").alias("n"))
+        columns = df.columns[::-1] if k else df.columns
+        files.write_table(df.where(F.col("c_custkey") % 2 == k % 2).select(*columns), f"{base}/{name}", "csv")
+    found = files.read_by_stem(t.spark, base, "activity")
+    return found.groupBy("source_name").agg(F.count("*").alias("n"), F.sum(F.col("c_custkey").cast("bigint")).alias("keys"))
 
 
 @query("coalesce_convert_column", s="subject_id date series", sql="""
@@ -168,9 +174,14 @@ def _(t):
     return fp.withColumn("file", F.element_at(F.split("path", "/"), -1))
 
 
-@query("frame_fingerprint", i="n_rows digest_a digest_b", sql="""
-    SELECT count(*) AS n_rows, bit_xor(('0x' || substr(m, 1, 15))::BIGINT) AS digest_a, bit_xor(('0x' || substr(m, 16, 15))::BIGINT) AS digest_b
-    FROM (SELECT md5(concat_ws('|', coalesce(CAST(user_id AS VARCHAR), '<null>'), coalesce(event_type, '<null>'), coalesce(CAST(event_id AS VARCHAR), '<null>'))) AS m FROM events)""")
+def print_sql(src: str, *columns: str) -> str:
+    """n_rows, digest_a, digest_b: named, length-prefixed fields; two sums modulo 2^60."""
+    row = " || ".join(f"'{c}:' || coalesce(length(CAST({c} AS VARCHAR))::VARCHAR, '-1') || ':' || coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    half = "(sum(('0x' || substr(m, {}, 15))::BIGINT::HUGEINT) % 1152921504606846976::HUGEINT)::BIGINT"
+    return f"SELECT count(*) AS n_rows, {half.format(1)} AS digest_a, {half.format(16)} AS digest_b FROM (SELECT md5({row}) AS m FROM {src})"
+
+
+@query("frame_fingerprint", i="n_rows digest_a digest_b", sql=print_sql("events", "user_id", "event_type", "event_id"))
 def _(t):
     return C.frame_fingerprint(t.events, ["user_id", "event_type", "event_id"])
 
@@ -179,8 +190,11 @@ def _(t):
 def _(t):
     root = files.scratch(t.spark, "cache")
     build = lambda: t.daily.groupBy("subject_id").agg(F.count("*").alias("days"))
-    files.cached_table(t.spark, root, "daily-v1", build)
-    return files.cached_table(t.spark, root, "daily-v1", build)
+    source = t.events.select("subject_id", "date")
+    files.cached_table(t.spark, root, files.cache_key({"events": source.where("date < date'1900-01-01'")}, version=1), lambda: build().limit(0))  # another key
+    key = files.cache_key({"events": source}, version=1)
+    files.cached_table(t.spark, root, key, build)
+    return files.cached_table(t.spark, root, key, lambda: build().limit(0))
 
 
 @query("write_parquet_atomic", s="fmt", i="n total", sql="""

@@ -39,26 +39,26 @@ def _(t):
 
 
 @query("drop_constant_columns", s="name", i="keep", sql=" UNION ALL ".join(
-    f"SELECT '{c}' AS name, count(DISTINCT {e}) > 1 AS keep FROM c_day WHERE day_index < 20"
+    f"SELECT '{c}' AS name, count(DISTINCT {e}) > 1 AS keep FROM c_day"
     for c, e in (("v_max", "v_max"), ("one", "1"), ("is_weekend", "is_weekend"), ("never", "CAST(NULL AS DOUBLE)"))))
 def _(t):
-    d = t.daily.where("day_index < 20").withColumns({"one": F.lit(1), "never": F.lit(None).cast("double")})
+    d = t.daily.withColumns({"one": F.lit(1), "never": F.lit(None).cast("double")})
     return P.varying_columns(d, ["v_max", "one", "is_weekend", "never"])
 
 
 @query("drop_degenerate_columns", s="name", i="drop", f="present", sql=" UNION ALL ".join(
-    f"SELECT '{c}' AS name, count({e}) * 1.0::DOUBLE / count(*) AS present, count({e}) = 0 OR coalesce(stddev_pop({e}), 0) <= 1e-12 AS drop FROM c_day WHERE day_index < 20"
+    f"SELECT '{c}' AS name, count({e}) * 1.0::DOUBLE / count(*) AS present, count({e}) = 0 OR coalesce(stddev_pop({e}), 0) <= 1e-12 AS drop FROM c_day"
     for c, e in (("click_v", "click_v"), ("one", "1.0::DOUBLE"), ("never", "CAST(NULL AS DOUBLE)"))))
 def _(t):
-    d = t.daily.where("day_index < 20").withColumns({"one": F.lit(1.0), "never": F.lit(None).cast("double")})
+    d = t.daily.withColumns({"one": F.lit(1.0), "never": F.lit(None).cast("double")})
     return P.degenerate_columns(d, ["click_v", "one", "never"])
 
 
 @query("drop_high_missing_columns", s="name", i="drop", f="missing", sql=" UNION ALL ".join(
-    f"SELECT '{c}' AS name, avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS missing, avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) >= 0.5 AS drop FROM c_day WHERE day_index < 20"
+    f"SELECT '{c}' AS name, avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS missing, avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) >= 0.5 AS drop FROM c_day"
     for c in ("v_max", "click_v", "view_v", "purchase_v")))
 def _(t):
-    return P.missing_share(t.daily.where("day_index < 20"), ["v_max", "click_v", "view_v", "purchase_v"])
+    return P.missing_share(t.daily, ["v_max", "click_v", "view_v", "purchase_v"])
 
 
 @query("filter_valid_interval", s="subject_id date", i="ep_id dur_s", sql="""

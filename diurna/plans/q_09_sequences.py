@@ -49,11 +49,18 @@ def lead_sql(part: str, src: str, length: int) -> str:
     return f"SELECT subject_id, date AS start_date, {cols}, row_number() OVER w - 1 AS p FROM {src} WINDOW w AS (PARTITION BY {part} ORDER BY date)"
 
 
-DRUN = "(SELECT *, date - CAST(row_number() OVER (PARTITION BY subject_id ORDER BY date) AS INTEGER) AS isl FROM c_day WHERE n > 1)"
+# Sleep days: they have gaps of their own.
+DRUN = """(SELECT subject_id, date, slp_max AS v_max, date_diff('day', min(date) OVER (PARTITION BY subject_id), date) AS day_index,
+  date - CAST(row_number() OVER (PARTITION BY subject_id ORDER BY date) AS INTEGER) AS isl FROM c_slp)"""
+
+
+def sleep_days(t):
+    first = F.min("date").over(Window.partitionBy("subject_id"))
+    return t.sleep.select("subject_id", "date", F.col("slp_max").alias("v_max"), F.datediff("date", first).alias("day_index"))
 
 
 def wins(t, length, stride=1, consecutive=True):
-    return Q.windows(t.daily.where("n > 1"), "subject_id", "date", "day_index", ["v_max"], length, stride, consecutive)
+    return Q.windows(sleep_days(t), "subject_id", "date", "day_index", ["v_max"], length, stride, consecutive)
 
 
 def ids(days="days"):
@@ -73,13 +80,13 @@ def _(t):
 
 
 @query("windows_literal_leak_report", i="n_windows n_crossing n_gap n_test n_shared_dates n_test_dates", f="leak_share", sql=f"""
-    WITH w AS (SELECT z.*, cut FROM ({lead_sql('subject_id', DRUN, 3)}) z JOIN (SELECT subject_id, max(date) - 6 AS cut FROM c_day WHERE n > 1 GROUP BY 1) c ON c.subject_id = z.subject_id WHERE d2 IS NOT NULL),
+    WITH w AS (SELECT z.*, cut FROM ({lead_sql('subject_id', DRUN, 3)}) z JOIN (SELECT subject_id, max(date) - 6 AS cut FROM c_slp GROUP BY 1) c ON c.subject_id = z.subject_id WHERE d2 IS NOT NULL),
     f AS (SELECT *, d0 >= cut AS al, d2 >= cut AS an FROM w),
     dt AS (SELECT subject_id, d, max(al::INT) AS mx, min(al::INT) AS mn FROM (SELECT subject_id, al, unnest([d0, d1, d2]) AS d FROM f) GROUP BY 1, 2)
     SELECT *, n_shared_dates / n_test_dates::DOUBLE AS leak_share FROM (SELECT count(*) AS n_windows, count(*) FILTER (WHERE an AND NOT al) AS n_crossing, count(*) FILTER (WHERE d2 - d0 > 2) AS n_gap, count(*) FILTER (WHERE al) AS n_test FROM f),
       (SELECT count(*) FILTER (WHERE mx = 1 AND mn = 0) AS n_shared_dates, count(*) FILTER (WHERE mx = 1) AS n_test_dates FROM dt)""")
 def _(t):
-    cuts = t.daily.where("n > 1").groupBy("subject_id").agg(F.date_sub(F.max("date"), 6).alias("cut"))
+    cuts = t.sleep.groupBy("subject_id").agg(F.date_sub(F.max("date"), 6).alias("cut"))
     return Q.leak_report(wins(t, 3, 1, False), cuts, "subject_id")
 
 

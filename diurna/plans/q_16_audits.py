@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from diurna.operators import audit as A
 from diurna.operators import splits as S
 from diurna.operators import subject as U
+from diurna.operators.ranking import one_row
+from diurna.plans.q_01_sources import print_sql
 from diurna.plans.registry import query
 from diurna.sources import files
 
@@ -60,11 +62,18 @@ def _(t):
 
 
 @query("duplicate_windows_across_split", s="subject_id wk", sql="""
-    WITH w AS (SELECT subject_id, wk, string_agg(CAST(code AS VARCHAR), ',' ORDER BY pos) AS x FROM (SELECT * FROM c_rec WHERE pos < 4) GROUP BY 1, 2)
-    SELECT subject_id, wk FROM w WHERE CAST(subject_id AS BIGINT) % 5 = 0 AND x IN (SELECT x FROM w WHERE CAST(subject_id AS BIGINT) % 5 <> 0)""")
+    WITH w AS (SELECT subject_id, wk, string_agg(CAST(code AS VARCHAR), ',' ORDER BY pos) AS x FROM c_rec GROUP BY 1, 2),
+    p AS (SELECT * FROM w UNION ALL SELECT CAST(CAST(subject_id AS BIGINT) * 5 AS VARCHAR), 'planted ' || wk, x FROM w WHERE CAST(subject_id AS BIGINT) % 5 = 1
+      UNION ALL SELECT CAST(CAST(subject_id AS BIGINT) * 5 AS VARCHAR), 'tail ' || wk, x || ',9' FROM w WHERE CAST(subject_id AS BIGINT) % 5 = 1)
+    SELECT subject_id, wk FROM p WHERE CAST(subject_id AS BIGINT) % 5 = 0 AND x IN (SELECT x FROM p WHERE CAST(subject_id AS BIGINT) % 5 <> 0)""")
 def _(t):
-    d = t.recordings.select("subject_id", "wk", F.slice("codes", 1, 4).alias("x"))
+    """Planted: copies of train windows under test subjects, and copies that differ in the last code only."""
+    d = t.recordings.select("subject_id", "wk", F.col("codes").alias("x"))
     test = F.col("subject_id").cast("bigint") % 5 == 0
+    source = d.where(F.col("subject_id").cast("bigint") % 5 == 1).withColumn("subject_id", (F.col("subject_id").cast("bigint") * 5).cast("string"))
+    same = source.withColumn("wk", F.concat(F.lit("planted "), "wk"))
+    other = source.withColumns({"wk": F.concat(F.lit("tail "), "wk"), "x": F.array_append("x", F.lit(9))})
+    d = d.unionByName(same).unionByName(other)
     return A.duplicate_contents(d.where(~test), d.where(test), F.col("x"), ["subject_id", "wk"])
 
 
@@ -73,14 +82,23 @@ def _(t):
     return A.coverage(t.oof.where("not (seed = 2 and fold = 3)"), "subject_id", ["model"], 3)
 
 
-@query("frozen_predictions_check", i="n1 a1 b1 unchanged", sql="""
-    SELECT count(*) AS n1, bit_xor(('0x' || substr(m, 1, 15))::BIGINT) AS a1, bit_xor(('0x' || substr(m, 16, 15))::BIGINT) AS b1, 1 AS unchanged FROM (SELECT md5(subject_id || '|' || model || '|' || seed) AS m FROM c_oof)""")
+FROZEN = ("subject_id", "model", "seed", "score")
+CHANGED = "CASE WHEN subject_id = (SELECT min(subject_id) FROM c_oof) AND model = 'a' AND seed = 1 THEN score + 0.5 ELSE score END"
+
+
+@query("frozen_predictions_check", s="kind", i="n1 a1 b1 unchanged", sql=f"""
+    WITH a AS ({print_sql("c_oof", *FROZEN)}), b AS ({print_sql(f"(SELECT subject_id, model, seed, {CHANGED} AS score FROM c_oof)", *FROZEN)})
+    SELECT 'same' AS kind, a.n_rows AS n1, a.digest_a AS a1, a.digest_b AS b1, (a.digest_a = c.digest_a AND a.digest_b = c.digest_b)::INT AS unchanged FROM a, a AS c
+    UNION ALL SELECT 'one score changed', a.n_rows, a.digest_a, a.digest_b, (a.digest_a = b.digest_a AND a.digest_b = b.digest_b)::INT FROM a, b""")
 def _(t):
-    p = t.oof.select("subject_id", "model", "seed", "score")
+    p = t.oof.select(*FROZEN)
     path = files.scratch(t.spark, "frozen")
     files.write_table(p, path)
     after = t.spark.read.parquet(path).join(t.customers.select("subject_id", "y"), "subject_id", "left")
-    return A.frozen(p, after, ["subject_id", "model", "seed"])
+    first = p.agg(F.min("subject_id").alias("first"))
+    hit = (F.col("subject_id") == F.col("first")) & (F.col("model") == "a") & (F.col("seed") == 1)
+    changed = after.transform(one_row, first).withColumn("score", F.when(hit, F.col("score") + 0.5).otherwise(F.col("score")))
+    return A.frozen(p, after, FROZEN).withColumn("kind", F.lit("same")).unionByName(A.frozen(p, changed, FROZEN).withColumn("kind", F.lit("one score changed")))
 
 
 @query("identifier_in_features", **LOG, sql="WITH e AS (SELECT e.*, CASE WHEN ep_id % 97 = 0 THEN 9 ELSE s.y END AS y FROM c_ep e JOIN c_subj s ON s.subject_id = e.subject_id) " + rows(
@@ -105,13 +123,14 @@ def _(t):
 
 
 @query("privacy_scan", s="artefact", i="ids_found", sql=f"""
-    SELECT 'leaky' AS artefact, count(*) AS ids_found FROM c_subj""")
+    SELECT 'leaky' AS artefact, count(*) AS ids_found FROM c_subj UNION ALL SELECT 'sentence', count(*) FROM c_subj UNION ALL SELECT 'clean', 0""")
 def _(t):
     base = files.scratch(t.spark, "artefacts")
     ids = t.subjects.select(F.concat(F.lit("user-"), "subject_id").alias("sid"))
     ids.select(F.concat(F.lit('{"id": "'), "sid", F.lit('"}')).alias("value")).write.text(f"{base}/leaky")
+    ids.select(F.concat(F.lit("Seen: mail@"), "sid", F.lit(".")).alias("value")).write.text(f"{base}/sentence")
     ids.select(F.concat(F.lit('{"id": "'), F.sha2("sid", 256), F.lit('"}')).alias("value")).write.text(f"{base}/clean")
-    texts = t.spark.read.option("recursiveFileLookup", "true").text(base).withColumn("artefact", F.regexp_extract(F.col("_metadata.file_path"), r"/(leaky|clean)/", 1))
+    texts = t.spark.read.option("recursiveFileLookup", "true").text(base).withColumn("artefact", F.regexp_extract(F.col("_metadata.file_path"), r"/(leaky|sentence|clean)/", 1))
     return A.privacy(texts, "value", "artefact", ids, "sid")
 
 

@@ -2,60 +2,96 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Encodings tried in this order.
 ENCODINGS = ("utf-8", "MS949", "EUC-KR")
-_LOCAL: dict[str, str | None] = {}
-REPLACEMENT = "�"
+CODECS = ("utf-8", "cp949", "euc_kr")  # Python's names
+_LOCAL: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared folder named by spark.checkpoint.dir.
 
-    Only when that setting is absent (single machine, tests) a temporary folder is used.
+    Without that setting a temporary folder is used on a local master only; on a cluster executors
+    would not see each other's files, so it is an error there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get("dir")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _LOCAL["dir"] = tempfile.mkdtemp(prefix="diurna-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_csv_allowlist(spark: SparkSession, path, required, optional=(), **options) -> DataFrame:
-    """Text columns named in the allow-list; a missing required column is an error."""
-    df = spark.read.options(header=True, **options).csv(path)
-    clean = {c.lstrip("﻿"): c for c in df.columns}
-    absent = [c for c in required if c not in clean]
-    if absent:
-        raise ValueError(f"required columns absent: {absent}")
-    keep = list(required) + [c for c in optional if c in clean]
-    return df.select(*[F.col(f"`{clean[c]}`").alias(c) for c in keep])
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Spark's file systems, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def detect_encodings(spark: SparkSession, path) -> DataFrame:
-    """(file, encoding): first encoding that decodes every line of the file.
+def headers(spark: SparkSession, path) -> dict[str, list[str]]:
+    """Files by header line. One small row per file (the driver holds the file list anyway)."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in first.toLocalIterator():
+        groups.setdefault(r.header, []).append(r.file)
+    return groups
+
+
+def read_csv_allowlist(spark: SparkSession, path, required, optional=(), multiline: bool = True, **options) -> DataFrame:
+    """Text columns named in the allow-list; a missing required column is an error.
 
-    UTF-8 is checked on the undecoded line bytes; the others by decoding and looking
-    for the replacement character. All lines of all files are read, split by Spark.
+    Columns are matched by name in every file: files are grouped by their header line, each group is
+    read with its own header, and the groups are united by name. Quoted newlines are kept; set
+    ``multiline`` to False for exports without them, so that large files are split.
     """
-    file = F.col("_metadata.file_path").alias("file")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 otherwise allows UTF and ASCII only
-    raw = spark.read.text(path).select(file, (~F.is_valid_utf8("value")).cast("int").alias("bad"))
-    found = raw.groupBy("file").agg(F.sum("bad").alias("bad_0"))
-    for k, enc in enumerate(ENCODINGS[1:], 1):
-        lines = spark.read.option("encoding", enc).csv(path, sep="\u0001")
-        bad = F.contains(F.coalesce(F.col("_c0"), F.lit("")), F.lit(REPLACEMENT)).cast("int")
-        found = found.join(lines.select(file, bad.alias("bad")).groupBy("file").agg(F.sum("bad").alias(f"bad_{k}")), "file", "left")
-    choice = F.coalesce(*[F.when(F.coalesce(F.col(f"bad_{k}"), F.lit(0)) == 0, e) for k, e in enumerate(ENCODINGS)])
-    return found.select("file", choice.alias("encoding"))
+    out = None
+    for _, found in sorted(headers(spark, path).items()):
+        df = spark.read.options(header=True, multiLine=multiline, quote='"', escape='"', **options).csv(found)
+        clean = {c.lstrip("\ufeff"): c for c in df.columns}
+        absent = [c for c in required if c not in clean]
+        if absent:
+            raise ValueError(f"required columns absent: {absent}")
+        part = df.select(*[F.col(f"`{clean[c]}`").alias(c) for c in [*required, *optional] if c in clean])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no lines in {path}")
+    return out.select(*[c for c in [*required, *optional] if c in out.columns])
+
+
+def detect_encodings(spark: SparkSession, path) -> DataFrame:
+    """(file, encoding): first encoding that decodes every line of the file, found in one pass over the raw bytes."""
+
+    def test(batches):
+        for b in batches:
+            bad: dict[str, list[int]] = {}
+            for file, line in zip(b["file"].to_pylist(), b["line"].to_pylist(), strict=True):
+                flags = bad.setdefault(file, [0] * len(ENCODINGS))
+                for k, codec in enumerate(CODECS):
+                    try:
+                        line.decode(codec)
+                    except UnicodeDecodeError:
+                        flags[k] = 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(bad), pa.string()), *[pa.array([f[k] for f in bad.values()], pa.int32()) for k in range(len(ENCODINGS))]], ["file", *[f"bad_{k}" for k in range(len(ENCODINGS))]])
+
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
+    schema = "file string, " + ", ".join(f"bad_{k} int" for k in range(len(ENCODINGS)))
+    found = raw.mapInArrow(test, schema).groupBy("file").agg(*[F.max(f"bad_{k}").alias(f"bad_{k}") for k in range(len(ENCODINGS))])
+    return found.select("file", F.coalesce(*[F.when(F.col(f"bad_{k}") == 0, e) for k, e in enumerate(ENCODINGS)]).alias("encoding"))
 
 
 def read_csv_fallback(spark: SparkSession, path, required, optional=()) -> DataFrame:
-    """Read each file in the first encoding that decodes it, then union the groups.
+    """Read each file in the first encoding that decodes it, then union the groups by name.
 
     Only the file list (already held by the driver's file index) reaches the driver.
     """
@@ -64,35 +100,67 @@ def read_csv_fallback(spark: SparkSession, path, required, optional=()) -> DataF
         if row.encoding is None:
             raise ValueError(f"no encoding decodes {row.file}")
         groups.setdefault(row.encoding, []).append(row.file)
+    if len(groups) > 1 or "utf-8" not in groups:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 otherwise reads UTF and ASCII only; needed until the result is read
     parts = [read_csv_allowlist(spark, files, required, optional, encoding=enc).withColumn("encoding", F.lit(enc))
              for enc, files in sorted(groups.items())]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
-def read_by_stem(spark: SparkSession, base: str, stem: str) -> DataFrame:
-    """All CSV parts whose folder or file name contains the stem, with the source name."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]*{stem}[^/]*\.csv[^/]*)", 1)
-    df = spark.read.option("header", True).option("recursiveFileLookup", "true").csv(f"{base}/*{stem}*.csv*")
-    return df.withColumn("source_name", name)
+def read_by_stem(spark: SparkSession, base: str, stem: str, required=(), optional=()) -> DataFrame:
+    """All CSV files whose folder or file name contains the stem, by column name, with the source name.
 
+    If there is none, all CSV files below ``base`` are read. Without an allow-list every file's
+    columns are kept, missing ones null.
+    """
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")  # names only: content is not read
+    csv = [r.path for r in every.where(F.col("path").rlike(r"\.csv[^/]*")).toLocalIterator()]
+    found = [p for p in csv if re.search(rf"[^/]*{re.escape(stem)}[^/]*\.csv", p[len(base.removeprefix("file:")):])] or csv
+    name = F.regexp_extract(F.input_file_name(), rf"([^/]*{stem if found is not csv else ''}[^/]*\.csv[^/]*)", 1)
+    out = None
+    for header, paths in sorted(headers(spark, found).items()):
+        df = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(paths)
+        keep = [c for c in df.columns if not required or c in [*required, *optional]]
+        part = df.select(name.alias("source_name"), *keep)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def fingerprint_files(spark: SparkSession, path, block: int = 4 << 20) -> DataFrame:
+    """SHA-256 of each file, streamed in blocks inside the tasks: constant memory, no size limit."""
+
+    def digest(batches):
+        for b in batches:
+            out = []
+            for uri in b["path"].to_pylist():
+                fs, inner = pafs.FileSystem.from_uri(uri)
+                h = hashlib.sha256()
+                with fs.open_input_stream(inner) as stream:
+                    while part := stream.read(block):
+                        h.update(part)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b["path"], b["length"], pa.array(out, pa.string())], ["path", "length", "sha256"])
 
-def fingerprint_files(spark: SparkSession, path, max_bytes: int = 512 * 1024 * 1024) -> DataFrame:
-    """SHA-256 of each file not above ``max_bytes``; larger files are listed without a digest."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    small = files.where(F.col("length") <= max_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
-    large = files.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("string").alias("sha256"))
-    return small.unionByName(large)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.mapInArrow(digest, "path string, length bigint, sha256 string")
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """The output committer publishes files only when the whole job has succeeded."""
-    writer = df.write.mode(mode)
+def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Written under a temporary name and renamed when the whole job has succeeded; an old table stays until then."""
+    spark = df.sparkSession
+    temporary = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.tmp"
+    writer = df.write
     if fmt == "csv":
         writer = writer.option("header", True)
-    writer.format(fmt).save(path)
+    writer.format(fmt).save(temporary)
+    delete(spark, path)
+    jvm = spark._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(temporary), jvm.org.apache.hadoop.fs.Path(path)
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"could not publish {path}")
 
 
 def cached_table(spark: SparkSession, root: str, key: str, build) -> DataFrame:
@@ -107,8 +175,16 @@ def cached_table(spark: SparkSession, root: str, key: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def cache_key(sources: dict[str, DataFrame], **parameters) -> str:
+    """Key from the sources' digests (one row each) and the parameters: it changes whenever either does."""
+    from diurna.operators.contracts import frame_fingerprint
+
+    parts = [f"{name}:{tuple(frame_fingerprint(df, df.columns).first())}" for name, df in sorted(sources.items())]
+    return hashlib.sha256("|".join([*parts, repr(sorted(parameters.items()))]).encode()).hexdigest()[:24]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table used several times and read it back; survives executor loss."""
     path = scratch(df.sparkSession, name)
-    write_table(df, path)
+    df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
