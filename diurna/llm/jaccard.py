@@ -13,8 +13,8 @@
 5. Every set is compared with the first set of each of its lists, and linked sets are contracted to
    components. Only lists that still hold several components are scanned, each member outside
    the list's largest component against members of other components. Pairs whose prefixes share too
-   few shingles to reach the threshold are ruled out inside that join (small sets) or by counting
-   their common lists (large sets); whole sets are fetched for the few pairs that remain. So a
+   few shingles to reach the threshold are ruled out inside that join, by hashes of the prefixes,
+   or by counting their common lists where a prefix is very long; whole sets are fetched for the few pairs that remain. So a
    group of many near copies is never expanded into its pairs, and no link between components is lost.
 
 Shingles that a bounded sample shows to be frequent are last in the order and are taken as shared
@@ -41,7 +41,7 @@ SHINGLE = 5
 SIMILARITY = Fraction(3, 4)
 SAMPLE, COMMON = 4_000, 4
 EXTRA = 16  # l = 1 + n // EXTRA
-SHORT = 64  # prefixes up to this length travel with the list entries
+SHORT = 1_024  # prefixes up to this length travel with the list entries, two bytes a shingle
 BOUNDARIES = (0, 8, 16, 32, 64, 128)
 LAST = (1 << 63) - 1
 
@@ -228,9 +228,12 @@ def links(rows: DataFrame, total: int, size: int = SHINGLE, t: Fraction = SIMILA
     placed = posts.join(groups, F.col("k") == F.col("gk"), "left").select("key", "k", "n", F.coalesce("gc", "k").alias("c"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").select(F.col("key").alias("mkey"), F.col("top.c").alias("main"))
-    # lists that hold several components; short prefixes go along, so that most pairs are ruled out inside the join
-    small = docs.select(F.col("k").alias("sk"), F.when(F.size("prefix") <= SHORT, F.transform("prefix", lambda x: x["token"])).alias("px"))
-    open_posts = placed.join(main, F.col("key") == F.col("mkey")).join(small, F.col("k") == F.col("sk")).select("key", "k", "n", "c", "main", "px")
+    # Lists that hold several components. 16-bit hashes of the prefix go along, so that most pairs are ruled out
+    # inside the join: shared hashes, and the shingles that lost theirs to another, bound the shared shingles from above.
+    marks = F.array_distinct(F.transform("prefix", lambda x: (F.pmod(F.xxhash64(x["token"]), F.lit(1 << 16)) - (1 << 15)).cast("smallint")))
+    small = docs.select(F.col("k").alias("sk"), F.size("prefix").alias("m"), F.when(F.size("prefix") <= SHORT, marks).alias("px"))
+    small = small.select("sk", "px", (F.col("m") - F.size("px")).alias("lost"))
+    open_posts = placed.join(main, F.col("key") == F.col("mkey")).join(small, F.col("k") == F.col("sk")).select("key", "k", "n", "c", "main", "px", "lost")
     open_posts = stored(open_posts, "open-lists")
     p, q = open_posts.where("c <> main").alias("p"), open_posts.alias("q")
 
@@ -242,7 +245,7 @@ def links(rows: DataFrame, total: int, size: int = SHINGLE, t: Fraction = SIMILA
     pn, qn = F.col("p.n"), F.col("q.n")
     cross = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & ((F.col("q.c") == F.col("q.main")) | (F.col("p.k") < F.col("q.k"))) & _near(pn, qn, t)
     unknown = F.col("p.px").isNull() | F.col("q.px").isNull()
-    both = p.join(q, cross & (unknown | (F.size(F.array_intersect("p.px", "q.px")) >= need(pn, qn))))
+    both = p.join(q, cross & (unknown | (F.size(F.array_intersect("p.px", "q.px")) + F.least("p.lost", "q.lost") >= need(pn, qn))))
     # single-shingle lists cover one shingle less than the prefix
     least = F.when(unknown & (pn > x) & (qn > x), need(pn, qn) - 1).otherwise(0)
     pair = both.select(F.least("p.k", "q.k").alias("k"), F.greatest("p.k", "q.k").alias("lead"), least.alias("least"))
