@@ -156,7 +156,9 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
                     ["h1", "h2", "k", "row", "at"])
 
     windows = held.mapInArrow(extend, "h1 bigint, h2 bigint, k bigint, row bigint, at int")
-    earliest = windows.groupBy("h1", "h2").agg(F.min("k").alias("first")).withColumnsRenamed({"h1": "e1", "h2": "e2"})
+    earliest = windows.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
+    # written, so that the join is dealt anew and adaptive execution can split a very frequent window
+    earliest = stored(earliest, "earliest").withColumnsRenamed({"h1": "e1", "h2": "e2"})
     hits = windows.join(earliest, (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))).where("k > first")
     hits = hits.groupBy("k", "row").agg(F.collect_set("at").alias("at")).withColumnsRenamed({"k": "hk"})
     found = held.select("k", "text").join(hits, F.col("k") == F.col("hk")).select("k", "text", "row", "at")
