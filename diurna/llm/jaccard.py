@@ -263,7 +263,8 @@ def near_duplicates(df: DataFrame, id_col="doc_id", text_col="text", size: int =
     """
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
     base = stored(_profile(rows, size), "profile")
-    firsts = base.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("k").alias("first"))
+    # written, so that the join is dealt anew and adaptive execution can split a very large group of equal sets
+    firsts = stored(base.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("k").alias("first")), "firsts")
     equal = base.join(firsts, ["n", "d1", "d2"])
     later = equal.groupBy("k").agg(F.min(F.col("k") > F.col("first")).alias("later")).where("later").select(F.col("k").alias("lk"))
     later = stored(later, "later-copies")

@@ -100,12 +100,12 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
     k = min(ANCHOR, length)
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
     base = stored(profile(rows), "profile")
-    firsts = base.groupBy("sha").agg(F.min("k").alias("first"), F.max("k").alias("last"))
-    copies = base.select("sha", "k", "n_words", "row").distinct().join(firsts.where("first < last").drop("last"), "sha").where("k > first")
+    firsts = stored(base.groupBy("sha").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last"), "firsts")
+    copies = base.select("sha", "k", "n_words", "row").distinct().join(firsts.drop("last"), "sha").where("k > first")
     copies = stored(copies.select("k", "row", F.col("n_words") >= length), "copies").toDF("k", "row", "long")
     n = base.count()
     hot = df.sparkSession.sparkContext.broadcast(frequent_anchors(rows, n, length, k))  # at most SAMPLE rows' anchors / COMMON
-    later = base.select("sha", "k").join(firsts.drop("last"), "sha").groupBy("k").agg(F.min(F.col("k") > F.col("first")).alias("gone"))
+    later = base.select("sha", "k").join(firsts.drop("last"), "sha", "left").groupBy("k").agg(F.min(F.coalesce(F.col("k") > F.col("first"), F.lit(False))).alias("gone"))
     skip = stored(later.where("gone").select(F.col("k").alias("ck")), "skipped")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
