@@ -21,7 +21,7 @@ HEADLINE = [
     "sleep_onset_waso_awakenings", "m10_l5_minute", "cosinor_fit", "subject_rich_stats", "variability_family", "compact_variability",
     "sleep_regularity_index", "interdaily_stability_intradaily_variability", "windows_consecutive", "midrank_percentile", "winsorise",
     "repeated_kfold", "undersample_subject_balanced", "smote", "roc_auc", "threshold_youden", "bootstrap_ci", "permutation_p", "welch_t",
-    "random_intercept_test", "bh_fdr", "ks_two_sample", "stability_selection", "fit_logistic",
+    "random_intercept_test", "bh_fdr", "ks_two_sample", "stability_selection", "fit_logistic", "univariate_effect_table", "smote_tomek", "spectral_peak_ratio",
 ]
 
 

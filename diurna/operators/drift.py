@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,15 +60,43 @@ def variance_collapse(long: DataFrame, feature: str, value: str, side: str) -> D
 def pair_correlations(df: DataFrame, columns, by=(), wide_limit: int = 24) -> DataFrame:
     """Pearson correlation of all column pairs: (by, a, b, r).
 
-    Few columns: one wide aggregation. Many columns: pair rows with map-side partial sums,
-    because a very wide aggregate leaves generated code.
+    Few columns: one wide aggregation, which stays in generated code. Many columns: each task adds up
+    products of whole Arrow batches around common shifts (the column means) and sends one row per
+    pair. A pair uses the rows in which both values are known.
     """
     pairs = list(combinations(columns, 2))
     if len(columns) <= wide_limit:
         wide = df.groupBy(*by).agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
         return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
-    return df.select(*by, F.inline(rows)).groupBy(*by, "a", "b").agg(F.corr("x", "y").alias("r"))
+    by, names = list(by), list(columns)
+    means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]).first()  # one row, schema wide
+    shift = np.array([np.nan if m is None else m for m in means], float)
+    i, j = (np.array(x) for x in zip(*combinations(range(len(names)), 2), strict=True))
+
+    def products(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            groups = pdf.groupby(by, dropna=False) if by else [((), pdf)]
+            for key, part in groups:
+                x = part[names].to_numpy(float) - shift
+                m = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                s = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+                key = key if isinstance(key, tuple) else (key,)
+                sums[key] = sums[key] + s if key in sums else s
+        for key, s in sums.items():
+            out = pd.DataFrame({"_i": i, "_j": j, **{f"_s{k}": s[k][i, j] for k in range(6)}})
+            for c, v in zip(by, key):
+                out[c] = v
+            yield out
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(["_i int", "_j int", *[f"_s{k} double" for k in range(6)], *[f"{c} {kinds[c]}" for c in by]])
+    total = df.select(*by, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(products, schema).groupBy(*by, "_i", "_j").agg(*[F.sum(f"_s{k}").alias(f"_s{k}") for k in range(6)])
+    n, sx, sy, sxx, syy, sxy = (F.col(f"_s{k}") for k in range(6))
+    spread = F.sqrt(F.greatest(sxx - sx * sx / n, F.lit(0.0))) * F.sqrt(F.greatest(syy - sy * sy / n, F.lit(0.0)))
+    label = F.array(*[F.lit(c) for c in names])
+    return total.where(n > 0).select(*by, F.get(label, F.col("_i")).alias("a"), F.get(label, F.col("_j")).alias("b"), F.try_divide(sxy - sx * sy / n, spread).alias("r"))
 
 
 def correlation_difference(df: DataFrame, columns, side: str) -> DataFrame:

@@ -131,3 +131,12 @@ def negative_controls(effect: DataFrame, feature: str, label: str, reference: in
     def n(t):
         return F.count_distinct(F.when(F.abs("cliffs_delta") >= t, F.col(feature)))
     return d.agg(n(0.33).alias("n_moderate"), n(0.474).alias("n_strong"), F.max(F.abs("cliffs_delta")).alias("max_abs_delta"))
+
+
+def robust_distance(long: DataFrame, row_id: str, feature: str, value: str) -> DataFrame:
+    """(row, distance): sum of squared deviations from the feature medians in units of 1.4826 MAD; a MAD of 0 leaves the feature out."""
+    middle = quantiles(long, [feature], value, [0.5]).select(feature, F.col("q50").alias("_med"))
+    dev = long.join(middle, feature).select(row_id, feature, F.abs(F.col(value) - F.col("_med")).alias("_dev"))
+    spread = quantiles(dev, [feature], "_dev", [0.5]).select(feature, (F.col("q50") * 1.4826).alias("_mad"))
+    term = F.pow(F.try_divide(F.col("_dev"), F.col("_mad")), 2)
+    return dev.join(spread, feature).groupBy(row_id).agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("distance"))

@@ -1,5 +1,7 @@
 """The carrier views of ``sources.carriers`` restated as SQL for the checks."""
 
+from diurna.sources.carriers import DIM
+
 U = "(('0x' || substr(md5(concat_ws('-', {})), 1, 8))::BIGINT)"
 
 
@@ -94,10 +96,10 @@ CTES: dict[str, str] = {
     "c_ord": f"""SELECT CAST(o_custkey AS VARCHAR) AS subject_id, o_orderkey AS window_id, CAST(o_orderdate AS DATE) AS date,
       CAST({h("'y'", "o_custkey")} % 3 > 0 AS INTEGER) AS y, o_totalprice / 1000000.0 AS score FROM orders""",
     "c_vec": "SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(label >= 5 AS INTEGER) AS y, CAST(label % 3 AS INTEGER) AS y3, "
-    "CAST(vec_id % 5 AS INTEGER) AS fold, " + ", ".join(f"CAST(embedding[{k}] AS DOUBLE) AS x{k}" for k in range(1, 9)) + " FROM embeddings",
-    "c_vn": "SELECT vec_id, label, y, y3, fold, " + ", ".join(f"CASE WHEN vec_id % 9 <> {k} THEN x{k} END AS x{k}" for k in range(1, 9)) + " FROM c_vec",
+    "CAST(vec_id % 5 AS INTEGER) AS fold, " + ", ".join(f"CAST(embedding[{k}] AS DOUBLE) AS x{k}" for k in range(1, DIM + 1)) + " FROM embeddings",
+    "c_vn": "SELECT vec_id, label, y, y3, fold, " + ", ".join(f"CASE WHEN vec_id % {DIM + 1} <> {k} THEN x{k} END AS x{k}" for k in range(1, DIM + 1)) + " FROM c_vec",
     "c_vl": "SELECT vec_id, label, y, y3, fold, feature, value FROM (SELECT vec_id, label, y, y3, fold, unnest(["
-    + ", ".join(f"'x{k}'" for k in range(1, 9)) + "]) AS feature, unnest([" + ", ".join(f"x{k}" for k in range(1, 9)) + "]) AS value FROM c_vec)",
+    + ", ".join(f"'x{k}'" for k in range(1, DIM + 1)) + "]) AS feature, unnest([" + ", ".join(f"x{k}" for k in range(1, DIM + 1)) + "]) AS value FROM c_vec)",
     "c_contrib": """SELECT vec_id, y, fold, feature, value,
       value * CAST(substr(feature, 2) AS INTEGER) * (CASE WHEN CAST(substr(feature, 2) AS INTEGER) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS contribution
       FROM c_vl""",

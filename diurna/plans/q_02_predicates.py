@@ -8,8 +8,9 @@ from diurna.functions import numbers as N
 from diurna.functions import series as S
 from diurna.operators import selection as P
 from diurna.plans.registry import query
+from diurna.sources.carriers import FEATURES
 
-XS = [f"x{k}" for k in range(1, 9)]
+XS = list(FEATURES)
 DAYCOLS = ["v_max", "click_v", "purchase_v", "n", "is_weekend"]
 
 
@@ -122,18 +123,22 @@ def _(t):
     return P.min_observations(t.daily, "subject_id", 27)
 
 
-BOUNDS = ", ".join(f"quantile_cont({c}, 0.05) AS lo_{c}, quantile_cont({c}, 0.95) AS hi_{c}" for c in XS)
+def bounds(tail: float) -> str:
+    return ", ".join(f"quantile_cont({c}, {tail}) AS lo_{c}, quantile_cont({c}, {1 - tail}) AS hi_{c}" for c in XS)
+
+
+BOUNDS, WIDE = bounds(0.05), bounds(0.005)  # with all columns judged, 5 percent tails leave no row
 KEEP = " AND ".join(f"{c} BETWEEN lo_{c} AND hi_{c}" for c in XS)
 CLIPS = ", ".join(f"greatest(least({c}, hi_{c}), lo_{c}) AS {c}" for c in XS)
 NCLIP = " + ".join(f"CAST({c} < lo_{c} OR {c} > hi_{c} AS INTEGER)" for c in XS)
 
 
 @query("percentile_outlier_drop", s="scope", i="vec_id", sql=f"""
-    SELECT 'global' AS scope, vec_id FROM c_vec, (SELECT {BOUNDS} FROM c_vec) AS b WHERE {KEEP}
-    UNION ALL SELECT 'per_class', vec_id FROM c_vec JOIN (SELECT y3, {BOUNDS} FROM c_vec GROUP BY y3) AS b USING (y3) WHERE {KEEP}""")
+    SELECT 'global' AS scope, vec_id FROM c_vec, (SELECT {WIDE} FROM c_vec) AS b WHERE {KEEP}
+    UNION ALL SELECT 'per_class', vec_id FROM c_vec JOIN (SELECT y3, {WIDE} FROM c_vec GROUP BY y3) AS b USING (y3) WHERE {KEEP}""")
 def _(t):
-    a = P.drop_outliers(t.vectors, XS, 0.05).select(F.lit("global").alias("scope"), "vec_id")
-    return a.unionAll(P.drop_outliers(t.vectors, XS, 0.05, ["y3"]).select(F.lit("per_class").alias("scope"), "vec_id"))
+    a = P.drop_outliers(t.vectors, XS, 0.005).select(F.lit("global").alias("scope"), "vec_id")
+    return a.unionAll(P.drop_outliers(t.vectors, XS, 0.005, ["y3"]).select(F.lit("per_class").alias("scope"), "vec_id"))
 
 
 @query("percentile_outlier_clip", i="vec_id n_clipped", f="x1 x2 x8", sql=f"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from diurna.operators import payload as Y
 from diurna.plans.registry import query
+from diurna.sources.carriers import FEATURES
 
 PROGRAM = json.dumps({"program_version": 1, "features": [
     {"name": "fp_mean", "operation": "signed_mean", "dependencies": ["x1", "x2", "x3"], "directions": [1, -1, 1]},
@@ -55,6 +56,6 @@ def z(c, s):
     SELECT vec_id, tanh(({z('x1', 1)} + {z('x2', -1)} + {z('x3', 1)}) / 3) AS fp_mean, tanh({z('x4', 1)}) * tanh({z('x5', -1)}) AS fp_product,
       tanh(greatest({z('x6', 1)}, {z('x7', 1)}, {z('x8', -1)}) - least({z('x6', 1)}, {z('x7', 1)}, {z('x8', -1)})) AS fp_gap FROM c_vec""")
 def _(t):
-    xs = [f"x{k}" for k in range(1, 9)]
+    xs = list(FEATURES)
     d = t.vectors.select("vec_id", *[(F.col(c) * 8).alias(c) for c in xs])
     return d.select("vec_id", *[e.alias(k) for k, e in Y.compile_program(PROGRAM, xs).items()])

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from diurna.operators import neighbours as N
 from diurna.operators import prep as R
 from diurna.plans.registry import query
+from diurna.sources.carriers import FEATURES
 
-XS = [f"x{k}" for k in range(1, 9)]
+XS = list(FEATURES)
 XF = " ".join(XS)
 
 

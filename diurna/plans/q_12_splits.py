@@ -8,8 +8,9 @@ from diurna.operators import resample as R
 from diurna.operators import splits as S
 from diurna.plans.carrier_sql import h
 from diurna.plans.registry import query
+from diurna.sources.carriers import FEATURES
 
-XS = ["x1", "x2", "x3", "x4"]
+XS = list(FEATURES)
 
 
 def hx(*parts: str) -> str:

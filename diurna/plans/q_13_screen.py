@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from diurna.operators import screen as S
 from diurna.plans.q_12_splits import hx
-from diurna.plans.q_15_metrics import PAIRS, XS, auc_sql
+from diurna.plans.q_15_metrics import XS, auc_sql
 from diurna.plans.registry import query
 from diurna.sources.carriers import stack_columns
 
@@ -32,7 +32,8 @@ def _(t):
     return S.direction_free_auc(d, [], "feature", "y", "value")
 
 
-CORR = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM c_vec" for a, b in PAIRS)
+CORR = """SELECT a.feature AS a, b.feature AS b, corr(a.value, b.value) AS r FROM c_vl a JOIN c_vl b ON a.vec_id = b.vec_id
+    AND CAST(substr(a.feature, 2) AS INTEGER) < CAST(substr(b.feature, 2) AS INTEGER) GROUP BY 1, 2"""
 
 
 @query("correlation_prune", s="feature", i="kept", f="f_value", sql=f"""
@@ -40,14 +41,14 @@ CORR = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r F
     bad AS (SELECT o.i, list(p.feature) AS clash FROM o JOIN rr ON rr.a = o.feature JOIN o p ON p.feature = rr.b WHERE abs(rr.r) >= 0.1 GROUP BY 1),
     ob AS (SELECT o.i, o.feature, coalesce(bad.clash, []) AS clash FROM o LEFT JOIN bad ON bad.i = o.i),
     g AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS kept UNION ALL SELECT ob.i, CASE WHEN list_has_any(g.kept, ob.clash) THEN g.kept ELSE list_append(g.kept, ob.feature) END FROM g JOIN ob ON ob.i = g.i + 1)
-    SELECT feature, f_value, list_contains((SELECT kept FROM g WHERE i = 8), feature) AS kept FROM sc""")
+    SELECT feature, f_value, list_contains((SELECT kept FROM g WHERE i = (SELECT count(*) FROM sc)), feature) AS kept FROM sc""")
 def _(t):
     return S.correlation_prune(t.vectors, XS, S.anova_f(t.vector_long, [], "feature", "y3", "value"), "feature", "f_value", 0.1)
 
 
-@query("spearman_pairs", s="a b", f="r", sql=f"""
-    WITH k AS (SELECT vec_id, {', '.join(f'rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}' for c in XS)} FROM c_vec)
-    {' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM k" for a, b in PAIRS)}""")
+@query("spearman_pairs", s="a b", f="r", sql="""
+    WITH k AS (SELECT vec_id, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS value FROM c_vl)
+    SELECT a.feature AS a, b.feature AS b, corr(a.value, b.value) AS r FROM k a JOIN k b ON a.vec_id = b.vec_id AND CAST(substr(a.feature, 2) AS INTEGER) < CAST(substr(b.feature, 2) AS INTEGER) GROUP BY 1, 2""")
 def _(t):
     return S.spearman_pairs(t.vector_long, "vec_id", "feature", "value", XS)
 
@@ -79,7 +80,7 @@ def _(t):
 
 
 @query("redundancy_report", i="n_pairs n_columns", sql="""
-    WITH m AS (SELECT vec_id, coalesce(x1, (SELECT median(x1) FROM c_vn)) AS a, coalesce(x2, (SELECT median(x2) FROM c_vn)) AS b, coalesce(CASE WHEN vec_id % 9 <> 1 THEN x1 * 2 + x2 * 0.01 END, (SELECT median(x1 * 2 + x2 * 0.01) FROM c_vn)) AS c FROM c_vn)
+    WITH m AS (SELECT vec_id, coalesce(x1, (SELECT median(x1) FROM c_vn)) AS a, coalesce(x2, (SELECT median(x2) FROM c_vn)) AS b, coalesce(x1 * 2 + x2 * 0.01, (SELECT median(x1 * 2 + x2 * 0.01) FROM c_vn)) AS c FROM c_vn)
     SELECT (abs(corr(a, b)) >= 0.95)::INT + (abs(corr(a, c)) >= 0.95)::INT + (abs(corr(b, c)) >= 0.95)::INT AS n_pairs, 3 AS n_columns FROM m""")
 def _(t):
     d = t.vectors_missing.select("x1", "x2", (F.col("x1") * 2 + F.col("x2") * 0.01).alias("near_copy"), F.lit(1.0).alias("constant"))

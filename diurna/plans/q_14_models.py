@@ -12,9 +12,10 @@ from diurna.plans.q_11_prep import CLIPPED, FILL, each, row
 from diurna.plans.q_12_splits import boot_sql
 from diurna.plans.q_15_metrics import auc_sql, cells_sql, pts
 from diurna.plans.registry import query
+from diurna.sources.carriers import FEATURES
 
-XS = [f"x{k}" for k in range(1, 9)]
-FEW = XS[:4]
+XS = list(FEATURES)
+FEW = XS[::16]  # candidate columns of the wrapper search, which refits a model for every step
 
 
 def sides(t):
@@ -142,13 +143,18 @@ def _(t):
     return L.linear_contributions(tr, te, XS, "vec_id", "y")
 
 
-@query("isolation_outlier", i="vec_id outlier", f="isolation")
+@query("isolation_outlier", i="vec_id outlier", f="distance", sql="""
+    WITH m AS (SELECT feature, median(value) AS med FROM c_vl GROUP BY 1), d AS (SELECT vec_id, v.feature, abs(value - med) AS dev FROM c_vl v JOIN m ON m.feature = v.feature),
+    s AS (SELECT feature, median(dev) * 1.4826::DOUBLE AS mad FROM d GROUP BY 1), r AS (SELECT vec_id, sum(pow(dev / nullif(mad, 0), 2)) AS distance FROM d JOIN s ON s.feature = d.feature GROUP BY 1)
+    SELECT vec_id, distance, distance > (SELECT quantile_cont(distance, 0.9) FROM r) AS outlier FROM r""")
 def _(t):
+    """Re-aimed: a tenth of the rows by robust distance instead of grown trees."""
     from diurna.operators.ranking import one_row, quantiles
+    from diurna.operators.screen import robust_distance
 
-    s = L.isolation_scores(t.vectors, XS, "vec_id")
-    cut = quantiles(s, [], "isolation", [0.9]).select(F.col("q90").alias("cut"))
-    return s.transform(one_row, cut).withColumn("outlier", F.col("isolation") > F.col("cut"))
+    s = robust_distance(t.vector_long, "vec_id", "feature", "value")
+    cut = quantiles(s, [], "distance", [0.9]).select(F.col("q90").alias("cut"))
+    return s.transform(one_row, cut).withColumn("outlier", F.col("distance") > F.col("cut"))
 
 
 # ------------------------------------------------------------------ ensembles

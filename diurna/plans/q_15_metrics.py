@@ -9,6 +9,7 @@ from diurna.operators import inference as I
 from diurna.operators import metrics as M
 from diurna.plans.q_12_splits import boot_sql, perm_sql
 from diurna.plans.registry import query
+from diurna.sources.carriers import FEATURES
 
 MS = ["model", "seed"]
 B = 20
@@ -229,19 +230,27 @@ WELCH = """SELECT feature, n0, n1, (m0 - m1) / sqrt(v0 / n0 + v1 / n1) AS t, pow
     avg(value) FILTER (WHERE y = 0) AS m0, avg(value) FILTER (WHERE y = 1) AS m1, var_samp(value) FILTER (WHERE y = 0) AS v0, var_samp(value) FILTER (WHERE y = 1) AS v1 FROM c_vl GROUP BY 1)"""
 
 
+def t_tail(src: str, keep: str) -> str:
+    """Two-sided p of t with df degrees of freedom: Simpson's rule on both integrals of the incomplete beta function."""
+    def area(top: str) -> str:
+        return f"sum(c * pow(sin({top} * i / 4000.0::DOUBLE), df - 1)) * {top}"
+
+    return f"""SELECT {keep}, {area('hi')} / ({area('pi() / 2')}) AS p FROM (SELECT *, asin(sqrt(df / (df + t * t))) AS hi FROM ({src})),
+      (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS c FROM (SELECT unnest(range(4001)) AS i)) GROUP BY {keep}, hi"""
+
+
 def p_table(t):
-    """exp(-|t|) stands in for a p-value: a monotone column both engines compute alike."""
-    return I.welch(t.vector_long, ["feature"], "y", "value").select("feature", F.exp(-F.abs("t")).alias("p"))
+    return I.welch(t.vector_long, ["feature"], "y", "value").select("feature", I.two_sided_t_p("t", "df").alias("p"))
 
 
 @query("holm_adjust", s="feature", f="p p_holm", sql=f"""
-    WITH p AS (SELECT feature, exp(-abs(t)) AS p FROM ({WELCH})) SELECT feature, p, least(1, max(s) OVER (ORDER BY p, feature)) AS p_holm FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, feature) + 1) * p AS s FROM p)""")
+    WITH p AS (SELECT feature, p FROM ({t_tail(WELCH, 'feature, t, df')})) SELECT feature, p, least(1, max(s) OVER (ORDER BY p, feature)) AS p_holm FROM (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, feature) + 1) * p AS s FROM p)""")
 def _(t):
     return I.holm(p_table(t), "feature", "p")
 
 
 @query("bh_fdr", s="feature", f="p q", sql=f"""
-    WITH p AS (SELECT feature, exp(-abs(t)) AS p FROM ({WELCH})) SELECT feature, p, least(1, min(s) OVER (ORDER BY p DESC, feature DESC)) AS q FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, feature) AS s FROM p)""")
+    WITH p AS (SELECT feature, p FROM ({t_tail(WELCH, 'feature, t, df')})) SELECT feature, p, least(1, min(s) OVER (ORDER BY p DESC, feature DESC)) AS q FROM (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, feature) AS s FROM p)""")
 def _(t):
     return I.bh(p_table(t), "feature", "p")
 
@@ -291,15 +300,19 @@ def _(t):
     return compare_reported(m, "model", "auc", {"a0": 0.71, "a1": 0.69, "b0": 0.70, "b2": 0.66})
 
 
-@query("welch_t", s="feature", i="n0 n1", f="t df", sql=WELCH)
+@query("welch_t", s="feature", i="n0 n1", f="t df p", sql=t_tail(WELCH, "feature, n0, n1, t, df"))
 def _(t):
-    return I.welch(t.vector_long, ["feature"], "y", "value")
+    return I.welch(t.vector_long, ["feature"], "y", "value").withColumn("p", I.two_sided_t_p("t", "df"))
+
+
+ONE_T = """SELECT feature, r AS reference_mean, n, m AS mean, s AS sd, (m - r) / (s / sqrt(n)) AS t, n - 1.0::DOUBLE AS df FROM (SELECT feature, avg(value) FILTER (WHERE y = 0) AS r, count(value) FILTER (WHERE y = 1) AS n, avg(value) FILTER (WHERE y = 1) AS m, stddev_samp(value) FILTER (WHERE y = 1) AS s FROM c_vl GROUP BY 1)"""
 
 
-@query("one_sample_t", s="feature", i="n", f="reference_mean mean sd t", sql="""
-    SELECT feature, r AS reference_mean, n, m AS mean, s AS sd, (m - r) / (s / sqrt(n)) AS t FROM (SELECT feature, avg(value) FILTER (WHERE y = 0) AS r, count(value) FILTER (WHERE y = 1) AS n, avg(value) FILTER (WHERE y = 1) AS m, stddev_samp(value) FILTER (WHERE y = 1) AS s FROM c_vl GROUP BY 1)""")
+@query("one_sample_t", s="feature", i="n", f="reference_mean mean sd t p p_greater", sql=f"SELECT *, CASE WHEN t > 0 THEN p / 2 ELSE 1 - p / 2 END AS p_greater FROM ({t_tail(ONE_T, 'feature, reference_mean, n, mean, sd, t, df')})")
 def _(t):
-    return I.one_sample_t(t.vector_long, ["feature"], "value", "y", 0, 1)
+    d = I.one_sample_t(t.vector_long, ["feature"], "value", "y", 0, 1)
+    d = d.withColumn("p", I.two_sided_t_p("t", (F.col("n") - 1).cast("double")))
+    return d.withColumn("p_greater", F.when(F.col("t") > 0, F.col("p") / 2).otherwise(1 - F.col("p") / 2))
 
 
 LAM = [0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0]
@@ -350,13 +363,13 @@ def _(t):
     return w.join(D.moments(sided(t), "feature", "value", "side").select("feature", "sd_ratio"), "feature")
 
 
-XS = [f"x{k}" for k in range(1, 9)]
-PAIRS = [(a, b) for i, a in enumerate(XS) for b in XS[i + 1:]]
+XS = list(FEATURES)
 
 
 @query("correlation_matrix_diff", i="n_features", f="frobenius mean_abs max_abs", sql=f"""
-    WITH r AS ({' UNION ALL '.join(f"SELECT '{a}{b}' AS p, corr({a}, {b}) FILTER (WHERE fold = 0) - corr({a}, {b}) FILTER (WHERE fold <> 0) AS d FROM c_vec" for a, b in PAIRS)})
-    SELECT 8 AS n_features, sqrt(2 * sum(d * d)) AS frobenius, 2 * sum(abs(d)) / 64 AS mean_abs, max(abs(d)) AS max_abs FROM r""")
+    WITH r AS (SELECT a.feature AS p, b.feature AS q, corr(a.value, b.value) FILTER (WHERE a.fold = 0) - corr(a.value, b.value) FILTER (WHERE a.fold <> 0) AS d FROM c_vl a JOIN c_vl b ON a.vec_id = b.vec_id
+      AND CAST(substr(a.feature, 2) AS INTEGER) < CAST(substr(b.feature, 2) AS INTEGER) GROUP BY 1, 2)
+    SELECT {len(XS)} AS n_features, sqrt(2 * sum(d * d)) AS frobenius, 2 * sum(abs(d)) / {len(XS) ** 2} AS mean_abs, max(abs(d)) AS max_abs FROM r""")
 def _(t):
     return D.correlation_difference(t.vectors.withColumn("side", (F.col("fold") == 0).cast("int")), XS, "side")
 

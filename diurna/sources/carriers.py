@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from diurna.functions.hashing import hash_int
 
 CHANNELS = ("v_max", "click_v", "purchase_v")
-FEATURES = tuple(f"x{k}" for k in range(1, 9))
+DIM = 64  # width of the vectors in the table
+FEATURES = tuple(f"x{k}" for k in range(1, DIM + 1))
 
 
 def stack_columns(df: DataFrame, keep, columns, name="channel", value="value") -> DataFrame:
@@ -187,11 +188,11 @@ class Tables:
         return self.table("embeddings").select(
             "vec_id", lab.cast("int").alias("label"), (lab >= 5).cast("int").alias("y"), (lab % 3).cast("int").alias("y3"),
             (F.col("vec_id") % 5).cast("int").alias("fold"),
-            *[F.col("embedding")[k - 1].cast("double").alias(f"x{k}") for k in range(1, 9)])
+            *[F.col("embedding")[k - 1].cast("double").alias(f"x{k}") for k in range(1, DIM + 1)])
 
     @cached_property
     def vectors_missing(self) -> DataFrame:
-        return self.vectors.withColumns({f"x{k}": F.when(F.col("vec_id") % 9 != k, F.col(f"x{k}")) for k in range(1, 9)})
+        return self.vectors.withColumns({f"x{k}": F.when(F.col("vec_id") % (DIM + 1) != k, F.col(f"x{k}")) for k in range(1, DIM + 1)})
 
     @cached_property
     def vector_long(self) -> DataFrame:
