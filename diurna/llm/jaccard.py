@@ -42,6 +42,7 @@ SIMILARITY = Fraction(3, 4)
 SAMPLE, COMMON = 4_000, 4
 EXTRA = 16  # l = 1 + n // EXTRA
 SHORT = 1_024  # prefixes up to this length travel with the list entries, two bytes a shingle
+BEFORE = 4  # shingles before an entry's own that tell whether two sets have met in an earlier list
 BOUNDARIES = (0, 8, 16, 32, 64, 128)
 LAST = (1 << 63) - 1
 
@@ -180,13 +181,14 @@ def _boundary(docs: DataFrame, total: int) -> int:
 
 
 def _postings(docs: DataFrame, x: int, t: Fraction) -> DataFrame:
-    """(key, k, n): 2-subsets of the small sets' prefixes, single shingles of the large ones and their small partners."""
+    """(key, k, n, before): 2-subsets of the small sets' prefixes, single shingles of the large ones and their small partners, with the shingles just before."""
     tokens = F.transform("prefix", lambda p: p["token"])
     pairs = F.flatten(F.transform("tokens", lambda a, i: F.transform(F.slice("tokens", i + 2, F.size("tokens")), lambda b: F.xxhash64(F.least(a, b), F.greatest(a, b)))))
     named = docs.select("k", "n", "room", tokens.alias("tokens"))
-    light = named.where(F.col("n") <= x).select("k", "n", F.explode(pairs).alias("key"))
-    single = named.where(F.col("n") >= ceil(t * (x + 1))).select("k", "n", F.explode(F.slice("tokens", F.lit(1), F.col("room") - 1)).alias("token"))
-    return light.select("key", "k", "n").unionByName(single.select(F.xxhash64("token").alias("key"), "k", "n"))
+    light = named.where(F.col("n") <= x).select("k", "n", F.explode(pairs).alias("key"), F.array().cast("array<bigint>").alias("before"))
+    single = named.where(F.col("n") >= ceil(t * (x + 1))).select("k", "n", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.col("room") - 1)).alias("at", "token"))
+    before = F.slice("tokens", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least(F.col("at"), F.lit(BEFORE)))
+    return light.unionByName(single.select("k", "n", F.xxhash64("token").alias("key"), before.alias("before")))
 
 
 def _linked(a: Column, b: Column, na: Column, nb: Column, t: Fraction) -> Column:
@@ -225,7 +227,7 @@ def links(rows: DataFrame, total: int, size: int = SHINGLE, t: Fraction = SIMILA
     first = stored(verified(pairs), "first-links")
 
     groups = components(first, "first-components").withColumnsRenamed({"node": "gk", "component": "gc"})
-    placed = posts.join(groups, F.col("k") == F.col("gk"), "left").select("key", "k", "n", F.coalesce("gc", "k").alias("c"))
+    placed = posts.join(groups, F.col("k") == F.col("gk"), "left").select("key", "k", "n", "before", F.coalesce("gc", "k").alias("c"))
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("cs")).where("cs > 1").select(F.col("key").alias("mkey"), F.col("top.c").alias("main"))
     # Lists that hold several components. 16-bit hashes of the prefix go along, so that most pairs are ruled out
@@ -233,7 +235,7 @@ def links(rows: DataFrame, total: int, size: int = SHINGLE, t: Fraction = SIMILA
     marks = F.array_distinct(F.transform("prefix", lambda x: (F.pmod(F.xxhash64(x["token"]), F.lit(1 << 16)) - (1 << 15)).cast("smallint")))
     small = docs.select(F.col("k").alias("sk"), F.size("prefix").alias("m"), F.when(F.size("prefix") <= SHORT, marks).alias("px"))
     small = small.select("sk", "px", (F.col("m") - F.size("px")).alias("lost"))
-    open_posts = placed.join(main, F.col("key") == F.col("mkey")).join(small, F.col("k") == F.col("sk")).select("key", "k", "n", "c", "main", "px", "lost")
+    open_posts = placed.join(main, F.col("key") == F.col("mkey")).join(small, F.col("k") == F.col("sk")).select("key", "k", "n", "before", "c", "main", "px", "lost")
     open_posts = stored(open_posts, "open-lists")
     p, q = open_posts.where("c <> main").alias("p"), open_posts.alias("q")
 
@@ -245,7 +247,9 @@ def links(rows: DataFrame, total: int, size: int = SHINGLE, t: Fraction = SIMILA
     pn, qn = F.col("p.n"), F.col("q.n")
     cross = (F.col("p.key") == F.col("q.key")) & (F.col("p.c") != F.col("q.c")) & ((F.col("q.c") == F.col("q.main")) | (F.col("p.k") < F.col("q.k"))) & _near(pn, qn, t)
     unknown = F.col("p.px").isNull() | F.col("q.px").isNull()
-    both = p.join(q, cross & (unknown | (F.size(F.array_intersect("p.px", "q.px")) + F.least("p.lost", "q.lost") >= need(pn, qn))))
+    # a pair whose last shingles before this one overlap meets in an earlier list, too
+    earlier = F.arrays_overlap("p.before", "q.before")
+    both = p.join(q, cross & (unknown | (~earlier & (F.size(F.array_intersect("p.px", "q.px")) + F.least("p.lost", "q.lost") >= need(pn, qn)))))
     # single-shingle lists cover one shingle less than the prefix
     least = F.when(unknown & (pn > x) & (qn > x), need(pn, qn) - 1).otherwise(0)
     pair = both.select(F.least("p.k", "q.k").alias("k"), F.greatest("p.k", "q.k").alias("lead"), least.alias("least"))
