@@ -122,17 +122,17 @@ def _screened(rows: DataFrame, hot, size: int, t: Fraction) -> DataFrame:
                 partner = -(-n * t.numerator // t.denominator)  # least size of a partner
                 given = np.bincount(row[inside & warm], minlength=len(n))
                 need = np.maximum(1 + partner // EXTRA - given, 0)
-                sent = inside & ~warm & (need > 0)[row]
+                sent = inside & ~warm  # of every set: a partner may need those of a set that itself needs none
                 yield pa.RecordBatch.from_arrays([W.signed(h[sent]), pa.array(ids[c.lo + row[sent]]), pa.array(need[row[sent]].astype(np.int32))], ["token", "k", "need"])
                 free = np.flatnonzero((need == 0) & (n > 0))
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(free), pa.int64()), pa.array(ids[c.lo + free]), pa.array(np.zeros(len(free), np.int32))], ["token", "k", "need"])
 
     sent = rows.select("k", "text").mapInArrow(run, "token bigint, k bigint, need int")
-    # tokens of need 0 are null: spread over the tasks by id
+    # a set of need 0 has a null token, too: spread over the tasks by id
     place = F.coalesce("token", F.col("k"))
     w = Window.partitionBy(place)
     shared = (F.min("k").over(w) < F.max("k").over(w)) & F.col("token").isNotNull()
-    marked = sent.withColumn("shared", shared).where("shared or need = 0")
+    marked = sent.withColumn("shared", shared).where("shared or token is null")
     return marked.groupBy("k").agg(F.sum(F.col("shared").cast("int")).alias("got"), F.min("need").alias("need")).where("got >= need").select("k")
 
 

@@ -436,6 +436,19 @@ def test_jaccard_near_the_threshold(spark, monkeypatch, boundary):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("lost", [1, 5])
+def test_jaccard_of_sets_on_both_sides_of_need_0(spark, lost):
+    """27 shingles of its own and 73 frequent ones: need 0. The copy turns some frequent ones into its own and needs up to 5."""
+    passage = [f"p{i}" for i in range(77)]
+    rows = [(i, " ".join([f"r{i}x{j}" for j in range(200)] + passage), "en", "a") for i in range(jaccard.COMMON + 2)]
+    own = [f"o{i}" for i in range(27)]
+    edited = passage[:-lost] + ["edited"] + passage[len(passage) - lost + 1:]
+    rows += [(100, " ".join(own + passage), "en", "a"), (101, " ".join(own + edited), "en", "a")]
+    assert ("101", 100, "100") in brute_components(rows)
+    got = jaccard.near_duplicates(make(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(1, 200)] + [(1000, 1001), (1001, 1000), (5000, 5000)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
