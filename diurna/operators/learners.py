@@ -6,6 +6,8 @@ Spark job over the rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml import classification as C
 from pyspark.ml import clustering as K
@@ -236,6 +238,18 @@ def isotonic(train: DataFrame, test: DataFrame, score: str, label: str) -> DataF
     return m.transform(test)
 
 
+def per_group(calibrate, train: DataFrame, test: DataFrame, keys, score: str, label: str) -> DataFrame:
+    """One calibration for each of the few combinations of the keys; without training rows ``calibrated`` is null."""
+    fitted, out = {tuple(r) for r in train.select(*keys).distinct().collect()}, None
+    for r in sorted(test.select(*keys).distinct().collect(), key=str):
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, r)])
+        own = test.where(same)
+        d = calibrate(train.where(same), own, score, label) if tuple(r) in fitted else own.withColumn("calibrated", F.lit(None).cast("double"))
+        d = d.select(*test.columns, "calibrated")
+        out = d if out is None else out.unionAll(d)
+    return test.withColumn("calibrated", F.lit(None).cast("double")) if out is None else out
+
+
 def platt(train: DataFrame, test: DataFrame, score: str, label: str) -> DataFrame:
     """Logistic on the logit with unit C; identity when the slope is not positive."""
     p = F.greatest(F.least(F.col(score), F.lit(1 - 1e-5)), F.lit(1e-5))

@@ -115,16 +115,14 @@ def _(t):
     return L.leakage_ladder(three(t), XS, "y", "cv", [0, 1, 2], 3, {"weak": {"regParam": 0.01}, "strong": {"regParam": 0.3}})
 
 
-@query("isotonic_calibrate", s="subject_id", f="score calibrated")
+@query("isotonic_calibrate", s="model subject_id", i="seed", f="score calibrated")
 def _(t):
-    d = t.oof.where("model = 'a' and seed = 0")
-    return L.isotonic(d.where("fold <> 0"), d.where("fold = 0"), "score", "y")
+    return L.per_group(L.isotonic, t.oof.where("fold <> 0"), t.oof.where("fold = 0"), ["model", "seed"], "score", "y")
 
 
-@query("platt_calibrate", s="subject_id", f="score calibrated")
+@query("platt_calibrate", s="model subject_id", i="seed", f="score calibrated")
 def _(t):
-    d = t.oof.where("model = 'a' and seed = 0")
-    return L.platt(d.where("fold <> 0"), d.where("fold = 0"), "score", "y")
+    return L.per_group(L.platt, t.oof.where("fold <> 0"), t.oof.where("fold = 0"), ["model", "seed"], "score", "y")
 
 
 @query("ordinal_combine", s="strategy", i="vec_id", f="score")

@@ -8,8 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from diurna.operators import learners
 from diurna.plans import load_all
 from diurna.plans.registry import ORACLE, QUERIES
+from diurna.sources.carriers import Tables
 from tools.check import TABLES, canonical
 
 SF = "/root/testdata/sf0.001"
@@ -54,5 +56,18 @@ def test_payload_has_no_identifier_and_no_date(spark):
         assert "subject_id" not in r.payload and '"subject_ref"' in r.payload
 
 
+@pytest.mark.parametrize("name", ["isotonic_calibrate", "platt_calibrate"])
+def test_calibration_of_every_model_and_seed(spark, name):
+    oof = Tables(spark, SF).oof
+    want = {(r.model, r.seed, str(r.subject_id)) for r in oof.where("fold = 0").select("model", "seed", "subject_id").collect()}
+    got = QS[name](spark, SF).collect()
+    assert len({w[:2] for w in want}) == 6
+    assert len(got) == len(want) and {(r.model, r.seed, r.subject_id) for r in got} == want
+    fit = getattr(learners, name.split("_")[0])
+    own = oof.where("model = 'b' and seed = 2")
+    alone = {str(r.subject_id): r.calibrated for r in fit(own.where("fold <> 0"), own.where("fold = 0"), "score", "y").collect()}
+    assert {r.subject_id: r.calibrated for r in got if (r.model, r.seed) == ("b", 2)} == pytest.approx(alone, abs=1e-5)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
