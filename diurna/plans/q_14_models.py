@@ -15,7 +15,7 @@ from diurna.plans.registry import query
 from diurna.sources.carriers import FEATURES
 
 XS = list(FEATURES)
-FEW = XS[::16]  # candidate columns of the wrapper search, which refits a model for every step
+FEW = XS[::16]  # columns of nested_cv's small candidate and of the refusal rule
 
 
 def sides(t):
@@ -102,7 +102,7 @@ def _(t):
 
 @query("importance_forward_selection", s="feature", i="k best", f="auc")
 def _(t):
-    return L.forward_path(three(t), FEW, "y", "cv", [0, 1, 2])
+    return L.forward_path(three(t), XS, "y", "cv", [0, 1, 2])
 
 
 @query("rfe_order", s="feature", i="rank")

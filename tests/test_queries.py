@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from diurna.operators import learners
 from diurna.plans import load_all
 from diurna.plans.registry import ORACLE, QUERIES
-from diurna.sources.carriers import Tables
+from diurna.sources.carriers import FEATURES, Tables
 from tools.check import TABLES, canonical
 
 SF = "/root/testdata/sf0.001"
@@ -69,5 +69,14 @@ def test_calibration_of_every_model_and_seed(spark, name):
     assert {r.subject_id: r.calibrated for r in got if (r.model, r.seed) == ("b", 2)} == pytest.approx(alone, abs=1e-5)
 
 
+def test_forward_selection_ranks_all_columns(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(learners, "oof", lambda df, columns, *a, **k: seen.append(list(columns)) or df)
+    monkeypatch.setattr(learners, "auc", lambda *a: float(len(seen)))
+    got = QS["importance_forward_selection"](spark, SF).collect()
+    assert {r.feature for r in got} == set(FEATURES) and sorted(r.k for r in got) == list(range(1, len(FEATURES) + 1))
+    assert [len(c) for c in seen] == list(range(1, len(FEATURES) + 1))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
