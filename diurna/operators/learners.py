@@ -234,8 +234,10 @@ def leakage_ladder(df: DataFrame, columns, label: str, fold: str, folds, keep: i
 
 # ------------------------------------------------------------------ calibration
 def isotonic(train: DataFrame, test: DataFrame, score: str, label: str) -> DataFrame:
-    m = IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="calibrated").fit(train.withColumn(label, F.col(label).cast("double")))
-    return m.transform(test)
+    """Fitted on one weighted row per distinct score; MLlib pools what its tasks leave of these on the driver."""
+    mean = F.when(F.count(label) == F.count("*"), F.avg(F.col(label).cast("double")))  # a null label stays an error
+    distinct = train.groupBy(score).agg(mean.alias(label), F.count("*").cast("double").alias("_w"))
+    return IsotonicRegression(featuresCol=score, labelCol=label, weightCol="_w", predictionCol="calibrated").fit(distinct).transform(test)
 
 
 def per_group(calibrate, train: DataFrame, test: DataFrame, keys, score: str, label: str) -> DataFrame:
