@@ -13,5 +13,6 @@ from diurna.llm import (  # noqa: F401
     sharding,
     substrings,
     tokencounts,
+    urls,
 )
 from diurna.llm.registry import ORACLE, QUERIES  # noqa: F401
