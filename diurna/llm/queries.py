@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from diurna.llm import (  # noqa: F401
+    collocations,
     divergence,
     exact,
     jaccard,
