@@ -169,7 +169,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], words: Callable[[], Words], token
     yield np.array(ids, np.int64), len(ids)
 
 
-GRAMS = "lang string, part bigint, k int, phrase string, n bigint"
+PART_BITS = 16  # of a prefix partition's number
+GRAMS = "lang string, part int, k int, phrase string, n bigint"
 
 
 def _run(words: Words, columns: list[np.ndarray], counts: np.ndarray, k: int) -> pa.RecordBatch:
@@ -177,9 +178,9 @@ def _run(words: Words, columns: list[np.ndarray], counts: np.ndarray, k: int) ->
     names, h = pa.array(words.names, pa.binary()), words.hashed()
     parts = [names.take(pa.array(c)) for c in columns]
     phrase = (pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]).cast(pa.string())
-    prefix = (h[columns[0]] >> np.uint64(1)) ^ (h[columns[1]] & np.uint64(63) if k > 1 else np.uint64(0))
+    prefix = (h[columns[0]] ^ (h[columns[1]] & np.uint64(63) if k > 1 else np.uint64(0))) & np.uint64((1 << PART_BITS) - 1)
     lang = pa.array(words.langs, pa.string()).take(pa.array(columns[0]))
-    return pa.RecordBatch.from_arrays([lang, pa.array(prefix.astype(np.int64)), pa.repeat(pa.scalar(k, pa.int32()), len(counts)), phrase, pa.array(counts)], ["lang", "part", "k", "phrase", "n"])
+    return pa.RecordBatch.from_arrays([lang, pa.array(prefix.astype(np.int32)), pa.repeat(pa.scalar(k, pa.int32()), len(counts)), phrase, pa.array(counts)], ["lang", "part", "k", "phrase", "n"])
 
 
 def _sorted_run(words: Words, first: np.ndarray, rest: np.ndarray, counts: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
@@ -214,7 +215,7 @@ def count_words(rows: DataFrame, tokens: int = TOKENS) -> DataFrame:
                 for lang, n in zip(words.langs[1:], counts[1:].tolist(), strict=True):
                     total[lang] += n
                 m = len(total)
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([0] * m, pa.int64()), pa.array([0] * m, pa.int32()), pa.nulls(m, pa.string()), pa.array(list(total.values()), pa.int64())], row.schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([0] * m, pa.int32()), pa.array([0] * m, pa.int32()), pa.nulls(m, pa.string()), pa.array(list(total.values()), pa.int64())], row.schema.names)
 
         for ids, own in _chunks(batches, lambda: words, tokens):
             seen = np.bincount(ids[:own], minlength=len(words.names))
