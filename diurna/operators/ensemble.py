@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.functions.numbers import clip
+from diurna.operators.draws import draw_sums
 from diurna.operators.metrics import roc_auc
-from diurna.operators.ranking import midranks, one_row, quantiles, spearman
-from diurna.operators.resample import bootstrap_weights
+from diurna.operators.ranking import one_row, quantiles, row_midranks, spearman
 from diurna.operators.sequences import reference_ecdf
+from diurna.sources.files import materialise
 
 
 def blend(df: DataFrame, keys, model: str, score: str, weights: dict[str, float]) -> DataFrame:
@@ -22,8 +23,7 @@ def blend(df: DataFrame, keys, model: str, score: str, weights: dict[str, float]
 
 
 def rank_scores(df: DataFrame, group, score: str, out: str = "rank_score") -> DataFrame:
-    r = midranks(df, group, score).select(*group, score, ((F.col("midrank") - 0.5) / F.col("n")).alias(out))
-    return df.join(r, [*group, score])
+    return row_midranks(df, group, score).select(*df.columns, ((F.col("midrank") - 0.5) / F.col("n")).alias(out))
 
 
 def weight_candidates(models, draws: int, seed: int, floor: tuple[str, float] | None = None) -> list[tuple[str, dict[str, float]]]:
@@ -50,14 +50,15 @@ def weight_candidates(models, draws: int, seed: int, floor: tuple[str, float] |
     return out
 
 
-def weight_search(df: DataFrame, keys, model: str, score: str, label: str, candidates) -> DataFrame:
-    """AUC of every candidate in one plan; best by AUC, then least concentrated, then first."""
+def weight_search(df: DataFrame, keys, model: str, score: str, label: str, candidates, by=()) -> DataFrame:
+    """AUC of every candidate in each group of ``by``, in one plan; best by AUC, then least concentrated, then first."""
+    by = list(by)
     models = list(candidates[0][1])
-    wide = df.groupBy(*keys, label).agg(*[F.max(F.when(F.col(model) == m, F.col(score))).alias(f"_s_{m}") for m in models])
+    wide = df.groupBy(*by, *keys, label).agg(*[F.max(F.when(F.col(model) == m, F.col(score))).alias(f"_s_{m}") for m in models])
     rows = F.array(*[F.struct(F.lit(i).alias("wid"), F.lit(k).alias("candidate"), F.lit(sum(v * v for v in w.values())).alias("concentration"),
                               F.round(reduce(lambda a, b: a + b, [F.col(f"_s_{m}") * w[m] for m in models]), 9).alias("_b")) for i, (k, w) in enumerate(candidates)])
-    a = roc_auc(wide.select(label, F.inline(rows)), ["wid", "candidate", "concentration"], "_b", label)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.round("auc", 12).desc(), F.round("concentration", 12), "wid")  # one row per candidate
+    a = roc_auc(wide.select(*by, label, F.inline(rows)), [*by, "wid", "candidate", "concentration"], "_b", label)
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.round("auc", 12).desc(), F.round("concentration", 12), "wid")  # one row per candidate
     return a.withColumn("chosen", (F.row_number().over(w) == 1).cast("int"))
 
 
@@ -119,8 +120,8 @@ def contribution_summary(df: DataFrame, row_id: str, feature: str, value: str, f
     g = g.withColumns({"share": F.col("mean_abs") / F.sum("mean_abs").over(w), "rank": F.row_number().over(w.orderBy(F.col("mean_abs").desc(), feature))})
     f = d.groupBy(feature, fold).agg(F.avg("_a").alias("m")).groupBy(feature).agg(F.min("m").alias("fold_min"), F.max("m").alias("fold_max"))
     top = d.withColumn("_r", F.row_number().over(Window.partitionBy(row_id).orderBy(F.col("_a").desc(), feature))).groupBy(feature).agg(F.sum((F.col("_r") <= 5).cast("int")).alias("top5_rows"))
-    bw = bootstrap_weights(d.select(row_id).distinct(), row_id, draws, seed).select(row_id, "draw", "weight")
-    b = d.join(bw, row_id).groupBy(feature, "draw").agg((F.sum(F.col("_a") * F.col("weight")) / F.sum("weight")).alias("m"))
+    b = draw_sums(d, [feature], row_id, {"_s": F.col("_a"), "_w": F.col("_a").isNotNull().cast("int")}, draws, seed)
+    b = b.select(feature, F.try_divide("_s", "_w").alias("m"))
     p = F.percentile("m", F.array(F.lit(0.025), F.lit(0.975)))  # one row per draw
     b = b.groupBy(feature).agg(p.alias("_p")).select(feature, F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"))
     return g.join(f, feature).join(top, feature).join(b, feature)
@@ -161,8 +162,9 @@ def frozen_scores(prepared: DataFrame, coefficients: dict[str, float], intercept
 
 def score_frozen(train_prepared: DataFrame, new_prepared: DataFrame, row_id: str, coefficients, intercept: float, missing: str, max_missing: int) -> DataFrame:
     """Stored coefficients, logistic score and position in the frozen train reference; rows with too many gaps are refused."""
-    ref = frozen_scores(train_prepared, coefficients, intercept).select(F.round("score", 9).alias("score"))
-    new = frozen_scores(new_prepared, coefficients, intercept).select(row_id, missing, F.round("score", 9).alias("score"))
+    # stored: ranks read the scores several times, and a score is as long an expression as the schema is wide
+    ref = materialise(frozen_scores(train_prepared, coefficients, intercept).select(F.round("score", 9).alias("score")), "reference")
+    new = materialise(frozen_scores(new_prepared, coefficients, intercept).select(row_id, missing, F.round("score", 9).alias("score")), "scores")
     ok = F.col(missing) <= max_missing
     placed = reference_ecdf(ref, new.where(ok), "score").withColumn("status", F.lit("scored"))
     refused = new.where(~ok).select("score", row_id, missing).withColumns({"score": F.lit(None).cast("double"), "ecdf": F.lit(None).cast("double"), "status": F.lit("refused")})

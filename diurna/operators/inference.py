@@ -8,16 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from diurna.operators.draws import auc_draws, permutation_auc
 from diurna.operators.metrics import roc_auc
 from diurna.operators.ranking import one_row
-from diurna.operators.resample import bootstrap_weights, permuted
 
-def bootstrap_auc(scores: DataFrame, subject: str, score: str, label: str, key, draws: int, seed: int, stratified: bool = False) -> DataFrame:
-    """AUC per (key, draw) with the same subject draws for every key."""
-    people = scores.select(subject, label).distinct()
-    w = bootstrap_weights(people, subject, draws, seed, [label] if stratified else []).select(subject, "draw", "weight")
-    j = scores.join(w, subject)
-    return roc_auc(j, [*key, "draw"], score, label, "weight")
+DRAWS, PERMUTATIONS = 2000, 1000
 
 
 def interval(draws: DataFrame, key, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -27,18 +22,19 @@ def interval(draws: DataFrame, key, value: str, low: float = 0.025, high: float
         *key, "n_draws", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"))
 
 
-def bootstrap_ci(scores: DataFrame, subject: str, score: str, label: str, key, draws: int, seed: int) -> DataFrame:
-    ci = interval(bootstrap_auc(scores, subject, score, label, key, draws, seed).where("auc is not null"), key, "auc")
+def bootstrap_ci(scores: DataFrame, subject: str, score: str, label: str, key, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """AUC with a percentile interval over Poisson bootstrap draws of the subjects; draws without one of the classes do not count."""
+    ci = interval(auc_draws(scores, key, subject, score, label, draws, seed).where("auc is not null"), key, "auc")
     return roc_auc(scores, key, score, label).select(*key, "auc").join(ci, list(key))
 
 
-def paired_difference(scores: DataFrame, subject: str, score: str, label: str, model: str, a: str, b: str, key, draws: int, seed: int) -> DataFrame:
+def paired_difference(scores: DataFrame, subject: str, score: str, label: str, model: str, a: str, b: str, key, draws: int = DRAWS, seed: int = 0) -> DataFrame:
     """Interval of AUC(a) - AUC(b) over shared draws."""
     def diff(d, keys):
         return d.groupBy(*keys).agg((F.max(F.when(F.col(model) == a, F.col("auc"))) - F.max(F.when(F.col(model) == b, F.col("auc")))).alias("diff"))
 
     obs = diff(roc_auc(scores, [*key, model], score, label), key).withColumnRenamed("diff", "observed")
-    dr = diff(bootstrap_auc(scores, subject, score, label, [*key, model], draws, seed), [*key, "draw"]).where("diff is not null")
+    dr = diff(auc_draws(scores, [*key, model], subject, score, label, draws, seed), [*key, "draw"]).where("diff is not null")
     return obs.join(interval(dr, key, "diff"), list(key))
 
 
@@ -60,19 +56,20 @@ def variability(df: DataFrame, key, value: str) -> DataFrame:
     return g.withColumn("_half", half).select(*key, "n", "mean", "sd", "min", "max", (F.col("mean") - F.col("_half")).alias("t_low"), (F.col("mean") + F.col("_half")).alias("t_high"))
 
 
-def permutation_auc(scores: DataFrame, subject: str, score: str, label: str, permutations: int, seed: int) -> DataFrame:
-    shuffled = permuted(scores.select(subject, label), subject, [label], permutations, seed)
-    return roc_auc(shuffled.join(scores.select(subject, score), subject), ["perm"], score, label)
+def permutation_p(null: DataFrame, observed: DataFrame, key, value: str) -> DataFrame:
+    """Per key (1 + #null >= observed) / (n + 1) and null percentiles; one row per permutation and one observed row go in."""
+    key = list(key)
+    obs = observed.select(*key, F.col(value).alias("observed"))
+    j = null.join(obs, key) if key else null.transform(one_row, obs)
+    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
+    return j.groupBy(*key, "observed").agg(
+        F.count(value).alias("n"), ((F.count(F.when(F.col(value) >= F.col("observed"), 1)) + 1) / (F.count(value) + 1)).alias("p"),
+        F.avg(value).alias("null_mean"), p.alias("_p")).select(*key, "observed", "n", "p", "null_mean", F.col("_p")[0].alias("null_median"), F.col("_p")[1].alias("null_p95"))
 
 
-def permutation_p(null: DataFrame, observed: DataFrame, value: str) -> DataFrame:
-    """(1 + #null >= observed) / (n + 1) and null percentiles; one row per permutation goes in."""
-    obs = observed.select(F.col(value).alias("observed"))  # one row
-    j = null.transform(one_row, obs)
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
-    return j.groupBy("observed").agg(
-        F.count("*").alias("n"), ((F.sum((F.col(value) >= F.col("observed")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"),
-        F.avg(value).alias("null_mean"), p.alias("_p")).select("observed", "n", "p", "null_mean", F.col("_p")[0].alias("null_median"), F.col("_p")[1].alias("null_p95"))
+def permutation_test(scores: DataFrame, key, subject: str, score: str, label: str, permutations: int = PERMUTATIONS, seed: int = 0) -> DataFrame:
+    """p value of each key's AUC under permutation of the subjects' labels; at least 1 / (permutations + 1)."""
+    return permutation_p(permutation_auc(scores, key, subject, score, label, permutations, seed), roc_auc(scores, key, score, label), key, "auc")
 
 
 def holm(df: DataFrame, name: str, p: str, family=()) -> DataFrame:
@@ -93,7 +90,7 @@ def bh(df: DataFrame, name: str, p: str, family=()) -> DataFrame:
     return d.withColumn("q", F.least(F.lit(1.0), F.min("_q").over(w))).drop("_q")
 
 
-def winner_bias(scores: DataFrame, subject: str, score: str, label: str, candidate: str, base: str, draws: int, seed: int) -> DataFrame:
+def winner_bias(scores: DataFrame, subject: str, score: str, label: str, candidate: str, base: str, draws: int = DRAWS, seed: int = 0) -> DataFrame:
     """mean over draws of the best candidate's gain minus the best observed gain."""
     def best(d, keys):
         part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # one row per candidate
@@ -101,7 +98,7 @@ def winner_bias(scores: DataFrame, subject: str, score: str, label: str, candida
         return gain.groupBy(*keys).agg(F.max("_g").alias("gain"))
 
     obs = best(roc_auc(scores, [candidate], score, label), []).withColumnRenamed("gain", "observed_max")
-    dr = best(bootstrap_auc(scores, subject, score, label, [candidate], draws, seed), ["draw"]).agg(F.avg("gain").alias("mean_max"), F.count("gain").alias("n_draws"))
+    dr = best(auc_draws(scores, [candidate], subject, score, label, draws, seed), ["draw"]).agg(F.avg("gain").alias("mean_max"), F.count("gain").alias("n_draws"))
     return dr.transform(one_row, obs).withColumn("bias", F.col("mean_max") - F.col("observed_max"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diurna.operators.ranking import cumulate, midranks, quantiles
+from diurna.operators.ranking import cumulate, quantiles, row_midranks
 
 
 def counts_by_score(df: DataFrame, group, score: str, label: str, weight: str | None = None, ranked: bool = False) -> DataFrame:
@@ -110,8 +110,8 @@ def to_subject(df: DataFrame, subject: str, score: str, label: str, order: str,
     return base.join(med, subject)
 
 
-def repeated_oof(df: DataFrame, subject: str, score: str, threshold: float, repeats: int) -> DataFrame:
-    return df.groupBy(subject).agg(
+def repeated_oof(df: DataFrame, key, score: str, threshold: float, repeats: int) -> DataFrame:
+    return df.groupBy(*key).agg(
         F.avg(score).alias("mean_score"), F.avg((F.col(score) >= threshold).cast("double")).alias("vote_rate"),
         F.stddev_samp(score).alias("sd_score"), F.count("*").alias("n")).withColumn("complete", (F.col("n") == repeats).cast("int"))
 
@@ -191,8 +191,8 @@ def quantile_transfer(inner: DataFrame, test: DataFrame, group, score: str, labe
     t = p.groupBy(*group).agg(F.max(F.struct(_tidy(F.col("tpr") - F.col("fpr")).alias("j"), F.col("cut").alias("c"),
                                              F.try_divide(F.col("tn") + F.col("fn"), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("q"))).alias("_b"))
     t = t.select(*group, F.col("_b.q").alias("q"))
-    r = midranks(test, group, score).select(*group, score, ((F.col("midrank") - 0.5) / F.col("n")).alias("_pct"))
-    return test.join(r, [*group, score]).join(t, group).withColumn("prediction", (F.col("_pct") >= F.col("q")).cast("int")).drop("_pct")
+    r = row_midranks(test, group, score).withColumn("_pct", (F.col("midrank") - 0.5) / F.col("n")).drop("midrank", "n")
+    return r.join(t, group).withColumn("prediction", (F.col("_pct") >= F.col("q")).cast("int")).drop("_pct")
 
 
 def implied_prevalence(sens: Column, spec: Column, prec: Column) -> Column:

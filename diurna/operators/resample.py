@@ -258,14 +258,6 @@ def bootstrap_weights(subjects: DataFrame, subject: str, draws: int, seed: int,
     return counts.join(d.select(subject, *by, "idx", *carry), [*by, "idx"]).drop("idx")
 
 
-def permuted(df: DataFrame, subject: str, columns, permutations: int, seed: int) -> DataFrame:
-    """Columns of a hash-shuffled subject given to each subject, per permutation."""
-    base = ordinal(df.withColumn("_hx", F.md5(F.col(subject).cast("string"))), [], "_hx", subject).select("idx", *columns)
-    p = df.select(subject, F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm"))
-    shuffled = ordinal(p.withColumn("_hx", seeded_md5(seed, F.col("perm"), F.col(subject))), ["perm"], "_hx", subject).select("perm", subject, "idx")
-    return shuffled.join(base, "idx").drop("idx")
-
-
 def prevalence_matched(df: DataFrame, row_id: str, label: str, target: float, repeats: int, seed: int) -> DataFrame:
     """Largest subsample with the target prevalence, drawn without replacement for each repeat."""
     n1, n0 = F.sum(F.col(label)), F.sum(1 - F.col(label))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from diurna.functions.hashing import seeded_md5
+from diurna.operators.draws import auc_draws, draw_sums, subsample_steps
 from diurna.operators.drift import pair_correlations
 from diurna.operators.metrics import roc_auc
 from diurna.operators.prep import median_impute
-from diurna.operators.ranking import midranks, one_row, ordinal, quantiles
+from diurna.operators.ranking import one_row, quantiles, row_midranks
 from diurna.operators.selection import column_facts
 
 
@@ -56,18 +56,21 @@ def correlation_prune(df: DataFrame, columns, scores: DataFrame, feature: str, s
 
 def spearman_pairs(long: DataFrame, row_id: str, feature: str, value: str, columns) -> DataFrame:
     """All pairwise rank correlations: ranks per feature once, then one wide aggregation."""
-    r = midranks(long, [feature], value).select(feature, value, "midrank")
-    ranked = long.join(r, [feature, value]).groupBy(row_id).agg(*[F.max(F.when(F.col(feature) == c, F.col("midrank"))).alias(c) for c in columns])
+    ranked = row_midranks(long.select(row_id, feature, value), [feature], value).groupBy(row_id).agg(*[F.max(F.when(F.col(feature) == c, F.col("midrank"))).alias(c) for c in columns])
     return pair_correlations(ranked, columns)
 
 
 def stability_selection(long: DataFrame, row_id: str, feature: str, label: str, value: str, draws: int, top_k: int, seed: int,
-                        share: float = 0.632, threshold: float = 0.6, at_least: int = 3, at_most: int = 40) -> DataFrame:
-    """Selection frequency over class-stratified subsamples without replacement."""
-    rows = long.select(row_id, label).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    d = ordinal(rows.withColumn("_hx", seeded_md5(seed, F.col("draw"), F.col(row_id))), ["draw", label], "_hx", row_id)
-    take = d.where(F.col("idx") < F.greatest(F.lit(2), F.bround(F.col("n") * F.lit(share)))).select("draw", row_id)
-    auc = direction_free_auc(long.join(take, row_id), ["draw"], feature, label, value)
+                        share: float = 0.632, threshold: float = 0.6, at_least: int = 3, at_most: int = 40, min_rows: int = 8, min_share: float = 0.4) -> DataFrame:
+    """Selection frequency over subsamples without replacement, in which every row takes part with probability ``share``.
+
+    Rows are not copied per subsample: their 0/1 weights are vectors over the draws (``draws.auc_draws``).
+    """
+    steps = subsample_steps(share)
+    size = draw_sums(long, [feature], row_id, {"_n": F.lit(1), "_k": F.col(value).isNotNull().cast("int")}, draws, seed, steps)
+    each = size.join(auc_draws(long, [feature], row_id, value, label, draws, seed, steps), [feature, "draw"], "left")
+    enough = F.col("_k") >= F.greatest(F.lit(min_rows), F.ceil(F.col("_n") * F.lit(min_share)))
+    auc = each.select("draw", feature, F.when(enough & F.col("auc").isNotNull(), F.greatest(F.col("auc"), 1 - F.col("auc"))).otherwise(0.5).alias("auc"))
     chosen = best_k(auc, ["draw"], feature, "auc", top_k)
     freq = long.select(feature).distinct().join(chosen.groupBy(feature).agg((F.count("*") / F.lit(float(draws))).alias("frequency")), feature, "left").fillna(0.0, ["frequency"])
     w = Window.partitionBy(F.lit(0)).orderBy(F.col("frequency").desc(), feature)  # one row per feature

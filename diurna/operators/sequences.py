@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diurna.operators.ranking import cumulate, midranks, one_row, quantiles
+from diurna.operators.ranking import one_row, quantiles, row_counts, row_midranks
 
 
 def rolling(df: DataFrame, keys, order: str, value: str, width: int = 7) -> DataFrame:
@@ -113,16 +113,20 @@ def own_zscore(keys, value: str) -> Column:
 
 def midrank_percentile(df: DataFrame, group, value: str) -> DataFrame:
     """(average rank - 0.5) / n for each row; missing values get 0.5."""
-    r = midranks(df, group, value).select(*group, value, ((F.col("midrank") - 0.5) / F.col("n")).alias("pct"))
-    return df.join(r, [*group, value], "left").withColumn("pct", F.coalesce("pct", F.lit(0.5)))
+    r = row_midranks(df, group, value).select(*df.columns, ((F.col("midrank") - 0.5) / F.col("n")).alias("pct"))
+    return r.unionByName(df.where(F.col(value).isNull() | F.isnan(F.col(value).cast("double"))).withColumn("pct", F.lit(0.5)))
 
 
-def reference_ecdf(reference: DataFrame, query: DataFrame, value: str) -> DataFrame:
-    """(count below + count at or below) / 2n of each query value in a frozen reference."""
-    both = reference.select(value, F.lit(1).alias("_r")).unionByName(query.select(value, F.lit(0).alias("_r")))
-    c = cumulate(both, [], value, {"ref": F.sum("_r")})
-    t = c.select(value, ((F.col("cum_ref") - F.col("ref") + F.col("cum_ref")) / (2 * F.col("tot_ref"))).alias("ecdf"))
-    return query.join(t, value, "left")
+def reference_ecdf(reference: DataFrame, query: DataFrame, value: str, group=()) -> DataFrame:
+    """(count below + count at or below) / 2n of each query value in its group's frozen reference; null without value or reference.
+
+    Reference and query rows are dealt together by value range, and the query's rows come back from that pass.
+    """
+    group = list(group)
+    both = reference.select(*group, value).withColumn("_r", F.lit(1)).unionByName(query.withColumn("_r", F.lit(0)), allowMissingColumns=True)
+    c = row_counts(both, group, value, "_r").where("_r = 0")
+    placed = c.select(*query.columns, F.try_divide(2 * F.col("n_below") + F.col("n_equal"), 2 * F.col("n_all")).alias("ecdf"))
+    return placed.unionByName(query.where(F.col(value).isNull() | F.isnan(F.col(value).cast("double"))).withColumn("ecdf", F.lit(None).cast("double")))
 
 
 def quantile_bins(df: DataFrame, group, value: str, bins: int = 5) -> DataFrame:

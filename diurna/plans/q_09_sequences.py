@@ -139,12 +139,12 @@ def _(t):
     return Q.midrank_percentile(t.order_scores, [], "score")
 
 
-@query("reference_ecdf", s="subject_id", f="ecdf", sql="""
-    WITH r AS (SELECT score FROM c_oof WHERE model = 'a' AND seed = 0 AND fold <> 0), q AS (SELECT subject_id, score FROM c_oof WHERE model = 'a' AND seed = 0 AND fold = 0)
-    SELECT subject_id, (count(*) FILTER (WHERE r.score < q.score) + count(*) FILTER (WHERE r.score <= q.score)) / (2.0::DOUBLE * count(*)) AS ecdf FROM q, r GROUP BY subject_id""")
+@query("reference_ecdf", s="model subject_id", i="seed", f="ecdf", sql="""
+    WITH r AS (SELECT model, seed, score FROM c_oof WHERE fold <> 0), q AS (SELECT model, seed, subject_id, score FROM c_oof WHERE fold = 0)
+    SELECT q.model, q.seed, subject_id, (count(*) FILTER (WHERE r.score < q.score) + count(*) FILTER (WHERE r.score <= q.score)) / (2.0::DOUBLE * count(*)) AS ecdf FROM q JOIN r ON r.model = q.model AND r.seed = q.seed GROUP BY 1, 2, 3""")
 def _(t):
-    d = t.oof.where("model = 'a' and seed = 0")
-    return Q.reference_ecdf(d.where("fold <> 0"), d.where("fold = 0").select("subject_id", "score"), "score")
+    d = t.oof.select("model", "seed", "subject_id", "score", "fold")
+    return Q.reference_ecdf(d.where("fold <> 0").drop("fold"), d.where("fold = 0").drop("fold"), "score", ["model", "seed"])
 
 
 @query("quintile_bins", s="feature", i="bin n", f="value_min value_median value_max mean_contribution median_contribution", sql="""

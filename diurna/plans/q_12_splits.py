@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from diurna.operators import resample as R
 from diurna.operators import splits as S
+from diurna.operators.draws import FACTOR, GOLDEN, ROUNDS, permuted, poisson_steps
 from diurna.plans.carrier_sql import h
 from diurna.plans.registry import query
 from diurna.sources.carriers import FEATURES
@@ -220,20 +221,48 @@ def _(t):
     return a.unionAll(R.bootstrap_weights(t.customers, "subject_id", 5, 31, ["y"]).select(F.lit("stratified"), "draw", "subject_id", "weight"))
 
 
-def perm_sql(cols: str, seed: int, n: int) -> str:
-    return (f"WITH b AS (SELECT {cols}, row_number() OVER (ORDER BY md5(subject_id), subject_id) - 1 AS idx FROM src), "
-            f"p AS (SELECT subject_id, perm, row_number() OVER (PARTITION BY perm ORDER BY {hx(str(seed), 'perm', 'subject_id')}, subject_id) - 1 AS idx FROM src, (SELECT unnest(range({n})) AS perm)) "
-            f"SELECT p.subject_id, p.perm, {', '.join('b.' + c.strip() for c in cols.split(','))} FROM p JOIN b ON b.idx = p.idx")
+def mixed_sql(x: str, name: str) -> str:
+    """Columns that scramble the 32-bit value x; the last is ``name``."""
+    return (f"{x} AS {name}_0, (xor({name}_0, {name}_0 >> 16) * {FACTOR}) & 4294967295 AS {name}_1, "
+            f"(xor({name}_1, {name}_1 >> 16) * {FACTOR}) & 4294967295 AS {name}_2, xor({name}_2, {name}_2 >> 16) AS {name}")
 
 
-@query("label_permutation", s="subject_id", i="perm y", sql=perm_sql("y", 41, 3).replace("src", "c_cust"))
+def weight_sql(seed: int, draws: int, src: str, unit: str = "subject_id", steps=None) -> str:
+    """(unit, draw, weight): the weights of ``draws.draw_weights``, without rows of weight 0."""
+    h1, h2 = (f"('0x' || substr(md5(concat_ws('-', '{seed}', CAST({unit} AS VARCHAR))), {at}, 8))::BIGINT" for at in (1, 9))
+    weight = " + ".join(f"(u >= {s})::INT" for s in steps or poisson_steps())
+    return (f"SELECT {unit}, draw, {weight} AS weight FROM (SELECT {unit}, draw, {mixed_sql(f'(h1 + (draw + 1) * {GOLDEN}) & 4294967295', 'a')}, {mixed_sql('xor(a, h2)', 'b')}, b >> 16 AS u "
+            f"FROM (SELECT DISTINCT {unit}, {h1} AS h1, {h2} AS h2 FROM {src}), (SELECT unnest(range({draws})) AS draw)) WHERE u >= {(steps or poisson_steps())[0]}")
+
+
+def feistel_sql(positions: str, n: int, seed: int) -> str:
+    """CTEs ending in ``placed(<columns of positions>, perm, x)``: ``draws.permuted_positions`` of ``positions(spot, n, ...)``."""
+    base = f"{mixed_sql(f'{seed}::BIGINT', 's')}, (s + perm * {GOLDEN}) & 4294967295 AS base"
+    keys = ", ".join(mixed_sql(f"(base + {r + 1}) & 4294967295", f"k{r}") for r in range(ROUNDS))
+    rounds = "x >> bits AS l0, x & mask AS r0"
+    for r in range(ROUNDS):
+        rounds += f", {mixed_sql(f'(r{r} + k{r}) & 4294967295', f'f{r}')}, r{r} AS l{r + 1}, xor(l{r}, f{r} & mask) AS r{r + 1}"
+    names = ", ".join(f"k{r}" for r in range(ROUNDS))
+    return (f"ks AS (SELECT perm, {names} FROM (SELECT perm, {base}, {keys} FROM (SELECT unnest(range({n})) AS perm))), "
+            f"ps AS (SELECT *, greatest(1, ceil(log2(greatest(n, 2)) / 2))::INT AS bits, (1::BIGINT << bits) - 1 AS mask FROM ({positions})), "
+            f"walk AS (SELECT spot, perm, spot::BIGINT AS x, n, bits, mask, {names}, 0 AS turn FROM ps, ks UNION ALL "
+            f"SELECT spot, perm, (l{ROUNDS} << bits) + r{ROUNDS} AS x, n, bits, mask, {names}, 1 AS turn FROM (SELECT *, {rounds} FROM walk WHERE turn = 0 OR x >= n)), "
+            f"placed AS (SELECT ps.*, w.perm, w.x FROM walk w JOIN ps ON ps.spot = w.spot WHERE w.turn = 1 AND w.x < w.n)")
+
+
+def perm_sql(cols: str, seed: int, n: int, src: str, unit: str = "subject_id") -> str:
+    base = f"SELECT *, row_number() OVER (ORDER BY md5(CAST({unit} AS VARCHAR)), {unit}) - 1 AS spot, count(*) OVER () AS n FROM {src}"
+    return f"WITH RECURSIVE {feistel_sql(base, n, seed)} SELECT p.{unit}, p.perm, {', '.join('b.' + c for c in cols.split())} FROM placed p JOIN ps b ON b.spot = p.x"
+
+
+@query("label_permutation", s="subject_id", i="perm y", sql=perm_sql("y", 41, 20, "c_cust"))
 def _(t):
-    return R.permuted(t.customers, "subject_id", ["y"], 3, 41)
+    return permuted(t.customers, "subject_id", ["y"], 20, 41)
 
 
-@query("column_permutation", i="vec_id perm", f="x1 x2", sql=perm_sql("x1, x2", 43, 3).replace("src", "c_vec").replace("subject_id", "vec_id").replace("md5(vec_id)", "md5(CAST(vec_id AS VARCHAR))"))
+@query("column_permutation", i="vec_id perm", f=" ".join(FEATURES), sql=perm_sql(" ".join(FEATURES), 43, 5, "c_vec", "vec_id"))
 def _(t):
-    return R.permuted(t.vectors.select("vec_id", "x1", "x2"), "vec_id", ["x1", "x2"], 3, 43)
+    return permuted(t.vectors.select("vec_id", *FEATURES), "vec_id", FEATURES, 5, 43)
 
 
 @query("prevalence_matched_subsample", i="repeat n n_pos", f="score_sum", sql=f"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from diurna.operators import screen as S
-from diurna.plans.q_12_splits import hx
+from diurna.operators.draws import subsample_steps
+from diurna.plans.q_12_splits import weight_sql
 from diurna.plans.q_15_metrics import XS, auc_sql
 from diurna.plans.registry import query
 from diurna.sources.carriers import stack_columns
@@ -53,15 +54,17 @@ def _(t):
     return S.spearman_pairs(t.vector_long, "vec_id", "feature", "value", XS)
 
 
+SUBSAMPLES = 200
+
+
 @query("stability_selection", s="feature", i="selected", f="frequency", sql=f"""
-    WITH d AS (SELECT *, row_number() OVER (PARTITION BY draw, y ORDER BY {hx('81', 'draw', 'vec_id')}, vec_id) AS rn, count(*) OVER (PARTITION BY draw, y) AS n FROM c_vec, (SELECT unnest(range(10)) AS draw)),
-    tk AS (SELECT draw, vec_id FROM d WHERE rn <= greatest(2, round_even(n * 0.632::DOUBLE, 0))), l AS (SELECT tk.draw, v.feature, v.y, v.value FROM c_vl v JOIN tk ON tk.vec_id = v.vec_id),
+    WITH tk AS ({weight_sql(81, SUBSAMPLES, 'c_vec', 'vec_id', subsample_steps(0.632))}), l AS (SELECT tk.draw, v.feature, v.y, v.value FROM c_vl v JOIN tk ON tk.vec_id = v.vec_id),
     a AS ({auc_sql('l', 'draw, feature', 'value')}), ch AS (SELECT feature FROM (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY greatest(auc, 1 - auc) DESC, feature) AS r FROM a) WHERE r <= 3),
-    f AS (SELECT x.feature, count(ch.feature) / 10.0::DOUBLE AS frequency FROM (SELECT DISTINCT feature FROM c_vl) x LEFT JOIN ch ON ch.feature = x.feature GROUP BY 1),
+    f AS (SELECT x.feature, count(ch.feature) / {SUBSAMPLES}.0::DOUBLE AS frequency FROM (SELECT DISTINCT feature FROM c_vl) x LEFT JOIN ch ON ch.feature = x.feature GROUP BY 1),
     g AS (SELECT *, row_number() OVER (ORDER BY frequency DESC, feature) AS r, count(*) FILTER (WHERE frequency >= 0.6) OVER () AS n FROM f)
     SELECT feature, frequency, CASE WHEN n < 3 THEN r <= 3 ELSE frequency >= 0.6 AND r <= 40 END AS selected FROM g""")
 def _(t):
-    return S.stability_selection(t.vector_long, "vec_id", "feature", "y", "value", 10, 3, 81)
+    return S.stability_selection(t.vector_long, "vec_id", "feature", "y", "value", SUBSAMPLES, 3, 81)
 
 
 def fold_sets(t):

@@ -9,13 +9,14 @@ from diurna.operators import learners as L
 from diurna.operators import metrics as M
 from diurna.operators import prep as R
 from diurna.plans.q_11_prep import CLIPPED, FILL, each, row
-from diurna.plans.q_12_splits import boot_sql
+from diurna.operators.inference import DRAWS
+from diurna.plans.q_12_splits import weight_sql
 from diurna.plans.q_15_metrics import auc_sql, cells_sql, pts
 from diurna.plans.registry import query
 from diurna.sources.carriers import FEATURES
 
 XS = list(FEATURES)
-FEW = XS[::16]  # columns of nested_cv's small candidate and of the refusal rule
+FEW = XS[::16]  # columns of nested_cv's small candidate
 
 
 def sides(t):
@@ -173,12 +174,12 @@ CAND = E.weight_candidates(["a", "b"], 6, 91, ("b", 0.05))
 CV = ", ".join(f"({i}, '{k}', {w['a']!r}::DOUBLE, {w['b']!r}::DOUBLE)" for i, (k, w) in enumerate(CAND))
 
 
-@query("blend_weight_search", s="candidate", i="wid chosen", f="auc concentration", sql=f"""
-    WITH w AS (SELECT * FROM (VALUES {CV}) AS v(wid, candidate, wa, wb)), s AS (SELECT subject_id, y, max(score) FILTER (WHERE model = 'a') AS a, max(score) FILTER (WHERE model = 'b') AS b FROM c_oof WHERE seed = 0 GROUP BY 1, 2),
-    x AS (SELECT wid, candidate, wa * wa + wb * wb AS concentration, y, round(a * wa + b * wb, 9) AS score FROM s, w), r AS ({auc_sql('x', 'wid, candidate, concentration')})
-    SELECT wid, candidate, concentration, auc, row_number() OVER (ORDER BY round(auc, 12) DESC, round(concentration, 12), wid) = 1 AS chosen FROM r""")
+@query("blend_weight_search", s="candidate", i="seed wid chosen", f="auc concentration", sql=f"""
+    WITH w AS (SELECT * FROM (VALUES {CV}) AS v(wid, candidate, wa, wb)), s AS (SELECT seed, subject_id, y, max(score) FILTER (WHERE model = 'a') AS a, max(score) FILTER (WHERE model = 'b') AS b FROM c_oof GROUP BY 1, 2, 3),
+    x AS (SELECT seed, wid, candidate, wa * wa + wb * wb AS concentration, y, round(a * wa + b * wb, 9) AS score FROM s, w), r AS ({auc_sql('x', 'seed, wid, candidate, concentration')})
+    SELECT seed, wid, candidate, concentration, auc, row_number() OVER (PARTITION BY seed ORDER BY round(auc, 12) DESC, round(concentration, 12), wid) = 1 AS chosen FROM r""")
 def _(t):
-    return E.weight_search(t.oof.where("seed = 0"), ["subject_id"], "model", "score", "y", CAND)
+    return E.weight_search(t.oof, ["subject_id"], "model", "score", "y", CAND, ["seed"])
 
 
 @query("blend_gated", s="model mode", i="seed", f="auc weight", sql=f"""
@@ -251,7 +252,7 @@ def _(t):
     return E.prior_baseline(t.customers.where("fold <> 0"), t.customers.where("fold = 0"), "y3", [0, 1, 2])
 
 
-VBOOT = boot_sql(93, 20, None, "c_vec").replace("subject_id", "vec_id").replace("md5(vec_id)", "md5(CAST(vec_id AS VARCHAR))")
+VBOOT = weight_sql(93, DRAWS, "c_vec", "vec_id")
 
 
 @query("contribution_summary", s="feature", i="rank top5_rows", f="mean_abs share fold_min fold_max low high", sql=f"""
@@ -260,7 +261,7 @@ VBOOT = boot_sql(93, 20, None, "c_vec").replace("subject_id", "vec_id").replace(
     b AS (SELECT feature, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM (SELECT feature, draw, sum(abs(contribution) * weight) / sum(weight) AS m FROM c_contrib c JOIN bw ON bw.vec_id = c.vec_id GROUP BY 1, 2) GROUP BY 1)
     SELECT g.feature, m AS mean_abs, m / sum(m) OVER () AS share, row_number() OVER (ORDER BY m DESC, g.feature) AS rank, lo AS fold_min, hi AS fold_max, t AS top5_rows, low, high FROM g JOIN f ON f.feature = g.feature JOIN tp ON tp.feature = g.feature JOIN b ON b.feature = g.feature""")
 def _(t):
-    return E.contribution_summary(t.contributions, "vec_id", "feature", "contribution", "fold", 20, 93)
+    return E.contribution_summary(t.contributions, "vec_id", "feature", "contribution", "fold", DRAWS, 93)
 
 
 @query("contribution_direction", s="feature", f="rho median_0 median_1 mean_0 mean_1", sql="""
@@ -295,11 +296,11 @@ LOGIT = " + ".join(f"({c} - {c}_mu) / {c}_sd * ({w})" for c, w in COEF.items())
 
 @query("score_frozen_model", s="status", i="vec_id", f="score ecdf", sql=f"""
     WITH f AS ({FILL}), c AS ({CLIPPED.format(src='f')}), s AS (SELECT c.vec_id, c.fold, round(1 / (1 + exp(-({LOGIT} + 0.2::DOUBLE))), 9) AS score FROM c, {row(each(lambda c: f'avg({c}) AS {c}_mu, stddev_pop({c}) AS {c}_sd'), 'c WHERE fold <> 0')}),
-    q AS (SELECT s.vec_id, score, v.n AS gaps FROM s JOIN (SELECT vec_id, {' + '.join(f'({c} IS NULL)::INT' for c in FEW)} AS n FROM c_vn) v ON v.vec_id = s.vec_id WHERE fold = 0)
+    q AS (SELECT s.vec_id, score, v.n AS gaps FROM s JOIN (SELECT vec_id, {' + '.join(f'({c} IS NULL)::INT' for c in XS)} AS n FROM c_vn) v ON v.vec_id = s.vec_id WHERE fold = 0)
     SELECT q.vec_id, CASE WHEN gaps <= 0 THEN q.score END AS score, CASE WHEN gaps <= 0 THEN (SELECT (count(*) FILTER (WHERE r.score < q.score) + count(*) FILTER (WHERE r.score <= q.score)) / (2.0::DOUBLE * count(*)) FROM s r WHERE r.fold <> 0) END AS ecdf,
       CASE WHEN gaps <= 0 THEN 'scored' ELSE 'refused' END AS status FROM q""")
 def _(t):
-    gaps = sum((F.col(c).isNull().cast("int") for c in FEW[1:]), F.col(FEW[0]).isNull().cast("int"))
+    gaps = F.size(F.filter(F.array(*XS), lambda x: x.isNull()))
     d = t.vectors_missing.withColumn("gaps", gaps)
     p = R.winsorise(d, d.where("fold <> 0"), XS)
     return E.score_frozen(p.where("fold <> 0"), p.where("fold = 0"), "vec_id", COEF, 0.2, "gaps", 0)

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from diurna.operators import drift as D
 from diurna.operators import inference as I
 from diurna.operators import metrics as M
-from diurna.plans.q_12_splits import boot_sql, perm_sql
+from diurna.plans.q_12_splits import feistel_sql, weight_sql
 from diurna.plans.registry import query
 from diurna.sources.carriers import FEATURES
 
 MS = ["model", "seed"]
-B = 20
 
 
 def auc_sql(src: str, keys: str, score: str = "score", y: str = "y", w: str = "1") -> str:
@@ -121,15 +120,15 @@ def _(t):
     return M.to_subject(d, "subject_id", "score", "y", "pos", 0.25)
 
 
-@query("aggregate_repeated_oof", s="subject_id", i="n complete", f="mean_score vote_rate sd_score", sql="""
-    SELECT subject_id, count(*) AS n, count(*) = 3 AS complete, avg(score) AS mean_score, avg((score >= 0.45)::INT) AS vote_rate, stddev_samp(score) AS sd_score FROM c_oof WHERE model = 'a' GROUP BY 1""")
+@query("aggregate_repeated_oof", s="model subject_id", i="n complete", f="mean_score vote_rate sd_score", sql="""
+    SELECT model, subject_id, count(*) AS n, count(*) = 3 AS complete, avg(score) AS mean_score, avg((score >= 0.45)::INT) AS vote_rate, stddev_samp(score) AS sd_score FROM c_oof GROUP BY 1, 2""")
 def _(t):
-    return M.repeated_oof(t.oof.where("model = 'a'"), "subject_id", "score", 0.45, 3)
+    return M.repeated_oof(t.oof, ["model", "subject_id"], "score", 0.45, 3)
 
 
-@query("oof_pivot", s="subject_id", f="s0 s1 s2", sql="SELECT subject_id, max(score) FILTER (WHERE seed = 0) AS s0, max(score) FILTER (WHERE seed = 1) AS s1, max(score) FILTER (WHERE seed = 2) AS s2 FROM c_oof WHERE model = 'a' GROUP BY 1")
+@query("oof_pivot", s="model subject_id", f="s0 s1 s2", sql="SELECT model, subject_id, max(score) FILTER (WHERE seed = 0) AS s0, max(score) FILTER (WHERE seed = 1) AS s1, max(score) FILTER (WHERE seed = 2) AS s2 FROM c_oof GROUP BY 1, 2")
 def _(t):
-    p = t.oof.where("model = 'a'").groupBy("subject_id").pivot("seed", [0, 1, 2]).agg(F.max("score"))
+    p = t.oof.groupBy("model", "subject_id").pivot("seed", [0, 1, 2]).agg(F.max("score"))
     return p.withColumnsRenamed({str(k): f"s{k}" for k in range(3)})
 
 
@@ -183,20 +182,20 @@ def _(t):
     return M.calibration(t.oof, MS, "y", "score")
 
 
-BOOT = f"bw AS ({boot_sql(61, B, None)}), bd AS (SELECT o.model, o.seed, bw.draw, o.score, o.y, bw.weight AS w FROM c_oof o JOIN bw ON bw.subject_id = o.subject_id), ba AS ({auc_sql('bd', 'model, seed, draw', w='w')})"
+BOOT = f"bw AS ({weight_sql(61, I.DRAWS, 'c_cust')}), bd AS (SELECT o.model, o.seed, bw.draw, o.score, o.y, bw.weight AS w FROM c_oof o JOIN bw ON bw.subject_id = o.subject_id), ba AS ({auc_sql('bd', 'model, seed, draw', w='w')})"
 
 
 @query("bootstrap_ci", s="model", i="seed n_draws", f="auc low high", sql=f"""
     WITH {BOOT}, o AS ({auc_sql('c_oof', 'model, seed')}) SELECT o.model, o.seed, o.auc, n_draws, low, high FROM o JOIN (SELECT model, seed, count(auc) AS n_draws, quantile_cont(auc, 0.025) AS low, quantile_cont(auc, 0.975) AS high FROM ba GROUP BY 1, 2) c ON c.model = o.model AND c.seed = o.seed""")
 def _(t):
-    return I.bootstrap_ci(t.oof, "subject_id", "score", "y", MS, B, 61)
+    return I.bootstrap_ci(t.oof, "subject_id", "score", "y", MS, seed=61)
 
 
 @query("paired_bootstrap_diff", i="seed n_draws", f="observed low high", sql=f"""
     WITH {BOOT}, o AS ({auc_sql('c_oof', 'model, seed')}), d AS (SELECT seed, draw, max(auc) FILTER (WHERE model = 'a') - max(auc) FILTER (WHERE model = 'b') AS d FROM ba GROUP BY 1, 2)
     SELECT x.seed, observed, n_draws, low, high FROM (SELECT seed, max(auc) FILTER (WHERE model = 'a') - max(auc) FILTER (WHERE model = 'b') AS observed FROM o GROUP BY 1) x JOIN (SELECT seed, count(d) AS n_draws, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM d GROUP BY 1) y ON x.seed = y.seed""")
 def _(t):
-    return I.paired_difference(t.oof, "subject_id", "score", "y", "model", "a", "b", ["seed"], B, 61)
+    return I.paired_difference(t.oof, "subject_id", "score", "y", "model", "a", "b", ["seed"], seed=61)
 
 
 @query("hanley_mcneil_se", s="model", i="seed", f="auc se wald_low wald_high logit_low logit_high", sql=f"""
@@ -216,14 +215,15 @@ def _(t):
     return I.variability(M.roc_auc(t.oof, [*MS, "fold"], "score", "y"), ["model"], "auc")
 
 
-NULL = f"np AS ({perm_sql('y', 71, 19).replace('src', 'c_cust')}), nd AS (SELECT np.perm, np.y, o.score FROM np JOIN (SELECT * FROM c_oof WHERE model = 'a' AND seed = 0) o ON o.subject_id = np.subject_id), na AS ({auc_sql('nd', 'perm')})"
+ONES_FIRST = "SELECT subject_id, row_number() OVER (ORDER BY y DESC, md5(subject_id), subject_id) - 1 AS spot, count(*) OVER () AS n, sum(y) OVER () AS ones FROM c_cust"
+NULL = f"{feistel_sql(ONES_FIRST, I.PERMUTATIONS, 71)}, nd AS (SELECT o.model, o.seed, np.perm, (np.x < np.ones)::INT AS y, o.score FROM placed np JOIN c_oof o ON o.subject_id = np.subject_id), na AS ({auc_sql('nd', 'model, seed, perm')})"
 
 
-@query("permutation_p", i="n", f="observed p null_mean null_median null_p95", sql=f"""
-    WITH {NULL}, o AS ({auc_sql("(SELECT * FROM c_oof WHERE model = 'a' AND seed = 0)", '')}) SELECT o.auc AS observed, count(*) AS n, (count(*) FILTER (WHERE na.auc >= o.auc) + 1) / (count(*) + 1)::DOUBLE AS p, avg(na.auc) AS null_mean, median(na.auc) AS null_median, quantile_cont(na.auc, 0.95) AS null_p95 FROM na, o GROUP BY o.auc""")
+@query("permutation_p", s="model", i="seed n", f="observed p null_mean null_median null_p95", sql=f"""
+    WITH RECURSIVE {NULL}, o AS ({auc_sql('c_oof', 'model, seed')}) SELECT o.model, o.seed, o.auc AS observed, count(na.auc) AS n, (count(*) FILTER (WHERE na.auc >= o.auc) + 1) / (count(na.auc) + 1)::DOUBLE AS p, avg(na.auc) AS null_mean, median(na.auc) AS null_median,
+      quantile_cont(na.auc, 0.95) AS null_p95 FROM na JOIN o ON o.model = na.model AND o.seed = na.seed GROUP BY ALL""")
 def _(t):
-    d = t.oof.where("model = 'a' and seed = 0")
-    return I.permutation_p(I.permutation_auc(d, "subject_id", "score", "y", 19, 71), M.roc_auc(d, [], "score", "y"), "auc")
+    return I.permutation_test(t.oof, MS, "subject_id", "score", "y", seed=71)
 
 
 WELCH = """SELECT feature, n0, n1, (m0 - m1) / sqrt(v0 / n0 + v1 / n1) AS t, pow(v0 / n0 + v1 / n1, 2) / (pow(v0 / n0, 2) / (n0 - 1) + pow(v1 / n1, 2) / (n1 - 1)) AS df FROM (SELECT feature, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1,
@@ -261,7 +261,7 @@ def _(t):
     SELECT count(g) AS n_draws, avg(g) AS mean_max, max(om) AS observed_max, avg(g) - max(om) AS bias FROM dm, om""")
 def _(t):
     d = t.oof.withColumn("arm", F.concat("model", "seed"))
-    return I.winner_bias(d, "subject_id", "score", "y", "arm", "a0", B, 61)
+    return I.winner_bias(d, "subject_id", "score", "y", "arm", "a0", seed=61)
 
 
 @query("leave_one_two_out_delta", i="removed evaluations", f="positive_fraction min_delta", sql=f"""

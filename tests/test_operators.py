@@ -178,7 +178,7 @@ def test_t_tail(spark):
 
 def test_permuted_labels_give_auc_near_half(spark):
     d = spark.range(600).select(F.col("id").cast("string").alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.col("id").cast("double").alias("score"))
-    null = I.permutation_auc(d, "s", "score", "y", 12, 5)
+    null = I.permutation_auc(d, [], "s", "score", "y", 12, 5)
     assert abs(null.agg(F.avg("auc")).first()[0] - 0.5) < 0.03
 
 
