@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from diurna.functions.numbers import clip
 from diurna.operators.draws import draw_sums
 from diurna.operators.metrics import roc_auc
-from diurna.operators.ranking import one_row, quantiles, row_midranks, spearman
+from diurna.operators.radix import quantiles
+from diurna.operators.ranking import one_row, row_midranks, spearman
 from diurna.operators.sequences import reference_ecdf
 from diurna.sources.files import materialise
 
@@ -129,7 +130,7 @@ def contribution_summary(df: DataFrame, row_id: str, feature: str, value: str, f
 
 def contribution_direction(df: DataFrame, feature: str, x: str, contribution: str, label: str) -> DataFrame:
     rho = spearman(df, [feature], x, contribution).select(feature, "rho")
-    med = quantiles(df, [feature, label], x, [0.5]).groupBy(feature).agg(
+    med = quantiles(df, [feature, label], x, {"q50": 0.5}).groupBy(feature).agg(
         F.max(F.when(F.col(label) == 0, F.col("q50"))).alias("median_0"), F.max(F.when(F.col(label) == 1, F.col("q50"))).alias("median_1"))
     m = df.groupBy(feature).agg(F.avg(F.when(F.col(label) == 0, F.col(contribution))).alias("mean_0"), F.avg(F.when(F.col(label) == 1, F.col(contribution))).alias("mean_1"))
     return rho.join(med, feature).join(m, feature)

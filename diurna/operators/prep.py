@@ -10,14 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diurna.functions.numbers import clip, signed_log
-from diurna.operators.ranking import one_row, quantile_name, quantiles
-from diurna.sources.carriers import stack_columns
-
-
-def quantile_params(train: DataFrame, columns, names: dict[str, float]) -> DataFrame:
-    """One row of exact quantiles per column."""
-    q = quantiles(stack_columns(train, [], columns, "feature"), ["feature"], "value", list(names.values()))
-    return q.agg(*[F.max(F.when(F.col("feature") == c, F.col(quantile_name(v)))).alias(f"{c}__{n}") for c in columns for n, v in names.items()])
+from diurna.operators.radix import filled_stats, interpolated, quantiles_by_column
+from diurna.operators.ranking import one_row
 
 
 def moment_params(train: DataFrame, columns) -> DataFrame:
@@ -26,16 +20,22 @@ def moment_params(train: DataFrame, columns) -> DataFrame:
     return train.agg(*[e for c in columns for e in (F.avg(c).alias(f"{c}__mu"), sd(c).alias(f"{c}__sd"))])
 
 
-def apply(df: DataFrame, params: DataFrame, exprs: dict[str, Column]) -> DataFrame:
-    """Fit (one small job, one row whose width is the schema's) and project with its values as literals.
+def apply(df: DataFrame, params: DataFrame | dict[str, float | None], exprs: dict[str, Column]) -> DataFrame:
+    """Project with the fitted values (one row, whose width is the schema's) as literals.
 
     Later steps then read the table once instead of repeating the fits before them.
     """
-    row = params.first().asDict()
+    row = params if isinstance(params, dict) else params.first().asDict()
     fitted = df.withColumns({k: F.lit(v).cast("double") for k, v in row.items()})
     return fitted.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
 
 
+def quantile_params(train: DataFrame, columns, names: dict[str, float]) -> dict[str, float | None]:
+    """Exact quantiles ``<column>__<name>`` of all columns by one radix selection."""
+    found = quantiles_by_column(train, [], columns, names)
+    return {f"{c}__{n}": found[(), c][n] if ((), c) in found else None for c in columns for n in names}
+
+
 def p(c: str, name: str) -> Column:
     return F.col(f"{c}__{name}")
 
@@ -72,16 +72,26 @@ def robust_scale(df: DataFrame, train: DataFrame, columns) -> DataFrame:
     return apply(df, params, {c: scaled(c) for c in columns})
 
 
-def clip_to_train(df: DataFrame, train: DataFrame, columns, low: float, high: float) -> tuple[DataFrame, DataFrame]:
-    params = quantile_params(train, columns, {"lo": low, "hi": high})
-    e = {c: clip(F.col(c), p(c, "lo"), p(c, "hi")) for c in columns}
-    return apply(df, params, e), apply(train, params, e)
+def fill_and_clip(frames, train: DataFrame, columns, low: float, high: float, more: dict[str, float] | None = None) -> tuple[list[DataFrame], dict[str, dict]]:
+    """Median fill and clip to the quantiles that the filled train rows have, all from one selection over the raw train rows.
+
+    Returns the frames and, per column, the clipped order statistics around the quantiles in ``more``.
+    """
+    stats = filled_stats(train, columns, {"lo": low, "hi": high} | (more or {}))
+    params, kept = {}, {}
+    for c in columns:
+        s = stats.get(c, {"fill": 0.0, "n": 0})
+        ends = {k: interpolated(s.get(f"{k}.lo"), s.get(f"{k}.hi"), s["n"], q) for k, q in (("lo", low), ("hi", high))}
+        params |= {f"{c}__fill": s["fill"], f"{c}__lo": ends["lo"], f"{c}__hi": ends["hi"]}
+        # clipping keeps the order, so the clipped order statistics are those of the clipped rows
+        kept[c] = {"n": s["n"]} | {f"{k}.{end}": None if s["n"] == 0 else min(max(s[f"{k}.{end}"], ends["lo"]), ends["hi"]) for k in more or {} for end in ("lo", "hi")}
+    e = {c: clip(F.coalesce(F.col(c), p(c, "fill")), p(c, "lo"), p(c, "hi")) for c in columns}
+    return [apply(f, params, e) for f in frames], kept
 
 
 def winsorise(df: DataFrame, train: DataFrame, columns, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Median fill, clip to train quantiles, then z-score; every statistic from train rows."""
-    d, tr = median_impute(df, train, columns), median_impute(train, train, columns)
-    d, tr = clip_to_train(d, tr, columns, low, high)
+    (d, tr), _ = fill_and_clip([df, train], train, columns, low, high)
     return standard_scale(d, tr, columns)
 
 
@@ -89,11 +99,10 @@ def signed_log_scale(df: DataFrame, train: DataFrame, columns, heavy, low: float
     """Signed log on the allow-listed columns, median fill, clip, (x - median) / IQR with sd and 1 as fallbacks."""
     logs = {c: signed_log(F.col(c)) for c in heavy}
     d, tr = df.withColumns(logs), train.withColumns(logs)
-    d, tr = median_impute(d, tr, columns), median_impute(tr, tr, columns)
-    d, tr = clip_to_train(d, tr, columns, low, high)
-    params = quantile_params(tr, columns, {"q1": 0.25, "med": 0.5, "q3": 0.75})
-    sds = tr.agg(*[F.stddev_pop(c).alias(f"{c}__sd") for c in columns])
-    params = params.transform(one_row, sds)  # one row each
+    names = {"q1": 0.25, "med": 0.5, "q3": 0.75}
+    (d, tr), kept = fill_and_clip([d, tr], tr, columns, low, high, names)
+    params = tr.agg(*[F.stddev_pop(c).alias(f"{c}__sd") for c in columns]).first().asDict()
+    params |= {f"{c}__{k}": interpolated(s[f"{k}.lo"], s[f"{k}.hi"], s["n"], q) for c, s in kept.items() for k, q in names.items()}
 
     def scaled(c):
         iqr, sd = p(c, "q3") - p(c, "q1"), p(c, "sd")

@@ -9,7 +9,8 @@ from diurna.operators.draws import auc_draws, draw_sums, subsample_steps
 from diurna.operators.drift import pair_correlations
 from diurna.operators.metrics import roc_auc
 from diurna.operators.prep import median_impute
-from diurna.operators.ranking import one_row, quantiles, row_midranks
+from diurna.operators.radix import quantiles
+from diurna.operators.ranking import one_row, row_midranks
 from diurna.operators.selection import column_facts
 
 
@@ -99,9 +100,9 @@ def redundancy(df: DataFrame, columns, limit: float = 0.95) -> DataFrame:
 
 def robust_spread(long: DataFrame, keys, value: str) -> DataFrame:
     """IQR/1.349, else 1.4826 MAD, else sample sd; with the median and n."""
-    q = quantiles(long, keys, value, [0.25, 0.5, 0.75]).withColumnsRenamed({"q50": "median"})
+    q = quantiles(long, keys, value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
     dev = long.join(q.select(*keys, "median"), list(keys)).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    mad = quantiles(dev, keys, "_d", [0.5]).select(*keys, (F.col("q50") * 1.4826).alias("_mad"))
+    mad = quantiles(dev, keys, "_d", {"q50": 0.5}).select(*keys, (F.col("q50") * 1.4826).alias("_mad"))
     sd = long.groupBy(*keys).agg(F.stddev_samp(value).alias("_sd"))
     s = (F.col("q75") - F.col("q25")) / 1.349
     tiny = 1e-12
@@ -138,8 +139,8 @@ def negative_controls(effect: DataFrame, feature: str, label: str, reference: in
 
 def robust_distance(long: DataFrame, row_id: str, feature: str, value: str) -> DataFrame:
     """(row, distance): sum of squared deviations from the feature medians in units of 1.4826 MAD; a MAD of 0 leaves the feature out."""
-    middle = quantiles(long, [feature], value, [0.5]).select(feature, F.col("q50").alias("_med"))
+    middle = quantiles(long, [feature], value, {"_med": 0.5}).drop("n")
     dev = long.join(middle, feature).select(row_id, feature, F.abs(F.col(value) - F.col("_med")).alias("_dev"))
-    spread = quantiles(dev, [feature], "_dev", [0.5]).select(feature, (F.col("q50") * 1.4826).alias("_mad"))
+    spread = quantiles(dev, [feature], "_dev", {"q50": 0.5}).select(feature, (F.col("q50") * 1.4826).alias("_mad"))
     term = F.pow(F.try_divide(F.col("_dev"), F.col("_mad")), 2)
     return dev.join(spread, feature).groupBy(row_id).agg(F.coalesce(F.sum(term), F.lit(0.0)).alias("distance"))

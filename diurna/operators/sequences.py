@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diurna.operators.ranking import one_row, quantiles, row_counts, row_midranks
+from diurna.operators.radix import quantiles
+from diurna.operators.ranking import one_row, row_counts, row_midranks
 
 
 def rolling(df: DataFrame, keys, order: str, value: str, width: int = 7) -> DataFrame:
@@ -131,8 +132,8 @@ def reference_ecdf(reference: DataFrame, query: DataFrame, value: str, group=())
 
 def quantile_bins(df: DataFrame, group, value: str, bins: int = 5) -> DataFrame:
     """0-based equal-frequency bin per row; right-closed, duplicate edges merged."""
-    q = quantiles(df, group, value, [k / bins for k in range(bins + 1)])
-    edges = q.select(*group, F.array_distinct(F.array(*q.columns[-(bins + 1):])).alias("_e"))
+    names = {f"_q{k}": k / bins for k in range(bins + 1)}
+    edges = quantiles(df, group, value, names).select(*group, F.array_distinct(F.array(*names)).alias("_e"))
     j = df.join(edges, list(group))
     inner = F.slice("_e", F.lit(2), F.greatest(F.size("_e") - 2, F.lit(0)))
     return j.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col(value)))).drop("_e")

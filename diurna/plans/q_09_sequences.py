@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from diurna.operators import sequences as Q
-from diurna.operators.ranking import quantiles
+from diurna.operators.radix import quantiles
 from diurna.plans.registry import query
 
 K = ["subject_id", "channel"]
@@ -155,6 +155,6 @@ def _(t):
     b = Q.quantile_bins(t.contributions, ["feature"], "value", 5)
     g = b.groupBy("feature", "bin").agg(F.count("*").alias("n"), F.min("value").alias("value_min"), F.max("value").alias("value_max"),
                                         F.avg("contribution").alias("mean_contribution"))
-    mv = quantiles(b, ["feature", "bin"], "value", [0.5]).select("feature", "bin", F.col("q50").alias("value_median"))
-    mc = quantiles(b, ["feature", "bin"], "contribution", [0.5]).select("feature", "bin", F.col("q50").alias("median_contribution"))
+    mv = quantiles(b, ["feature", "bin"], "value", {"value_median": 0.5}).drop("n")
+    mc = quantiles(b, ["feature", "bin"], "contribution", {"median_contribution": 0.5}).drop("n")
     return g.join(mv, ["feature", "bin"]).join(mc, ["feature", "bin"])
