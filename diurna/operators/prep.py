@@ -6,28 +6,35 @@ schema's; applying it is a plain projection, so the data is not shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diurna.functions.numbers import clip, signed_log
+from diurna.functions.numbers import signed_log
 from diurna.operators.radix import filled_stats, interpolated, quantiles_by_column
 from diurna.operators.ranking import one_row
 
 
 def moment_params(train: DataFrame, columns) -> DataFrame:
     """Mean and population sd; a zero sd becomes 1."""
-    sd = lambda c: F.when(F.stddev_pop(c) > 1e-12, F.stddev_pop(c)).otherwise(F.lit(1.0))
-    return train.agg(*[e for c in columns for e in (F.avg(c).alias(f"{c}__mu"), sd(c).alias(f"{c}__sd"))])
+    sd = "CASE WHEN stddev_pop(`{0}`) > 1e-12 THEN stddev_pop(`{0}`) ELSE 1D END"
+    return train.agg(*[F.expr(e) for c in columns for e in (f"avg(`{c}`) AS `{c}__mu`", f"{sd.format(c)} AS `{c}__sd`")])
 
 
-def apply(df: DataFrame, params: DataFrame | dict[str, float | None], exprs: dict[str, Column]) -> DataFrame:
-    """Project with the fitted values (one row, whose width is the schema's) as literals.
+def apply(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """Project with SQL expressions that hold the fitted values as literals.
 
     Later steps then read the table once instead of repeating the fits before them.
     """
-    row = params if isinstance(params, dict) else params.first().asDict()
-    fitted = df.withColumns({k: F.lit(v).cast("double") for k, v in row.items()})
-    return fitted.select(*[exprs[c].alias(c) if c in exprs else F.col(c) for c in df.columns])
+    return df.select(*[F.expr(exprs[c]).alias(c) if c in exprs else F.col(c) for c in df.columns])
+
+
+def number(v: float | None) -> str:
+    """A double literal; nulls stay null."""
+    if v is None:
+        return "CAST(NULL AS DOUBLE)"
+    return f"{v!r}D" if math.isfinite(v) else f"DOUBLE('{v}')"
 
 
 def quantile_params(train: DataFrame, columns, names: dict[str, float]) -> dict[str, float | None]:
@@ -36,17 +43,14 @@ def quantile_params(train: DataFrame, columns, names: dict[str, float]) -> dict[
     return {f"{c}__{n}": found[(), c][n] if ((), c) in found else None for c in columns for n in names}
 
 
-def p(c: str, name: str) -> Column:
-    return F.col(f"{c}__{name}")
-
-
 def median_impute(df: DataFrame, train: DataFrame, columns) -> DataFrame:
     params = quantile_params(train, columns, {"med": 0.5})
-    return apply(df, params, {c: F.coalesce(F.col(c), p(c, "med"), F.lit(0.0)) for c in columns})
+    return apply(df, {c: f"coalesce(`{c}`, {number(params[f'{c}__med'])}, 0D)" for c in columns})
 
 
 def standard_scale(df: DataFrame, train: DataFrame, columns) -> DataFrame:
-    return apply(df, moment_params(train, columns), {c: (F.col(c) - p(c, "mu")) / p(c, "sd") for c in columns})
+    v = moment_params(train, columns).first().asDict()
+    return apply(df, {c: f"(`{c}` - {number(v[f'{c}__mu'])}) / {number(v[f'{c}__sd'])}" for c in columns})
 
 
 def minmax_scale(df: DataFrame, train: DataFrame, columns, pad: float = -1.0) -> DataFrame:
@@ -54,22 +58,27 @@ def minmax_scale(df: DataFrame, train: DataFrame, columns, pad: float = -1.0) ->
     real = {c: F.when(F.col(c) != pad, F.col(c)) for c in columns}
     params = train.agg(*[e for c in columns for e in (F.min(real[c]).alias(f"{c}__lo"), F.max(real[c]).alias(f"{c}__hi"))])
 
+    v = params.first().asDict()
+
     def scaled(c):
-        span = p(c, "hi") - p(c, "lo")
-        return F.when(F.col(c) == pad, F.lit(pad)).otherwise(clip(
-            F.when(span > 0, (F.col(c) - p(c, "lo")) / span).otherwise(F.when(F.col(c).isNotNull(), F.lit(0.0))), F.lit(0.0), F.lit(1.0)))
+        lo, hi = v[f"{c}__lo"], v[f"{c}__hi"]
+        if lo is None or not hi > lo:
+            inner = f"CASE WHEN `{c}` IS NOT NULL THEN 0D END"
+        else:
+            inner = f"CASE WHEN `{c}` IS NOT NULL THEN greatest(least((`{c}` - {number(lo)}) / {number(hi - lo)}, 1D), 0D) END"
+        return f"CASE WHEN `{c}` = {number(float(pad))} THEN {number(float(pad))} ELSE {inner} END"
 
-    return apply(df, params, {c: scaled(c) for c in columns})
+    return apply(df, {c: scaled(c) for c in columns})
 
 
 def robust_scale(df: DataFrame, train: DataFrame, columns) -> DataFrame:
     params = quantile_params(train, columns, {"q1": 0.25, "med": 0.5, "q3": 0.75})
 
     def scaled(c):
-        iqr = p(c, "q3") - p(c, "q1")
-        return (F.col(c) - p(c, "med")) / F.when(iqr > 0, iqr).otherwise(F.lit(1.0))
+        q1, med, q3 = (params[f"{c}__{k}"] for k in ("q1", "med", "q3"))
+        return f"(`{c}` - {number(med)}) / {number(q3 - q1 if q3 is not None and q3 > q1 else 1.0)}"
 
-    return apply(df, params, {c: scaled(c) for c in columns})
+    return apply(df, {c: scaled(c) for c in columns})
 
 
 def fill_and_clip(frames, train: DataFrame, columns, low: float, high: float, more: dict[str, float] | None = None) -> tuple[list[DataFrame], dict[str, dict]]:
@@ -78,15 +87,15 @@ def fill_and_clip(frames, train: DataFrame, columns, low: float, high: float, mo
     Returns the frames and, per column, the clipped order statistics around the quantiles in ``more``.
     """
     stats = filled_stats(train, columns, {"lo": low, "hi": high} | (more or {}))
-    params, kept = {}, {}
+    exprs, kept = {}, {}
     for c in columns:
         s = stats.get(c, {"fill": 0.0, "n": 0})
         ends = {k: interpolated(s.get(f"{k}.lo"), s.get(f"{k}.hi"), s["n"], q) for k, q in (("lo", low), ("hi", high))}
-        params |= {f"{c}__fill": s["fill"], f"{c}__lo": ends["lo"], f"{c}__hi": ends["hi"]}
+        filled = f"coalesce(`{c}`, {number(s['fill'])})"
+        exprs[c] = filled if s["n"] == 0 else f"greatest(least({filled}, {number(ends['hi'])}), {number(ends['lo'])})"
         # clipping keeps the order, so the clipped order statistics are those of the clipped rows
         kept[c] = {"n": s["n"]} | {f"{k}.{end}": None if s["n"] == 0 else min(max(s[f"{k}.{end}"], ends["lo"]), ends["hi"]) for k in more or {} for end in ("lo", "hi")}
-    e = {c: clip(F.coalesce(F.col(c), p(c, "fill")), p(c, "lo"), p(c, "hi")) for c in columns}
-    return [apply(f, params, e) for f in frames], kept
+    return [apply(f, exprs) for f in frames], kept
 
 
 def winsorise(df: DataFrame, train: DataFrame, columns, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -105,10 +114,12 @@ def signed_log_scale(df: DataFrame, train: DataFrame, columns, heavy, low: float
     params |= {f"{c}__{k}": interpolated(s[f"{k}.lo"], s[f"{k}.hi"], s["n"], q) for c, s in kept.items() for k, q in names.items()}
 
     def scaled(c):
-        iqr, sd = p(c, "q3") - p(c, "q1"), p(c, "sd")
-        return (F.col(c) - p(c, "med")) / F.when(iqr >= eps, iqr).when(sd >= eps, sd).otherwise(F.lit(1.0))
+        q1, q3, sd = (params[f"{c}__{k}"] for k in ("q1", "q3", "sd"))
+        iqr = None if q3 is None else q3 - q1
+        unit = iqr if iqr is not None and iqr >= eps else sd if sd is not None and sd >= eps else 1.0
+        return f"(`{c}` - {number(params[f'{c}__med'])}) / {number(unit)}"
 
-    return apply(d, params, {c: scaled(c) for c in columns})
+    return apply(d, {c: scaled(c) for c in columns})
 
 
 def subject_moments(long: DataFrame, subject: str, channel: str, value: str) -> DataFrame:

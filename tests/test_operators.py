@@ -154,6 +154,14 @@ def test_fit_uses_train_rows_only(spark):
     assert got == [1.0, 2.0, 3.0, 1000.0]
 
 
+def test_minmax_keeps_missing_and_padding(spark):
+    d = spark.createDataFrame([(0.0,), (4.0,), (None,), (-1.0,), (9.0,)], "x double")
+    got = [r.x for r in prep.minmax_scale(d, d.where("x < 5 or x is null"), ["x"]).collect()]
+    assert got == [0.0, 1.0, None, -1.0, 1.0]
+    none = [r.x for r in prep.minmax_scale(d, d.where("x is null"), ["x"]).collect()]
+    assert none == [0.0, 0.0, None, -1.0, 0.0]
+
+
 def test_audit_fires_on_planted_overlap(spark):
     d = days(spark).withColumn("y", F.lit(1))
     log = {r.check_name: (r.passed, r.detail) for r in A.split(d.where("row_id < 20"), d.where("row_id >= 18"), "subject_id", "row_id", "date", d, d.limit(0)).collect()}
