@@ -170,17 +170,18 @@ def _chunks(batches: Iterator[pa.RecordBatch], words: Callable[[], Words], token
 
 
 PART_BITS = 16  # of a prefix partition's number
-GRAMS = "lang string, part int, k int, phrase string, n bigint"
+RUNS = "part int, gram string, n bigint"  # a gram is a phrase, a tab (no phrase holds one) and the lang; few columns keep the exchange small
 
 
 def _run(words: Words, columns: list[np.ndarray], counts: np.ndarray, k: int) -> pa.RecordBatch:
     """Rows of phrases given by k columns of word ids."""
     names, h = pa.array(words.names, pa.binary()), words.hashed()
     parts = [names.take(pa.array(c)) for c in columns]
-    phrase = (pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]).cast(pa.string())
+    phrase = pc.binary_join_element_wise(*parts, b" ") if k > 1 else parts[0]
     prefix = (h[columns[0]] ^ (h[columns[1]] & np.uint64(63) if k > 1 else np.uint64(0))) & np.uint64((1 << PART_BITS) - 1)
-    lang = pa.array(words.langs, pa.string()).take(pa.array(columns[0]))
-    return pa.RecordBatch.from_arrays([lang, pa.array(prefix.astype(np.int32)), pa.repeat(pa.scalar(k, pa.int32()), len(counts)), phrase, pa.array(counts)], ["lang", "part", "k", "phrase", "n"])
+    langs = pa.array([x.encode() for x in words.langs], pa.binary()).take(pa.array(columns[0]))
+    gram = pc.binary_join_element_wise(phrase, langs, b"\t").cast(pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int32)), gram, pa.array(counts)], ["part", "gram", "n"])
 
 
 def _sorted_run(words: Words, first: np.ndarray, rest: np.ndarray, counts: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,7 @@ def _sorted_run(words: Words, first: np.ndarray, rest: np.ndarray, counts: np.nd
 
 
 def count_words(rows: DataFrame, tokens: int = TOKENS) -> DataFrame:
-    """GRAMS of single words, and a null phrase with each lang's number of words."""
+    """RUNS of single words, and an empty phrase with each lang's number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = Words(), np.zeros(1, np.int64)
@@ -209,13 +210,11 @@ def count_words(rows: DataFrame, tokens: int = TOKENS) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             ids = np.arange(1, len(counts))
             if len(ids):
-                row = _run(words, [ids], counts[1:], 1)
-                yield row
+                yield _run(words, [ids], counts[1:], 1)
                 total: dict[str, int] = defaultdict(int)
                 for lang, n in zip(words.langs[1:], counts[1:].tolist(), strict=True):
                     total[lang] += n
-                m = len(total)
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([0] * m, pa.int32()), pa.array([0] * m, pa.int32()), pa.nulls(m, pa.string()), pa.array(list(total.values()), pa.int64())], row.schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(total), pa.int32()), pa.array(["\t" + x for x in total], pa.string()), pa.array(list(total.values()), pa.int64())], ["part", "gram", "n"])
 
         for ids, own in _chunks(batches, lambda: words, tokens):
             seen = np.bincount(ids[:own], minlength=len(words.names))
@@ -226,11 +225,11 @@ def count_words(rows: DataFrame, tokens: int = TOKENS) -> DataFrame:
                 words, counts = Words(), np.zeros(1, np.int64)
         yield from flush()
 
-    return rows.mapInArrow(run, GRAMS)
+    return rows.mapInArrow(run, RUNS)
 
 
 def count_windows(rows: DataFrame, words_bitmap: Broadcast, pairs_bitmap: Broadcast | None = None, tokens: int = TOKENS, entries: int = ENTRIES, burst: int = BURST) -> DataFrame:
-    """GRAMS of pairs of frequent words, or with ``pairs_bitmap`` of the windows of three and four that its pairs form."""
+    """RUNS of pairs of frequent words, or with ``pairs_bitmap`` of the windows of three and four that its pairs form."""
     width = 1 if pairs_bitmap is None else LONGEST - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,12 +266,15 @@ def count_windows(rows: DataFrame, words_bitmap: Broadcast, pairs_bitmap: Broadc
                 yield from _sorted_run(words, *trie.cut(out), width)
         yield from _sorted_run(words, *trie.cut(list(trie.sizes())), width)
 
-    return rows.mapInArrow(run, GRAMS)
+    return rows.mapInArrow(run, RUNS)
 
 
 def merged(runs: DataFrame, support: int) -> DataFrame:
-    """Runs summed in the partition of their prefix; phrases of at least ``support`` occurrences, and the langs' totals."""
-    return runs.repartition("part").groupBy("part", "lang", "k", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= support) | F.col("phrase").isNull()).drop("part")
+    """(lang, k, phrase, n): runs summed in the partition of their prefix; phrases of at least ``support`` occurrences, and the langs' totals with k 0."""
+    total = runs.repartition("part").groupBy("part", "gram").agg(F.sum("n").alias("n")).where((F.col("n") >= support) | F.startswith("gram", F.lit("\t")))
+    phrase = F.substring_index("gram", "\t", 1)
+    lang = F.substring(F.col("gram"), F.length(phrase) + 2, F.length("gram"))
+    return total.select(lang.alias("lang"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("k"), F.nullif(phrase, F.lit("")).alias("phrase"), "n")
 
 
 def bitmap(grams: DataFrame, bits: int) -> np.ndarray:
