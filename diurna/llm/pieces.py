@@ -42,7 +42,7 @@ def _hash(b: bytes) -> np.uint64:
     return W.spans(values, np.array([0]), np.array([len(b)]))[0]
 
 
-_TABLE = W._byte_values(0, False)
+_TABLE = W.byte_values()
 
 
 @functools.cache
@@ -116,14 +116,7 @@ def pretokens(column: pa.Array, v: Vocabulary) -> Iterator[Texts]:
         cut[:-1] |= alone
         limits = np.flatnonzero(cut)
         starts, ends = limits[:-1], limits[1:]
-        keys = np.empty(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):
-            to = max(at + 1, int(np.searchsorted(ends, starts[at] + W.CHUNK, side="right")))
-            a, b = starts[at], ends[to - 1]
-            keys[at:to] = W.spans(_TABLE[marked[a:b]], starts[at:to] - a, ends[at:to] - a)
-            at = to
-        yield Texts(lo, hi, marked, rows, starts, ends, keys, np.searchsorted(starts, rows))
+        yield Texts(lo, hi, marked, rows, starts, ends, W.hashed(marked, starts, ends), np.searchsorted(starts, rows))
 
 
 def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

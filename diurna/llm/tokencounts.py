@@ -14,14 +14,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from diurna.llm import words as W
 from diurna.llm.frames import documents, pick
-from diurna.llm.pieces import _TABLE, MODEL, Vocabulary, arcs, gather, load, pretokens
+from diurna.llm.pieces import MODEL, Vocabulary, arcs, gather, load, pretokens
 from diurna.llm.registry import llm_query
 
 KEEP = 500_000
 
 
+def trie(flat: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte at which each node was first seen, node of each byte): nodes are numbered from 1 by depth, 0 is the root.
+
+    A node is its parent and a byte, so equal prefixes, and only these, share one.
+    """
+    size = np.diff(limits)
+    longest = np.argsort(-size, kind="stable")
+    first, above = limits[:-1][longest], np.zeros(len(size), np.int64)
+    node, spots, made = np.empty(len(flat), np.int64), [np.empty(0, np.int64)], 1
+    reach = np.searchsorted(-size[longest], -np.arange(1, int(size.max(initial=0)) + 1), side="right")  # pre-tokens of at least that length
+    for depth, n in enumerate(reach.tolist()):
+        at = first[:n] + depth
+        _, spot, child = np.unique(above[:n] << 8 | flat[at], return_index=True, return_inverse=True)
+        above = child + made
+        node[at] = above
+        spots.append(at[spot])
+        made += len(spot)
+    return np.concatenate(spots), node
+
+
 def trie_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocabulary) -> np.ndarray:
     """Pieces of the best segmentation of each pre-token; of equal scores the one with fewer pieces."""
     flat, limits = gather(data, starts, ends)
@@ -29,9 +48,7 @@ def trie_counts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, v: Vocab
     token = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(flat)) - limits[:-1][token] + 1
     here = np.arange(1, len(flat) + 1)
-    prefix = W.spans(_TABLE[flat], limits[:-1][token], here)
-    _, spot, node = np.unique(prefix, return_index=True, return_inverse=True)  # spot: where a node was first seen
-    node = node + 1  # node 0 is the root
+    spot, node = trie(flat, limits)
     depth = place[spot]
     who, start, piece = arcs(flat, limits[:-1][token[spot]], here[spot], v)
     first = limits[:-1][token[spot[who]]]

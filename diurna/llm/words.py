@@ -1,8 +1,13 @@
 """Word and shingle hashes of whole texts as numpy arrays, for use inside Arrow batches.
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D. These bytes never occur inside a
-multi-byte UTF-8 character, so the byte rule equals the rule on characters. A word's hash is a
-polynomial over random byte values modulo 2^64, finished by a mixer; it depends on the bytes only.
+multi-byte UTF-8 character, so the byte rule equals the rule on characters. A word's hash mixes in
+eight bytes at a time, each step a bijection of the state that is not linear in the bytes, and
+starts from the length; it depends on the bytes only.
+
+``spans`` is a polynomial modulo 2^64 over values that are random already (hashes of words) or over
+at most a few dozen bytes (pieces). It must not be used for long runs of raw bytes, where patterns
+of two letters collide whatever the base.
 """
 
 from __future__ import annotations
@@ -43,11 +48,33 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0]
 
 
-def _byte_values(seed: int, fold: bool) -> np.ndarray:
-    values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE) + np.uint64(seed))
-    if fold:
-        values[ord("A"):ord("Z") + 1] = values[ord("a"):ord("z") + 1]
-    return values
+def byte_values() -> np.ndarray:
+    """A random value per byte."""
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+
+
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[ord("A"):ord("Z") + 1] += 32
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the bytes data[start:end] of each span."""
+    length = (ends - starts).astype(np.int64)
+    h = mix(length.astype(np.uint64) + np.uint64(seed * _BASE & (1 << 64) - 1))
+    blocks = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # the 8 bytes at every place
+    active, at = np.flatnonzero(length > 0), 0
+    while len(active):
+        left = length[active] - at
+        x = blocks[starts[active] + at]
+        short = left < 8
+        x[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        x ^= h[active]
+        x *= np.uint64(_BASE)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        h[active] = x ^ (x >> np.uint64(29))
+        active, at = active[left > 8], at + 8
+    return mix(h)
 
 
 def spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -121,20 +148,12 @@ def word_bounds(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def chunks(column: pa.Array, fold: bool = False, seed: int = 0) -> Iterator[Chunk]:
     """Word hashes of all rows, about CHUNK bytes of text at a time. ``fold`` lower-cases A-Z."""
-    table = _byte_values(seed, fold)
     data, offsets = buffers(column)
     for lo, hi in row_ranges(offsets):
         rows = offsets[lo: hi + 1] - offsets[lo]
         part = data[offsets[lo]: offsets[hi]]
         starts, ends = word_bounds(part, rows)
-        hashes = np.empty(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):  # word hashes in pieces of CHUNK bytes, cut between words
-            to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK, side="right")))
-            a, b = starts[at], ends[to - 1]
-            hashes[at:to] = spans(table[part[a:b]], starts[at:to] - a, ends[at:to] - a)
-            at = to
-        yield Chunk(lo, hi, hashes, np.searchsorted(starts, rows))
+        yield Chunk(lo, hi, hashed(_FOLDED[part] if fold else part, starts, ends, seed), np.searchsorted(starts, rows))
 
 
 def signed(x: np.ndarray) -> pa.Array:

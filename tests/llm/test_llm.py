@@ -68,7 +68,7 @@ def empty(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = canonical(QUERIES[name](spark, SF).toPandas()), canonical(con.execute(ORACLE[name]).df())
     assert list(got.columns) == list(want.columns) and len(got) == len(want)
