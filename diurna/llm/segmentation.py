@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from diurna.llm import words as W
 from diurna.llm.frames import documents, pick
-from diurna.llm.pieces import MODEL, Vocabulary, arcs, gather, load, pretokens
+from diurna.llm.pieces import MODEL, Texts, Vocabulary, arcs, gather, load, pretokens
 from diurna.llm.registry import llm_query
 
 KEEP = 100_000  # distinct pre-tokens whose lattices a task holds at a time
@@ -35,11 +35,20 @@ class Lattices:
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)  # sorted
         self.node = np.empty(0, np.int64)  # first node of the pre-token
-        self.nodes = 0
-        self.limit = np.empty(0, np.int64)  # node << 32 | upper bound of the arc's share
+        self.nodes = self.arcs = 0
+        self.first = np.empty(0, np.int64)  # of a node, its first arc
+        self.limit = np.empty(0, np.uint32)  # of an arc, the upper bound of its share; the last one's is the largest number
         self.start = np.empty(0, np.int64)
         self.piece = np.empty(0, np.int32)
 
+    def _grow(self, name: str, used: int, new: np.ndarray) -> None:
+        """Append to an array that doubles when it is full, so that it is not copied for every batch."""
+        held = getattr(self, name)
+        if used + len(new) > len(held):
+            held = np.concatenate([held[:used], np.empty(used + 2 * len(new), held.dtype)])
+            setattr(self, name, held)
+        held[used:used + len(new)] = new
+
     def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
         """Pre-tokens not seen before; each position of their bytes, and the place before them, is a node."""
         flat, limits = gather(data, starts, ends)
@@ -74,9 +83,11 @@ class Lattices:
         last = np.flatnonzero(np.diff(end_node, append=-1))
         bound = np.minimum(bound, (1 << 32) - 1)
         bound[last] = (1 << 32) - 1
-        self.limit = np.concatenate([self.limit, ((end_node + self.nodes) << 32) | bound])
-        self.start = np.concatenate([self.start, start_node + self.nodes])
-        self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
+        self._grow("first", self.nodes, np.searchsorted(end_node, np.arange(len(flat) + len(size))) + self.arcs)
+        self._grow("limit", self.arcs, bound.astype(np.uint32))
+        self._grow("start", self.arcs, start_node + self.nodes)
+        self._grow("piece", self.arcs, piece.astype(np.int32))
+        self.arcs += len(end_node)
         keys, node = np.concatenate([self.keys, keys]), np.concatenate([self.node, base + self.nodes])
         order = np.argsort(keys)
         self.keys, self.node = keys[order], node[order]
@@ -92,8 +103,12 @@ class Lattices:
         count = np.zeros(len(node), np.int64)
         step = 0
         while len(who):
-            r = W.mix(seeds[who] + np.uint64(step)) >> np.uint64(32)
-            arc = np.searchsorted(self.limit, (now[who] << 32) | np.minimum(r, np.uint64((1 << 32) - 2)).astype(np.int64), side="right")
+            r = np.minimum(W.mix(seeds[who] + np.uint64(step)) >> np.uint64(32), np.uint64((1 << 32) - 2)).astype(np.uint32)
+            arc = self.first[now[who]]
+            on = np.flatnonzero(self.limit[arc] <= r)
+            while len(on):  # to the first arc whose bound is above the number
+                arc[on] += 1
+                on = on[self.limit[arc[on]] <= r[on]]
             taken.append((who, self.piece[arc]))
             now[who] = self.start[arc]
             count[who] += 1
@@ -106,6 +121,40 @@ class Lattices:
         return out, count
 
 
+def segment(t: Texts, held: Lattices, row_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of the rows one after the other, their limits by row, and whether each row's pieces are its bytes."""
+    v, alpha = held.v, held.alpha
+    width = np.diff(v.starts)
+    unique, at, back = np.unique(t.keys, return_index=True, return_inverse=True)
+    if len(held.keys) + len(unique) > KEEP:
+        held.clear()
+    fresh = at[~np.isin(unique, held.keys, assume_unique=True)]
+    if len(fresh):
+        held.add(t.data, t.starts[fresh], t.ends[fresh], t.keys[fresh])
+    per_row = np.diff(t.offsets)
+    row = np.repeat(np.arange(t.hi - t.lo), per_row)
+    place = np.arange(len(row)) - t.offsets[:-1][row]
+    seeds = W.mix(row_keys[row] + W.mix(place.astype(np.uint64)))
+    pieces, count = held.sample(held.find(unique)[back], t.ends - t.starts, seeds)
+    upto = np.concatenate([[0], np.cumsum(count)])[t.offsets]
+    made, _ = gather(v.data, v.starts[pieces], v.starts[pieces] + width[pieces])
+    limits = np.concatenate([[0], np.cumsum(width[pieces])])[upto]
+    good = np.ones(t.hi - t.lo, bool)
+    if not np.array_equal(limits, t.rows) or not np.array_equal(made, t.data):
+        good[:] = [np.array_equal(made[a:z], t.data[c:d]) for a, z, c, d in zip(limits[:-1], limits[1:], t.rows[:-1], t.rows[1:], strict=True)]
+    if not good.all():  # two pre-tokens share a hash: these rows get lattices of their own, found by place
+        lists = np.split(pieces, upto[1:-1])
+        for i in np.flatnonzero(~good):
+            a, z = t.offsets[i], t.offsets[i + 1]
+            alone, own = Lattices(v, alpha), np.arange(z - a, dtype=np.uint64)
+            alone.add(t.data, t.starts[a:z], t.ends[a:z], own)
+            lists[i], _ = alone.sample(alone.find(own), t.ends[a:z] - t.starts[a:z], seeds[a:z])
+            good[i] = b"".join(v.content[p] for p in lists[i]) == t.data[t.rows[i]:t.rows[i + 1]].tobytes()
+        upto = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        pieces = np.concatenate(lists)
+    return pieces, upto, good
+
+
 def encode(df: DataFrame, id_col="doc_id", text_col="text", model: str = MODEL, seed: int = SEED, alpha: float = 1.0, key_cols=None) -> DataFrame:
     """One row per input row: doc_id, pieces (array of ids), lossless (decoding the ids gave the text's bytes).
 
@@ -121,25 +170,10 @@ def encode(df: DataFrame, id_col="doc_id", text_col="text", model: str = MODEL,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(model)
         held = Lattices(v, alpha)
-        width = np.diff(v.starts)
         for b in batches:
             row_keys = b["key"].to_numpy().view(np.uint64)
             for t in pretokens(b["text"], v):
-                unique, at = np.unique(t.keys, return_index=True)
-                if len(held.keys) + len(unique) > KEEP:
-                    held.clear()
-                fresh = at[~np.isin(unique, held.keys, assume_unique=True)]
-                if len(fresh):
-                    held.add(t.data, t.starts[fresh], t.ends[fresh], t.keys[fresh])
-                per_row = np.diff(t.offsets)
-                row = np.repeat(np.arange(t.hi - t.lo), per_row)
-                place = np.arange(len(row)) - t.offsets[:-1][row]
-                seeds = W.mix(row_keys[t.lo:t.hi][row] + W.mix(place.astype(np.uint64)))
-                pieces, count = held.sample(held.find(t.keys), t.ends - t.starts, seeds)
-                upto = np.concatenate([[0], np.cumsum(count)])[t.offsets]
-                made, _ = gather(v.data, v.starts[pieces], v.starts[pieces] + width[pieces])
-                limits = np.concatenate([[0], np.cumsum(width[pieces])])[upto]
-                good = np.array([np.array_equal(made[a:z], t.data[c:d]) for a, z, c, d in zip(limits[:-1], limits[1:], t.rows[:-1], t.rows[1:], strict=True)], bool)
+                pieces, upto, good = segment(t, held, row_keys[t.lo:t.hi])
                 part = b.slice(t.lo, t.hi - t.lo)
                 null = part["text"].is_null().to_numpy(zero_copy_only=False)
                 lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(pieces), mask=pa.array(null))
