@@ -2,10 +2,12 @@
 
 Every window of ``length`` words picks the smallest hash among its ANCHOR-word sequences (winnowing),
 so two equal windows hold the same anchor at the same place. Anchors found in two documents are
-seeds; everything else is dropped at once. The documents of a seed are extended word by word to both
-sides as far as the windows that picked it reach: a window repeats if its whole word sequence (128
-bits of hash) also starts in a document with a smaller id. Overlapping repeated windows join into
-maximal repeats, whose words are removed.
+seeds; everything else is dropped at once. A seed is extended to both sides over the windows that
+picked it, but not by joining documents in pairs, which a passage in thousands of documents would
+square: the windows around seeds meet by 128 bits of hash of their whole word sequence, and a window
+repeats if its sequence also starts in a document with a smaller id. Overlapping repeated windows
+join into maximal repeats, whose words are removed. Word hashes have 64 bits (``words.hashed``); two
+words that agree in them count as one word.
 
 Anchors that a bounded sample already shows in several documents count as seeds without being
 exchanged, so very frequent passages cost nothing in the seed join; windows meet by partial
@@ -34,9 +36,8 @@ SAMPLE, COMMON = 4_000, 3  # rows sampled for frequent anchors; an anchor in so
 LAST = (1 << 63) - 1  # place of null ids: after all others
 
 
-def _digest(words: list[bytes]) -> tuple[str, int]:
-    h = hashlib.sha256(b" ".join(words))
-    return h.hexdigest(), int.from_bytes(h.digest()[:8], "little", signed=True)
+def _digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def anchors(chunk: W.Chunk, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,18 +57,16 @@ def anchors(chunk: W.Chunk, length: int, k: int) -> tuple[np.ndarray, np.ndarray
 
 
 def profile(rows: DataFrame) -> DataFrame:
-    """k (the id, null last), n_words, sha (of the words joined by one space), row (its first 8 bytes)."""
+    """k (the id, null last), row (hash of the text), n_words, sha (of the words joined by one space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sha, short = [], [], []
+            n, sha = [], []
             for t in b["text"]:
                 words = (t.as_py() or "").encode().split()
-                hexa, first = _digest(words)
                 n.append(len(words))
-                sha.append(hexa)
-                short.append(first)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["k"], pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(short, pa.int64())], ["doc_id", "k", "n_words", "sha", "row"])
+                sha.append(_digest(words))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["k"], pa.array(n, pa.int64()), pa.array(sha, pa.string()), b["row"]], ["doc_id", "k", "n_words", "sha", "row"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, k bigint, n_words bigint, sha string, row bigint")
 
@@ -99,6 +98,7 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
     """
     k = min(ANCHOR, length)
     rows = pick(df, doc_id=id_col, text=text_col).withColumn("k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
+    rows = rows.withColumn("row", F.xxhash64("text"))  # tells the texts of one id apart
     base = stored(profile(rows), "profile")
     firsts = stored(base.groupBy("sha").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last"), "firsts")
     copies = base.select("sha", "k", "n_words", "row").distinct().join(firsts.drop("last"), "sha").where("k > first")
@@ -125,7 +125,7 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some)], ["anchor", "k"])
 
     # ids all of whose rows are later copies take no part
-    first_rows = rows.join(skip, rows.k == skip.ck, "left_anti").select("k", "text")
+    first_rows = rows.join(skip, rows.k == skip.ck, "left_anti").select("k", "row", "text")
     asked = first_rows.mapInArrow(ask, "anchor bigint, k bigint")
     cold = asked.where("anchor is not null")
     shared = cold.groupBy("anchor").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("anchor")
@@ -133,15 +133,15 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
     warm = asked.where("anchor is null").select("k", F.array().cast("array<bigint>").alias("seeds"))
     seeds = seeds.unionByName(warm).groupBy("k").agg(F.max_by("seeds", F.size("seeds")).alias("seeds"))
     seeds = stored(seeds, "seeds").withColumnRenamed("k", "sk")
-    held = first_rows.join(seeds, F.col("k") == F.col("sk")).select("k", "text", "seeds")
+    held = first_rows.join(seeds, F.col("k") == F.col("sk")).select("k", "row", "text", "seeds")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows around seeds: 128-bit hash, id, row digest, first word."""
         for b in batches:
             ids = b["k"].to_numpy()
             seeds_of = [np.sort(s.values.to_numpy().view(np.uint64)) if s.is_valid else np.empty(0, np.uint64) for s in b["seeds"]]
-            short = [_digest((t.as_py() or "").encode().split())[1] for t in b["text"]]
-            for c, d in zip(W.chunks(b["text"]), W.chunks(b["text"], seed=99), strict=True):
+            text_row = b["row"].to_numpy()
+            for c in W.chunks(b["text"]):
                 row, first, _, low = anchors(c, length, k)
                 if not len(row):
                     continue
@@ -150,9 +150,9 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
                 for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     on[a:z] |= np.isin(low[a:z], seeds_of[c.lo + i])
                 row, first = row[on], first[on]
-                one, two = W.grams(c.words, length)[first], W.grams(d.words, length)[first]
+                one, two = W.grams(c.words, length)[first], W.grams(W.mix(c.words ^ np.uint64(99)), length)[first]
                 yield pa.RecordBatch.from_arrays(
-                    [W.signed(one), W.signed(two), pa.array(ids[c.lo + row]), pa.array(np.array(short, np.int64)[c.lo + row]), pa.array((first - c.offsets[row]).astype(np.int32))],
+                    [W.signed(one), W.signed(two), pa.array(ids[c.lo + row]), pa.array(text_row[c.lo + row]), pa.array((first - c.offsets[row]).astype(np.int32))],
                     ["h1", "h2", "k", "row", "at"])
 
     windows = held.mapInArrow(extend, "h1 bigint, h2 bigint, k bigint, row bigint, at int")
@@ -160,23 +160,21 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
     # written, so that the join is dealt anew and adaptive execution can split a very frequent window
     earliest = stored(earliest, "earliest").withColumnsRenamed({"h1": "e1", "h2": "e2"})
     hits = windows.join(earliest, (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))).where("k > first")
-    hits = hits.groupBy("k", "row").agg(F.collect_set("at").alias("at")).withColumnsRenamed({"k": "hk"})
-    found = held.select("k", "text").join(hits, F.col("k") == F.col("hk")).select("k", "text", "row", "at")
+    hits = hits.groupBy("k", "row").agg(F.collect_set("at").alias("at")).withColumnsRenamed({"k": "hk", "row": "hrow"})
+    found = held.select("k", "row", "text").join(hits, (F.col("k") == F.col("hk")) & (F.col("row") == F.col("hrow"))).select("k", "text", "row", "at")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for key, t, row, at in zip(b["k"].to_pylist(), b["text"], b["row"].to_pylist(), b["at"], strict=True):
                 words = (t.as_py() or "").encode().split()
-                if _digest(words)[1] != row:
-                    continue  # another text under the same id
                 start = np.sort(at.values.to_numpy())
                 delta = np.zeros(len(words) + 1, np.int64)
                 np.add.at(delta, start, 1)
                 np.add.at(delta, start + length, -1)
                 gone = np.cumsum(delta[:-1]) > 0
                 edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                out.append((key, row, int(gone.sum()), _digest(list(compress(words, ~gone)))[0], edge.reshape(-1, 2).tolist()))
+                out.append((key, row, int(gone.sum()), _digest(list(compress(words, ~gone))), edge.reshape(-1, 2).tolist()))
             cols = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], ["rk", "rrow", "gone", "left_sha", "spans"])
