@@ -6,15 +6,18 @@ a linked pair stays within the budget of at least one block. Each block is range
 a grid over its first two coordinates, with cells as wide as the block's radius, sends every vector
 to its home cell and to the neighbouring cells that see it, so each pair meets once per block. Pairs
 within the block's budget are candidates and are verified with the whole vectors in double
-precision. A pair counts in the first block in which it qualifies, so no pairs are shuffled.
+precision. A linked pair counts in the block in which it uses the smallest share of the budget (the
+first of equal ones), where it always is a candidate, so no pairs are shuffled. Both sides of that
+comparison are summed row by row in a fixed order: every task finds the same block.
 
 Cells are cut into chunks of at most CHUNK home vectors; the others stream past a chunk in batches.
-Equal vectors are one node with a count. A task returns link counts and star edges, not pairs.
+Equal vectors are one node with a number and a count. A task returns link counts and star edges, not pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,12 @@ def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _turned(unit: np.ndarray, at: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Rotated rows; unlike a matrix product's, the last bits do not depend on the other rows."""
+    rows, back = np.unique(at, return_inverse=True)
+    return np.einsum("ij,jk->ik", unit[rows], turn, optimize=False)[back]
+
+
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Smallest index of each component of label's graph after adding the edges (a, b)."""
     while True:
@@ -65,6 +74,7 @@ def links(vectors: DataFrame, dim: int, threshold: float, block: int = BLOCK, ch
     blocks = _blocks(dim, block)
     budget = 2.0 - 2.0 * threshold
     limits = [budget * (b - a) / dim for a, b in blocks]
+    heads, shares = np.array([a for a, _ in blocks]), np.array([b - a for a, b in blocks], float)
     turn = rotation(dim)
     kind = dict(vectors.dtypes)["embedding"]
 
@@ -157,11 +167,9 @@ def links(vectors: DataFrame, dim: int, threshold: float, block: int = BLOCK, ch
             p, q = i[lo:lo + (1 << 14)], j[lo:lo + (1 << 14)]
             linked = np.einsum("ij,ij->i", homes["unit"][p], unit[q]) >= threshold
             p, q, where = p[linked], q[linked], np.flatnonzero(linked) + lo
-            gap = (homes["turned"][p] - turned[q]) ** 2
-            first = np.ones(len(p), bool)  # not within the budget of an earlier block
-            for e, (c, d) in enumerate(blocks[:k]):
-                first &= gap[:, c:d].sum(1) > limits[e]
-            ok[where] = first & (gap[:, a:b].sum(1) <= limits[k])  # the block's own test, in double
+            if len(p):
+                gap = (_turned(homes["unit"], p, turn) - _turned(unit, q, turn)) ** 2
+                ok[where] = np.argmin(np.add.reduceat(gap, heads, axis=1) / shares, axis=1) == k
         i, j = i[ok], j[ok]
         if not len(i):
             return None
@@ -182,31 +190,46 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col="vec_id", vec_
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing and are
-    their own component; so are vectors of a length other than the most frequent one. Rows that
-    repeat a vector link with each other. A row with a null id counts like others where another row
-    with an id has the same vector; else its component is null. An empty table gives an empty result.
+    their own component. Vectors link with those of their own length; there is one join per length.
+    Rows that repeat a vector link with each other, and so do rows that repeat an id with other
+    vectors that are near. Rows with null ids link like others; a component without any id is null.
+    An empty table gives an empty result.
     """
     rows = pick(df, vec_id=id_col, embedding=vec_col)
     good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     kind = "array<float>" if rows.dtypes[1][1] == "array<float>" else "array<double>"
     rows = rows.withColumn("embedding", F.col("embedding").cast(kind)).withColumn("good", F.coalesce(good, F.lit(False)))
-    common = rows.where("good").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
+    rows = rows.withColumn("dim", F.when(F.col("good"), F.size("embedding")))
+    dims = sorted(r.dim for r in rows.where("good").select("dim").distinct().toLocalIterator())
+    if not dims:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = common.dim
-    usable = F.col("good") & (F.size("embedding") == dim)
-    plain = rows.where(usable).withColumn("embedding", F.transform("embedding", lambda x: (x + F.lit(0.0)).cast(kind[6:-1])))  # -0 equals 0
-    nodes = stored(plain.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "nodes")
-    found = stored(links(nodes.where("id is not null").select("id", "copies", "embedding"), dim, threshold).groupBy("id", "root").agg(F.sum("links").alias("links")), "links")
+    plain = rows.where("good").withColumn("embedding", F.transform("embedding", lambda x: (x + F.lit(0.0)).cast(kind[6:-1])))  # -0 equals 0
+    distinct = plain.groupBy("embedding", "dim").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    nodes = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "nodes")  # numbers are fixed by writing them
+    each = [links(nodes.where(F.col("dim") == d).select("id", "copies", "embedding"), d, threshold) for d in dims]
+    found = stored(reduce(DataFrame.unionByName, each).groupBy("id", "root").agg(F.sum("links").alias("links")), "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), "vector-components")
-    tied = nodes.join(counts, "id", "left").join(groups, nodes.id == groups.node, "left")
-    tied = tied.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    member = nodes.join(groups, nodes.id == groups.node, "left").withColumn("component", F.coalesce("component", "id")).join(counts, "id", "left")
+    names = member.groupBy("component").agg(F.min("first").alias("component_id"))
+    tied = member.join(names, "component").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = plain.select("vec_id", "embedding").join(tied, "embedding").select("vec_id", "n_links", "component_id")
-    rest = rows.where(~usable).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    rest = rows.where(~F.col("good")).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-@llm_query("op6_embedding_near_dedup")
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / a.norm / b.norm >= 0.9::DOUBLE),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
+@llm_query("op6_embedding_near_dedup", SQL)
 def op6_embedding_near_dedup(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
