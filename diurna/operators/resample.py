@@ -142,9 +142,11 @@ def _source(slots: DataFrame, seeds: DataFrame, row_id: str, seed: int) -> DataF
     return s.join(src.drop("n"), "idx").select("slot", "source_id")
 
 
-def smote(df: DataFrame, columns, row_id: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
+def smote(df: DataFrame, columns, row_id: str, label: str, k: int = 5, seed: int = 0, standardise: bool = False) -> DataFrame:
+    """Synthetic minority rows up to parity; with ``standardise`` the neighbours are searched in units of each column's sd over all rows."""
     pos = minority_rows(df, label)
-    nn = materialise(nearest(pos, pos, columns, k, row_id, row_id, skip_self=True), "nn")
+    space = minority_rows(standard_scale(df, df, columns), label) if standardise else pos
+    nn = materialise(nearest(space, space, columns, k, row_id, row_id, skip_self=True), "nn")
     return interpolate(_source(deficit_slots(df, row_id, label), pos, row_id, seed), pos, nn, columns, row_id, k, seed)
 
 

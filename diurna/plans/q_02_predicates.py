@@ -141,7 +141,7 @@ def _(t):
     return a.unionAll(P.drop_outliers(t.vectors, XS, 0.005, ["y3"]).select(F.lit("per_class").alias("scope"), "vec_id"))
 
 
-@query("percentile_outlier_clip", i="vec_id n_clipped", f="x1 x2 x8", sql=f"""
+@query("percentile_outlier_clip", i="vec_id n_clipped", f=" ".join(XS), sql=f"""
     SELECT vec_id, {CLIPS}, {NCLIP} AS n_clipped FROM c_vec, (SELECT {BOUNDS} FROM c_vec) AS b""")
 def _(t):
     return P.clip_outliers(t.vectors, XS, 0.05)

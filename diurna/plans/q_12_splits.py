@@ -12,6 +12,7 @@ from diurna.plans.registry import query
 from diurna.sources.carriers import FEATURES
 
 XS = list(FEATURES)
+ALL = " ".join(XS)
 
 
 def hx(*parts: str) -> str:
@@ -140,30 +141,33 @@ def source(seed: int, src: str) -> str:
     return f"(SELECT slot, vec_id AS source_id FROM sl JOIN {src} ON {src}.idx = {h(str(seed), repr('i'), 'slot')} % (SELECT count(*) FROM {src}))"
 
 
-@query("smote", i="slot source_id partner_id", f="x1 x2 x3 x4", sql=f"WITH {VMIN}, {knn('mi', 'mi', 5, 'nn')}, so AS {source(4, 'mi')} {lerp(4, 'so', 'nn')}")
-def _(t):
-    return R.smote(vec(t), XS, "vec_id", "target", 5, 4)
-
-
 ZED = f"z AS (SELECT vec_id, y3, {', '.join(f'({c} - m{c}) / s{c} AS {c}' for c in XS)} FROM c_vec, (SELECT {', '.join(f'avg({c}) AS m{c}, stddev_pop({c}) AS s{c}' for c in XS)} FROM c_vec)), zm AS (SELECT * FROM z WHERE y3 = 2)"
 SHARE = f"{knn('zm', 'z', 5, 'na')}, sh AS (SELECT qid, avg((c.y3 <> 2)::INT) AS share FROM na JOIN c_vec c ON c.vec_id = na.rid GROUP BY 1)"
 
 
-@query("borderline_smote", i="slot source_id partner_id", f="x1 x2 x3 x4", sql=f"""
+@query("smote", s="space", i="slot source_id partner_id", f=ALL, sql=f"""
+    WITH {VMIN}, {ZED}, {knn('mi', 'mi', 5, 'nn')}, {knn('zm', 'zm', 5, 'nz')}, so AS {source(4, 'mi')}
+    SELECT 'raw' AS space, * FROM ({lerp(4, 'so', 'nn')}) UNION ALL SELECT 'standardised', * FROM ({lerp(4, 'so', 'nz')})""")
+def _(t):
+    raw, scaled = (R.smote(vec(t), XS, "vec_id", "target", 5, 4, standardise=z) for z in (False, True))
+    return raw.withColumn("space", F.lit("raw")).unionByName(scaled.withColumn("space", F.lit("standardised")))
+
+
+@query("borderline_smote", i="slot source_id partner_id", f=ALL, sql=f"""
     WITH {VMIN}, {ZED}, {SHARE}, dg AS (SELECT *, (share >= 0.5 AND share < 1)::INT AS d FROM sh), sd AS (SELECT m.*, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS idx FROM c_vec m JOIN dg ON dg.qid = m.vec_id WHERE d = 1 OR (SELECT sum(d) FROM dg) < 2),
     zs AS (SELECT z.* FROM z JOIN sd ON sd.vec_id = z.vec_id), {knn('zs', 'zs', 5, 'nn')}, so AS {source(4, 'sd')} {lerp(4, 'so', 'nn')}""")
 def _(t):
     return R.borderline_smote(vec(t), XS, "vec_id", "target", 5, 4)
 
 
-@query("adasyn", s="slot", i="source_id partner_id", f="x1 x2 x3 x4", sql=f"""
+@query("adasyn", s="slot", i="source_id partner_id", f=ALL, sql=f"""
     WITH {VMIN}, {ZED}, {SHARE}, g AS (SELECT qid, CAST(round_even(share / (SELECT sum(share) FROM sh) * (SELECT count(*) FROM sl), 0) AS BIGINT) AS g FROM sh),
     so AS (SELECT source_id, source_id || '-' || j AS slot FROM (SELECT qid AS source_id, unnest(range(1, g + 1)) AS j FROM g)), {knn('zm', 'zm', 5, 'nn')} {lerp(4, 'so', 'nn')}""")
 def _(t):
     return R.adasyn(vec(t), XS, "vec_id", "target", 5, 4)
 
 
-@query("smote_tomek", i="vec_id target", f="x1 x2 x3 x4", sql=f"""
+@query("smote_tomek", i="vec_id target", f=ALL, sql=f"""
     WITH {VMIN}, {knn('mi', 'mi', 5, 'nn')}, so AS {source(4, 'mi')}, sm AS ({lerp(4, 'so', 'nn')}),
     al AS (SELECT vec_id, (y3 = 2)::INT AS target, {', '.join(XS)} FROM c_vec UNION ALL SELECT -slot - 1, 1, {', '.join(XS)} FROM sm), {knn('al', 'al', 1, 'n1')},
     tl AS (SELECT a.qid, a.rid FROM n1 a JOIN n1 b ON a.qid = b.rid AND a.rid = b.qid JOIN al p ON p.vec_id = a.qid JOIN al r ON r.vec_id = a.rid WHERE p.target <> r.target)
@@ -172,15 +176,17 @@ def _(t):
     return R.smote_tomek(vec(t), XS, "vec_id", "target", 5, 4)
 
 
-@query("synthetic_postprocess", i="vec_id n_negative n_below n_above", f="x1 x2 x3", sql="""
-    WITH p AS (SELECT min(x1) AS l1, max(x1) AS h1, min(x2) AS l2, max(x2) AS h2, min(x3) AS l3, max(x3) AS h3 FROM c_vec WHERE fold <> 0),
-    s AS (SELECT vec_id, x1 * 1.5 AS x1, x2 * 1.5 AS x2, x3 * 1.5 AS x3 FROM c_vec)
-    SELECT vec_id, greatest(least(greatest(x1, 0), h1), l1) AS x1, greatest(least(x2, h2), l2) AS x2, greatest(least(x3, h3), l3) AS x3, (x1 < 0)::INT AS n_negative,
-      (greatest(x1, 0) < l1)::INT + (x2 < l2)::INT + (x3 < l3)::INT AS n_below, (greatest(x1, 0) > h1)::INT + (x2 > h2)::INT + (x3 > h3)::INT AS n_above FROM s, p""")
+POSITIVE = XS[::3]
+RAISED = {c: f"greatest(s.{c}, 0)" if c in POSITIVE else f"s.{c}" for c in XS}
+
+
+@query("synthetic_postprocess", i="vec_id n_negative n_below n_above", f=ALL, sql=f"""
+    WITH p AS (SELECT {', '.join(f'min({c}) AS l_{c}, max({c}) AS h_{c}' for c in XS)} FROM c_vec WHERE fold <> 0), s AS (SELECT vec_id, {', '.join(f'{c} * 1.5 AS {c}' for c in XS)} FROM c_vec)
+    SELECT vec_id, {', '.join(f'greatest(least({RAISED[c]}, h_{c}), l_{c}) AS {c}' for c in XS)}, {' + '.join(f'(s.{c} < 0)::INT' for c in POSITIVE)} AS n_negative,
+      {' + '.join(f'({RAISED[c]} < l_{c})::INT' for c in XS)} AS n_below, {' + '.join(f'({RAISED[c]} > h_{c})::INT' for c in XS)} AS n_above FROM s, p""")
 def _(t):
-    c = ["x1", "x2", "x3"]
-    s = t.vectors.select("vec_id", *[(F.col(x) * 1.5).alias(x) for x in c])
-    return R.postprocess_synthetic(s, t.vectors.where("fold <> 0"), c, ["x1"])
+    s = t.vectors.select("vec_id", *[(F.col(x) * 1.5).alias(x) for x in XS])
+    return R.postprocess_synthetic(s, t.vectors.where("fold <> 0"), XS, POSITIVE)
 
 
 @query("synthetic_provenance", s="generator", i="slot source_id gen_seed source_class is_synthetic source_digest source_subjects", sql=f"""
@@ -260,7 +266,7 @@ def _(t):
     return permuted(t.customers, "subject_id", ["y"], 20, 41)
 
 
-@query("column_permutation", i="vec_id perm", f=" ".join(FEATURES), sql=perm_sql(" ".join(FEATURES), 43, 5, "c_vec", "vec_id"))
+@query("column_permutation", i="vec_id perm", f=ALL, sql=perm_sql(ALL, 43, 5, "c_vec", "vec_id"))
 def _(t):
     return permuted(t.vectors.select("vec_id", *FEATURES), "vec_id", FEATURES, 5, 43)
 

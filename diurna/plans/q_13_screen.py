@@ -82,11 +82,16 @@ def _(t):
     return S.jaccard(fold_sets(t), "out_fold", "feature")
 
 
-@query("redundancy_report", i="n_pairs n_columns", sql="""
-    WITH m AS (SELECT vec_id, coalesce(x1, (SELECT median(x1) FROM c_vn)) AS a, coalesce(x2, (SELECT median(x2) FROM c_vn)) AS b, coalesce(x1 * 2 + x2 * 0.01, (SELECT median(x1 * 2 + x2 * 0.01) FROM c_vn)) AS c FROM c_vn)
-    SELECT (abs(corr(a, b)) >= 0.95)::INT + (abs(corr(a, c)) >= 0.95)::INT + (abs(corr(b, c)) >= 0.95)::INT AS n_pairs, 3 AS n_columns FROM m""")
+NEAR = {"near_copy": "x1 * 2 + x2 * 0.01", "constant": "1.0"}
+
+
+@query("redundancy_report", i="n_pairs n_columns", sql=f"""
+    WITH l AS (SELECT vec_id, unnest([{', '.join(f"'{c}'" for c in [*XS, *NEAR])}]) AS f, unnest([{', '.join(f'({e})::DOUBLE' for e in [*XS, *NEAR.values()])}]) AS v FROM c_vn),
+    m AS (SELECT f, median(v) AS med FROM l GROUP BY f HAVING count(v) >= 2 AND stddev_pop(v) > 1e-10), z AS (SELECT vec_id, l.f, coalesce(v, med) AS v FROM l JOIN m ON m.f = l.f),
+    p AS (SELECT corr(a.v, b.v) AS r FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.f < b.f GROUP BY a.f, b.f)
+    SELECT count(*) FILTER (WHERE abs(r) >= 0.95) AS n_pairs, (SELECT count(*) FROM m) AS n_columns FROM p""")
 def _(t):
-    d = t.vectors_missing.select("x1", "x2", (F.col("x1") * 2 + F.col("x2") * 0.01).alias("near_copy"), F.lit(1.0).alias("constant"))
+    d = t.vectors_missing.select(*XS, *[F.expr(e).cast("double").alias(c) for c, e in NEAR.items()])
     return S.redundancy(d, d.columns)
 
 
