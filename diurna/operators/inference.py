@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +13,7 @@ from pyspark.sql.types import DoubleType
 from diurna.operators.draws import auc_draws, permutation_auc
 from diurna.operators.metrics import roc_auc
 from diurna.operators.ranking import one_row
+from diurna.sources.files import materialise
 
 DRAWS, PERMUTATIONS = 2000, 1000
 
@@ -214,28 +217,80 @@ def one_sample_t(df: DataFrame, key, value: str, group: str, reference: int, tes
     return g.withColumn("t", F.try_divide(F.col("mean") - F.col("reference_mean"), F.col("sd") / F.sqrt("n")))
 
 
-def random_intercept(df: DataFrame, subject: str, group: str, value: str, ratios) -> DataFrame:
-    """value ~ group with a random intercept per subject: REML profile over variance ratios.
+def intercept_cells(df: DataFrame, subject: str, group: str, value: str) -> DataFrame:
+    """Subjects of equal (n, x) as one row: how many, and the sums of their means, squared means and inner squares.
 
-    A subject enters only through its n, sum and sum of squares, and for a given ratio every
-    term of the restricted likelihood is a plain sum over subjects, so the whole profile is
-    one distributed aggregation; the best ratio is then picked with max_by.
+    A subject enters the likelihood only through its n, its x and these, so a table with as many
+    rows as there are distinct counts stands for all subjects. Means are taken from the overall mean.
+    """
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(group).isNotNull())
+    per = d.groupBy(subject).agg(F.max(group).cast("double").alias("x"), F.count("*").cast("double").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_pop(value), F.lit(0.0)).alias("v"))
+    per = materialise(per, "subjects")
+    centre = per.agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_c"))
+    return per.transform(one_row, centre).withColumn("m", F.col("m") - F.col("_c")).groupBy("n", "x").agg(
+        F.count("*").cast("double").alias("k"), F.sum("m").alias("sm"), F.sum(F.col("m") * F.col("m")).alias("smm"), F.sum(F.col("n") * F.col("v")).alias("ss"), F.first("_c").alias("centre"))
+
+
+def restricted_likelihood(cells: DataFrame, ratio: float) -> dict[str, float] | None:
+    """The restricted likelihood at a variance ratio with its first two derivatives; one aggregation over the cells."""
+    w = F.col("n") / (1 + F.lit(float(ratio)) * F.col("n"))
+    terms = {"": F.col("k"), "x": F.col("k") * F.col("x"), "xx": F.col("k") * F.col("x") * F.col("x"), "m": F.col("sm"), "xm": F.col("x") * F.col("sm"), "mm": F.col("smm")}
+    sums = [F.sum(F.pow(w, F.lit(p)) * t).alias(f"s{p}{name}") for p in (1, 2, 3) for name, t in terms.items()]
+    s = cells.agg(*sums, F.sum("ss").alias("ss"), F.sum(F.col("k") * F.col("n")).alias("nn"), F.sum(F.col("k") * F.log(1 + F.lit(float(ratio)) * F.col("n"))).alias("ld"), F.first("centre").alias("centre")).first()
+    if s.nn is None or s.nn <= 2:
+        return None
+    det = s.s1 * s.s1xx - s.s1x ** 2
+    if not det > 1e-12 * s.s1 * max(s.s1xx, 1e-300):
+        return None  # one group only
+    b1 = (s.s1 * s.s1xm - s.s1x * s.s1m) / det
+    b0 = (s.s1xx * s.s1m - s.s1x * s.s1xm) / det
+    rss = s.ss + s.s1mm - b0 * s.s1m - b1 * s.s1xm
+    if not rss > 0:
+        return None  # the model leaves nothing
+
+    def squares(p: int) -> float:  # weighted squares of the subjects' residuals
+        g = {k: s[f"s{p}{k}"] for k in terms}
+        return g["mm"] - 2 * b0 * g["m"] - 2 * b1 * g["xm"] + b0 * b0 * g[""] + 2 * b0 * b1 * g["x"] + b1 * b1 * g["xx"]
+
+    inverse = np.array([[s.s1xx, -s.s1x], [-s.s1x, s.s1]]) / det
+    second, third = (np.array([[s[f"s{p}"], s[f"s{p}x"]], [s[f"s{p}x"], s[f"s{p}xx"]]]) for p in (2, 3))
+    h = np.array([s.s2m - b0 * s.s2 - b1 * s.s2x, s.s2xm - b0 * s.s2x - b1 * s.s2xx])
+    d1, d2 = -squares(2), 2 * squares(3) - 2 * float(h @ inverse @ h)
+    free, ab = s.nn - 2, inverse @ second
+    slope = -0.5 * (free * d1 / rss + s.s1 - np.trace(ab))
+    curve = -0.5 * (free * (d2 / rss - (d1 / rss) ** 2) - s.s2 - np.trace(ab @ ab) + 2 * np.trace(inverse @ third))
+    sigma2 = rss / free
+    return {"ratio": float(ratio), "beta": b1, "se": math.sqrt(sigma2 * s.s1 / det), "sigma2": sigma2, "nn": s.nn, "slope": float(slope), "curve": float(curve),
+            "criterion": -0.5 * (free * math.log(sigma2) + s.ld + math.log(det))}
+
+
+def random_intercept(df: DataFrame, subject: str, group: str, value: str, tolerance: float = 1e-10, steps: int = 100) -> DataFrame:
+    """value ~ group with a random intercept per subject: one row with the REML fit and the two-sided normal p of its slope.
+
+    Safeguarded Newton search for the ratio of the variances: the optimum is kept between a rising
+    and a falling point, a step that leaves them or meets the wrong curvature becomes a bisection.
+    Ratio 0 if the likelihood falls from there. No row when there is one group or nothing to explain.
     """
-    per = df.where(F.col(value).isNotNull()).groupBy(subject).agg(
-        F.max(group).cast("double").alias("x"), F.count("*").cast("double").alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_pop(value), F.lit(0.0)).alias("v"))
-    lam = F.col("ratio")
-    d = per.withColumn("ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
-    w = F.col("n") / (1 + lam * F.col("n"))
-    s = d.groupBy("ratio").agg(
-        F.sum(w).alias("w"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("x") * F.col("x")).alias("wxx"), F.sum(w * F.col("m")).alias("wy"),
-        F.sum(w * F.col("x") * F.col("m")).alias("wxy"), F.sum(F.col("n") * F.col("v") + w * F.col("m") * F.col("m")).alias("yy"),
-        F.sum(F.log(1 + lam * F.col("n"))).alias("ld"), F.sum("n").alias("nn"))
-    det = F.col("w") * F.col("wxx") - F.col("wx") * F.col("wx")
-    b1 = (F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy")) / det
-    b0 = (F.col("wxx") * F.col("wy") - F.col("wx") * F.col("wxy")) / det
-    rss = F.col("yy") - b0 * F.col("wy") - b1 * F.col("wxy")
-    s = s.withColumns({"beta": b1, "sigma2": rss / (F.col("nn") - 2), "det": det})
-    s = s.withColumns({"se": F.sqrt(F.col("sigma2") * F.col("w") / F.col("det")),
-                       "criterion": -0.5 * ((F.col("nn") - 2) * F.log("sigma2") + F.col("ld") + F.log("det"))})
-    best = s.agg(F.max(F.struct("criterion", "ratio", "beta", "se", "sigma2", "nn")).alias("b")).select("b.*")
-    return best.withColumn("z", F.col("beta") / F.col("se"))
+    cells = materialise(intercept_cells(df, subject, group, value), "cells")
+    at = restricted_likelihood(cells, 0.0)
+    if at is not None and at["slope"] > 0:
+        low, high = 0.0, 1.0
+        while (at := restricted_likelihood(cells, high))["slope"] > 0 and high < 1e12:
+            low, high = high, high * 8
+        for _ in range(steps):
+            x = at["ratio"]
+            if at["slope"] > 0:
+                low = x
+            else:
+                high = x
+            step = x - at["slope"] / at["curve"] if at["curve"] < 0 else math.nan
+            new = step if low < step < high else (low + high) / 2
+            if abs(new - x) <= tolerance * max(x, 1e-300) or high - low <= tolerance * high:
+                break
+            at = restricted_likelihood(cells, new)
+    schema = "ratio double, beta double, se double, sigma2 double, nn double, criterion double, z double, p double"
+    rows = []
+    if at is not None:
+        z = at["beta"] / at["se"] if at["se"] > 0 else math.copysign(math.inf, at["beta"])
+        rows = [(at["ratio"], at["beta"], at["se"], at["sigma2"], at["nn"], at["criterion"], z, math.erfc(abs(z) / math.sqrt(2)))]
+    return df.sparkSession.createDataFrame(rows, schema)

@@ -315,18 +315,26 @@ def _(t):
     return d.withColumn("p_greater", F.when(F.col("t") > 0, F.col("p") / 2).otherwise(1 - F.col("p") / 2))
 
 
-LAM = [0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0]
-
-
-@query("random_intercept_test", f="ratio beta se sigma2 z criterion", digits=4, sql=f"""
-    WITH per AS (SELECT subject_id, max(y)::DOUBLE AS x, count(*)::DOUBLE AS n, avg(v) AS m, var_pop(v) AS v FROM (SELECT d.subject_id, y, v_max AS v FROM c_day d JOIN c_subj s ON s.subject_id = d.subject_id WHERE v_max IS NOT NULL) GROUP BY 1),
-    l AS (SELECT *, n / (1 + r * n) AS w FROM per, (SELECT unnest({LAM}) ::DOUBLE AS r)),
-    s AS (SELECT r, sum(w) AS w, sum(w * x) AS wx, sum(w * x * x) AS wxx, sum(w * m) AS wy, sum(w * x * m) AS wxy, sum(n * v + w * m * m) AS yy, sum(ln(1 + r * n)) AS ld, sum(n) AS nn FROM l GROUP BY 1),
-    b AS (SELECT *, w * wxx - wx * wx AS det, (w * wxy - wx * wy) / (w * wxx - wx * wx) AS b1, (wxx * wy - wx * wxy) / (w * wxx - wx * wx) AS b0 FROM s), c AS (SELECT *, (yy - b0 * wy - b1 * wxy) / (nn - 2) AS s2 FROM b)
-    SELECT r AS ratio, b1 AS beta, sqrt(s2 * w / det) AS se, s2 AS sigma2, b1 / sqrt(s2 * w / det) AS z, -0.5 * ((nn - 2) * ln(s2) + ld + ln(det)) AS criterion FROM c ORDER BY criterion DESC LIMIT 1""")
+def reml_sql(rows: str, by: str) -> str:
+    """The sums of the restricted likelihood at ``ratio`` for every row of ``rows``, and its slope."""
+    sums = ", ".join(f"sum(pow(n / (1 + ratio * n), {p}) * {t}) AS s{p}{name}" for p in (1, 2) for name, t in (("", "k"), ("x", "k * x"), ("xx", "k * x * x"), ("m", "sm"), ("xm", "x * sm"), ("mm", "smm")))
+    return (f"SELECT *, ss + s1mm - b0 * s1m - b1 * s1xm AS rss, -0.5 * ((nn - 2) * (2 * b0 * s2m + 2 * b1 * s2xm - s2mm - b0 * b0 * s2 - 2 * b0 * b1 * s2x - b1 * b1 * s2xx) / (ss + s1mm - b0 * s1m - b1 * s1xm) + s1 - (s1xx * s2 - 2 * s1x * s2x + s1 * s2xx) / det) AS slope "
+            f"FROM (SELECT *, (s1 * s1xm - s1x * s1m) / det AS b1, (s1xx * s1m - s1x * s1xm) / det AS b0 FROM (SELECT *, s1 * s1xx - s1x * s1x AS det FROM "
+            f"(SELECT {by}, ratio, {sums}, sum(ss) AS ss, sum(k * n) AS nn, sum(k * ln(1 + ratio * n)) AS ld FROM ({rows}), cells GROUP BY {by}, ratio)))")
+
+
+@query("random_intercept_test", f="ratio beta se sigma2 z p criterion", digits=5, sql=f"""
+    WITH RECURSIVE per AS (SELECT subject_id, max(y)::DOUBLE AS x, count(*)::DOUBLE AS n, avg(v) AS m, var_pop(v) AS v FROM (SELECT d.subject_id, y, v_max AS v FROM c_day d JOIN c_subj s ON s.subject_id = d.subject_id WHERE v_max IS NOT NULL) GROUP BY 1),
+    cells AS (SELECT n, x, count(*)::DOUBLE AS k, sum(m - c) AS sm, sum((m - c) * (m - c)) AS smm, sum(n * v) AS ss FROM per, (SELECT sum(n * m) / sum(n) AS c FROM per) GROUP BY n, x),
+    b AS (SELECT 0 AS i, -30.0::DOUBLE AS lo, 30.0::DOUBLE AS hi UNION ALL
+      SELECT i + 1, CASE WHEN slope > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN slope > 0 THEN hi ELSE (lo + hi) / 2 END FROM ({reml_sql('SELECT *, exp((lo + hi) / 2) AS ratio FROM b WHERE i < 60', 'i, lo, hi')})),
+    f AS ({reml_sql("SELECT 0 AS i, CASE WHEN lo < -29 THEN 0 ELSE exp((lo + hi) / 2) END AS ratio FROM b WHERE i = 60", 'i')}),
+    e AS (SELECT *, rss / (nn - 2) AS s2_, b1 / sqrt(rss / (nn - 2) * s1 / det) AS zz FROM f)
+    SELECT ratio, b1 AS beta, sqrt(s2_ * s1 / det) AS se, s2_ AS sigma2, zz AS z, -0.5 * ((nn - 2) * ln(s2_) + ld + ln(det)) AS criterion,
+      (SELECT sum(CASE WHEN j IN (0, 4000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(abs(zz) + j / 400.0::DOUBLE, 2) / 2)) / 1200 * 2 / sqrt(2 * pi()) FROM (SELECT unnest(range(4001)) AS j)) AS p FROM e""")
 def _(t):
     d = t.daily.join(t.subjects.select("subject_id", "y"), "subject_id")
-    return I.random_intercept(d, "subject_id", "y", "v_max", LAM)
+    return I.random_intercept(d, "subject_id", "y", "v_max")
 
 
 # ------------------------------------------------------------------ drift

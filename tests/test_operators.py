@@ -196,8 +196,44 @@ def test_random_intercept_recovers_effect(spark):
     for i in range(120):
         u = rng.normal(0, 1.0)
         rows += [(str(i), i % 2, float(2.0 * (i % 2) + u + rng.normal(0, 1.0))) for _ in range(3 + i % 5)]
-    r = I.random_intercept(spark.createDataFrame(rows, "s string, g int, v double"), "s", "g", "v", [0.0, 0.1, 0.3, 0.5, 0.8, 1.0, 1.3, 2.0, 4.0]).first()
-    assert abs(r.beta - 2.0) < 0.6 and r.z > 5 and 0.3 <= r.ratio <= 2.0
+    r = I.random_intercept(spark.createDataFrame(rows, "s string, g int, v double"), "s", "g", "v").first()
+    assert abs(r.beta - 2.0) < 0.6 and r.z > 5 and 0.3 <= r.ratio <= 2.0 and r.p < 1e-6
+
+
+def reml(rows, ratio):
+    """The restricted likelihood with whole covariance matrices."""
+    s, g, y = (np.array(c) for c in zip(*rows, strict=True))
+    x = np.column_stack([np.ones(len(y)), g])
+    v = np.eye(len(y)) + ratio * (s[:, None] == s[None, :])
+    i = np.linalg.inv(v)
+    a = x.T @ i @ x
+    beta = np.linalg.solve(a, x.T @ i @ y)
+    r = y - x @ beta
+    s2 = r @ i @ r / (len(y) - 2)
+    return -0.5 * ((len(y) - 2) * np.log(s2) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(a)[1]), beta[1], np.sqrt(s2 * np.linalg.inv(a)[1, 1])
+
+
+@pytest.mark.parametrize("spread", [1.2, 0.4, 0.0])
+def test_random_intercept_is_at_the_optimum(spark, spread):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(40):
+        u = rng.normal(0, spread)
+        rows += [(f"s{k}", k % 2, 100.0 + 0.7 * (k % 2) + u + float(rng.normal())) for _ in range(1 + k % 6)]
+    d = spark.createDataFrame([*rows, ("s0", 0, None), ("s1", 1, float("nan"))], "s string, g int, v double")
+    r = I.random_intercept(d, "s", "g", "v").first()
+    best, beta, se = reml(rows, r.ratio)
+    assert (r.criterion, r.beta, r.se) == pytest.approx((best, beta, se), rel=1e-9)
+    for step in (1e-3, 0.05, 1.0):
+        assert all(reml(rows, r.ratio + x)[0] <= best + 1e-12 for x in (step, -step) if r.ratio + x >= 0)
+    slope = I.restricted_likelihood(I.intercept_cells(d, "s", "g", "v"), r.ratio)
+    assert r.ratio == 0 and slope["slope"] <= 0 or abs(slope["slope"] / slope["curve"]) < 1e-8 * r.ratio
+    assert r.p == pytest.approx(math.erfc(abs(beta / se) / math.sqrt(2)))
+
+
+def test_random_intercept_of_one_group_has_no_row(spark):
+    d = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("b", 1, 4.0)], "s string, g int, v double")
+    assert I.random_intercept(d, "s", "g", "v").count() == 0 and I.random_intercept(d.limit(0), "s", "g", "v").count() == 0
 
 
 def test_leave_out_cells_equal_brute_force(spark):
