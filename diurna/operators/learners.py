@@ -14,7 +14,6 @@ from pyspark.ml import clustering as K
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -233,13 +232,6 @@ def leakage_ladder(df: DataFrame, columns, label: str, fold: str, folds, keep: i
 
 
 # ------------------------------------------------------------------ calibration
-def isotonic(train: DataFrame, test: DataFrame, score: str, label: str) -> DataFrame:
-    """Fitted on one weighted row per distinct score; MLlib pools what its tasks leave of these on the driver."""
-    mean = F.when(F.count(label) == F.count("*"), F.avg(F.col(label).cast("double")))  # a null label stays an error
-    distinct = train.groupBy(score).agg(mean.alias(label), F.count("*").cast("double").alias("_w"))
-    return IsotonicRegression(featuresCol=score, labelCol=label, weightCol="_w", predictionCol="calibrated").fit(distinct).transform(test)
-
-
 def per_group(calibrate, train: DataFrame, test: DataFrame, keys, score: str, label: str) -> DataFrame:
     """One calibration for each of the few combinations of the keys; without training rows ``calibrated`` is null."""
     fitted, out = {tuple(r) for r in train.select(*keys).distinct().collect()}, None

@@ -10,6 +10,7 @@ from diurna.operators import metrics as M
 from diurna.operators import prep as R
 from diurna.plans.q_11_prep import CLIPPED, FILL, each, row
 from diurna.operators.inference import DRAWS
+from diurna.operators.isotonic import isotonic
 from diurna.plans.q_12_splits import weight_sql
 from diurna.plans.q_15_metrics import auc_sql, cells_sql, pts
 from diurna.plans.registry import query
@@ -116,9 +117,18 @@ def _(t):
     return L.leakage_ladder(three(t), XS, "y", "cv", [0, 1, 2], 3, {"weak": {"regParam": 0.01}, "strong": {"regParam": 0.3}})
 
 
-@query("isotonic_calibrate", s="model subject_id", i="seed", f="score calibrated")
+# The fit by its max-min formula: at each score the largest, over all starts, of the smallest mean up to any end.
+@query("isotonic_calibrate", s="model subject_id", i="seed", f="score calibrated", sql="""
+    WITH d AS (SELECT model, seed, score, count(*)::DOUBLE AS w, sum(y)::DOUBLE AS s FROM c_oof WHERE fold <> 0 GROUP BY ALL),
+    c AS (SELECT *, row_number() OVER k AS i, sum(w) OVER k AS cw, sum(s) OVER k AS cs FROM d WINDOW k AS (PARTITION BY model, seed ORDER BY score)),
+    ab AS (SELECT a.model, a.seed, a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS v FROM c a JOIN c b ON a.model = b.model AND a.seed = b.seed AND a.i <= b.i),
+    mn AS (SELECT model, seed, a, b AS i, min(v) OVER (PARTITION BY model, seed, a ORDER BY b DESC) AS v FROM ab), fit AS (SELECT model, seed, i, max(v) AS v FROM mn GROUP BY ALL),
+    p AS (SELECT c.model, c.seed, c.score, v FROM fit JOIN c ON c.model = fit.model AND c.seed = fit.seed AND c.i = fit.i),
+    t AS (SELECT model, seed, subject_id, score FROM c_oof WHERE fold = 0),
+    q AS (SELECT t.*, lo.score AS xa, lo.v AS va, hi.score AS xb, hi.v AS vb FROM t ASOF LEFT JOIN p lo ON t.model = lo.model AND t.seed = lo.seed AND t.score >= lo.score ASOF LEFT JOIN p hi ON t.model = hi.model AND t.seed = hi.seed AND t.score <= hi.score)
+    SELECT model, seed, subject_id, score, CASE WHEN va IS NULL THEN vb WHEN vb IS NULL OR xa = xb THEN va ELSE va + (vb - va) * (score - xa) / (xb - xa) END AS calibrated FROM q""")
 def _(t):
-    return L.per_group(L.isotonic, t.oof.where("fold <> 0"), t.oof.where("fold = 0"), ["model", "seed"], "score", "y")
+    return isotonic(t.oof.where("fold <> 0"), t.oof.where("fold = 0"), "score", "y", ["model", "seed"])
 
 
 @query("platt_calibrate", s="model subject_id", i="seed", f="score calibrated")

@@ -268,19 +268,3 @@ def test_privacy_scan_finds_a_raw_id(spark):
     texts = spark.createDataFrame([("a", "score of user-7 is 1"), ("b", "nothing here")], "src string, txt string")
     ids = spark.createDataFrame([("user-7",), ("user-8",)], "sid string")
     assert [(r.src, r.ids_found) for r in A.privacy(texts, "txt", "src", ids, "sid").orderBy("src").collect()] == [("a", 1), ("b", 0)]
-
-
-def test_isotonic_is_fitted_on_distinct_scores(spark, monkeypatch):
-    rows = [(i % 7 / 10, int(i * i % 11 < i % 7 + 2)) for i in range(200)]
-    d, seen, fit = spark.createDataFrame(rows, "score double, y int"), [], L.IsotonicRegression.fit
-    monkeypatch.setattr(L.IsotonicRegression, "fit", lambda self, x: seen.append(x.count()) or fit(self, x))
-    got = {r.score: r.calibrated for r in L.isotonic(d, d, "score", "y").collect()}
-    blocks = []
-    for x in sorted({r[0] for r in rows}):
-        ys = [y for s, y in rows if s == x]
-        blocks.append([sum(ys), len(ys), [x]])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-            b = blocks.pop()
-            blocks[-1] = [p + q for p, q in zip(blocks[-1], b)]
-    assert got == pytest.approx({x: s / n for s, n, xs in blocks for x in xs})
-    assert seen == [7]

@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from diurna.operators import learners
+from diurna.operators.isotonic import isotonic
 from diurna.plans import load_all
 from diurna.plans.registry import ORACLE, QUERIES
 from diurna.sources.carriers import FEATURES, Tables
@@ -63,7 +64,7 @@ def test_calibration_of_every_model_and_seed(spark, name):
     got = QS[name](spark, SF).collect()
     assert len({w[:2] for w in want}) == 6
     assert len(got) == len(want) and {(r.model, r.seed, r.subject_id) for r in got} == want
-    fit = getattr(learners, name.split("_")[0])
+    fit = isotonic if name.startswith("isotonic") else learners.platt
     own = oof.where("model = 'b' and seed = 2")
     alone = {str(r.subject_id): r.calibrated for r in fit(own.where("fold <> 0"), own.where("fold = 0"), "score", "y").collect()}
     assert {r.subject_id: r.calibrated for r in got if (r.model, r.seed) == ("b", 2)} == pytest.approx(alone, abs=1e-5)
