@@ -161,7 +161,8 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
     earliest = stored(earliest, "earliest").withColumnsRenamed({"h1": "e1", "h2": "e2"})
     hits = windows.join(earliest, (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))).where("k > first")
     hits = hits.groupBy("k", "row").agg(F.collect_set("at").alias("at")).withColumnsRenamed({"k": "hk", "row": "hrow"})
-    found = held.select("k", "row", "text").join(hits, (F.col("k") == F.col("hk")) & (F.col("row") == F.col("hrow"))).select("k", "text", "row", "at")
+    # the row is compared after the join, whose key stays the one that the texts are already dealt by
+    found = held.select("k", "row", "text").join(hits, F.col("k") == F.col("hk")).where(F.col("row").bitwiseXOR(F.col("hrow")) == 0).select("k", "text", "row", "at")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
