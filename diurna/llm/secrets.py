@@ -15,7 +15,7 @@ from functools import reduce
 from re import _constants as op
 from re import _parser as parser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.llm.frames import documents, pick, stored, text_or_empty
@@ -101,44 +101,43 @@ def candidates(postings: DataFrame, rules=RULES) -> DataFrame:
     return met.select("row", hits.alias("rules")).where(F.size("rules") > 0)
 
 
-def _spans(rule: Rule, rank: int, text: Column, on: Column) -> Column:
-    """Array of (start, rank, kind, end): leftmost non-overlapping matches, in code points.
-
-    The gaps between matches and the matches alternate, so running lengths give the places.
-    """
-    none = F.array().cast("array<struct<at:bigint,rank:int,kind:string,end:bigint>>")
+def _lengths(rule: Rule, text: Column, on: Column) -> Column:
+    """Array of (gap, hit, part): code points before a match, of the match and of what is measured; gaps and matches alternate."""
     text, pattern = F.when(on, text).otherwise(F.lit("")), F.lit(rule.pattern)
-    gaps, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, 0)
+    found = F.regexp_extract_all(text, pattern, 0)
     measured = found if rule.group == 0 else F.regexp_extract_all(text, pattern, rule.group)
-    zipped = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), measured.alias("part"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["gap"])
-        end = at + F.coalesce(F.length(x["hit"]), F.lit(0))
-        span = F.struct(at.cast("bigint").alias("at"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.cast("bigint").alias("end"))
-        keep = x["hit"].isNotNull() & (F.length(x["part"]) >= rule.least)
-        return F.struct(end.cast("bigint").alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    zipped = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), found.alias("hit"), measured.alias("part"))
+    sizes = F.transform(F.slice(zipped, F.lit(1), F.size(found)), lambda x: F.struct(*[F.length(x[c]).alias(c) for c in ("gap", "hit", "part")]))
+    return F.when(F.size(found) > 0, sizes)
 
 
 def scan(df: DataFrame, id_col="doc_id", text_col="text", rules=RULES) -> DataFrame:
     """One row per input row: doc_id and ``spans``, an array of (at, rank, kind, end) by start, then rule order.
 
     Null text counts as empty and has no spans. Rows are told apart by id and text (rows equal in
-    both share their postings), so null and repeated ids do no harm. An empty table gives an empty result.
+    both share their postings), so null and repeated ids do no harm. The lengths of gaps and matches
+    are added up by a window per row, so the time grows with the number of matches of a text and not
+    with its square. An empty table gives an empty result.
     """
     rows = pick(df, doc_id=id_col, text=text_col).select("doc_id", text_or_empty().alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     postings = stored(index(rows, rules), "postings")
     found = stored(candidates(postings, rules), "candidates")
     met = rows.join(found.withColumnRenamed("row", "hit"), F.col("row") == F.col("hit"), "left")
-    arrays = []
+    each = []
     for i, r in enumerate(rules):
         on = F.lit(True) if trigram_query(r.pattern) is None else F.coalesce(F.array_contains("rules", r.kind), F.lit(False))
-        arrays.append(_spans(r, i, F.col("text"), on))
-    return met.select("doc_id", F.array_sort(F.concat(*arrays)).alias("spans"))
+        each.append(F.struct(F.lit(i).alias("rank"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), _lengths(r, F.col("text"), on).alias("sizes")))
+    hits = met.select("doc_id", "row", F.explode(F.filter(F.array(*each), lambda x: x["sizes"].isNotNull())).alias("m"))
+    hits = hits.select("doc_id", "row", "m.rank", "m.kind", "m.least", F.posexplode("m.sizes").alias("turn", "size"))
+    one = hits.repartition("row").dropDuplicates(["row", "doc_id", "rank", "turn"])
+    upto = F.sum(F.col("size.gap") + F.col("size.hit")).over(Window.partitionBy("row", "doc_id", "rank").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    placed = one.withColumn("end", upto.cast("bigint")).where(F.col("size.part") >= F.col("least"))
+    span = F.struct((F.col("end") - F.col("size.hit")).cast("bigint").alias("at"), "rank", "kind", "end")
+    spans = placed.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    a, b = rows.select("doc_id", "row").alias("a"), spans.alias("b")
+    none = F.array().cast("array<struct<at:bigint,rank:int,kind:string,end:bigint>>")
+    return a.join(b, (F.col("a.row") == F.col("b.row")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select(F.col("a.doc_id").alias("doc_id"), F.coalesce("b.spans", none).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
