@@ -124,7 +124,7 @@ def mixed(df: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     key, text, source = (F.col(f"c{df.columns.index(c)}") for c in (id_col, text_col, source_col))
     flat = flat.withColumn("hash", sketch(F.lit(17), key, F.md5(F.coalesce(text, F.lit("")))))
-    met = flat.join(marks, (F.col("hash") == F.col("row_hash")) & source.eqNullSafe(F.col("mark_source")))
+    met = flat.join(marks, (F.col("hash") == F.col("row_hash")) & source.eqNullSafe(F.col("mark_source")) & key.eqNullSafe(F.col("mark_id")))
     repeated = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*[F.col(f"c{i}") for i in range(len(df.columns))]).toDF(*df.columns)
 
