@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from diurna.functions.numbers import MISSING_TOKENS, blank_to_null, to_number
+from diurna.operators.ranking import one_row
 
 
 def normalise_ids(df: DataFrame, col: str) -> DataFrame:
@@ -109,16 +110,29 @@ def frame_fingerprint(df: DataFrame, columns) -> DataFrame:
     return df.select(half(1).alias("a"), half(16).alias("b")).agg(F.count("*").alias("n_rows"), total("a").alias("digest_a"), total("b").alias("digest_b"))
 
 
-def profile(df: DataFrame, columns) -> DataFrame:
-    """One wide pass, then one row per column."""
+def profile(df: DataFrame, columns, subject: str | None = None) -> DataFrame:
+    """One row per column: nulls, distinct values, moments and the number of other columns equal to it on every row (``twins``).
+
+    Every row also has the table's number of rows, of rows beyond the first of equal ones (over
+    ``columns``) and, with a subject, the least, median and greatest number of its rows. Distinct
+    values are counted in a long table that combines before the shuffle, not by a copy of the rows per column.
+    """
     stats = {
-        "n_null": lambda c: F.sum(c.isNull().cast("bigint")), "n_distinct": F.count_distinct,
+        "n_null": lambda c: F.sum(c.isNull().cast("bigint")),
         "min_v": lambda c: F.min(c).cast("double"), "max_v": lambda c: F.max(c).cast("double"),
         "mean_v": F.avg, "sd_v": F.stddev_samp,
     }
     wide = df.agg(*[F.struct(*[f(F.col(c)).alias(k) for k, f in stats.items()]).alias(c) for c in columns])
     rows = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(c)[k].alias(k) for k in stats]) for c in columns])
-    return wide.select(F.inline(rows))
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("_v")) for c in columns])))
+    seen = long.groupBy("column", "_v").agg(F.lit(1).alias("_o")).groupBy("column").agg(F.count("_v").alias("n_distinct"))
+    same = column_pair_mismatches(df, columns).where("mismatches = 0").select(F.explode(F.array("col_a", "col_b")).alias("column")).groupBy("column").agg(F.count("*").alias("twins"))
+    copies = df.groupBy(*columns).agg(F.count("*").alias("_c")).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("extra_rows"))
+    out = wide.select(F.inline(rows)).join(seen, "column").join(same, "column", "left").na.fill(0, ["twins"]).transform(one_row, copies)
+    if subject is not None:
+        per = df.groupBy(subject).agg(F.count("*").alias("_t")).groupBy("_t").agg(F.count("*").alias("_c"))
+        out = out.transform(one_row, per.agg(F.min("_t").alias("subject_min"), F.percentile("_t", 0.5, F.col("_c")).alias("subject_median"), F.max("_t").alias("subject_max")))
+    return out
 
 
 def duplicate_rows(df: DataFrame, columns) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from diurna.operators import radix
 from diurna.operators.neighbours import nearest
 from diurna.operators.ranking import cumulate, one_row, quantiles
 
@@ -29,6 +30,16 @@ def wasserstein(long: DataFrame, feature: str, value: str, side: str) -> DataFra
     return c.join(nxt, [feature, "cum_seq"]).groupBy(feature).agg(F.sum(F.col("gap") * (F.col("_next") - F.col(value))).alias("wasserstein"))
 
 
+def quantile_ratios(long: DataFrame, feature: str, value: str, side: str, names: dict[str, float]) -> DataFrame:
+    """Per feature the quantiles of side 1 over those of side 0; null where the latter is 0 or missing."""
+    q = radix.quantiles(long, [feature, side], value, names)
+
+    def of(k, n):
+        return F.max(F.when(F.col(side) == k, F.col(n)))
+
+    return q.groupBy(feature).agg(*[F.try_divide(of(1, n), of(0, n)).alias(n) for n in names])
+
+
 def psi(long: DataFrame, feature: str, value: str, side: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability index over quantile bins of side 0."""
     q = quantiles(long.where(F.col(side) == 0), [feature], value, [k / bins for k in range(1, bins)])

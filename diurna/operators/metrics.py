@@ -75,7 +75,7 @@ def argmax(cols) -> Column:
 
 
 def multiclass(df: DataFrame, label: str, probs) -> DataFrame:
-    """Per class precision, recall, F1, one-vs-rest AUC and AP, then a macro row (class -1)."""
+    """Per class precision, recall, F1, one-vs-rest AUC and AP and its row of the confusion matrix (``pred_j``), then a macro row (class -1)."""
     k = len(probs)
     d = df.withColumn("_pred", argmax(probs))
     cells = d.groupBy(label, "_pred").agg(F.count("*").alias("c"))
@@ -83,13 +83,15 @@ def multiclass(df: DataFrame, label: str, probs) -> DataFrame:
     per = cells.withColumn("cls", F.explode(classes)).groupBy("cls").agg(
         F.sum(F.when((F.col(label) == F.col("cls")) & (F.col("_pred") == F.col("cls")), F.col("c")).otherwise(0)).alias("tp"),
         F.sum(F.when(F.col(label) == F.col("cls"), F.col("c")).otherwise(0)).alias("support"),
-        F.sum(F.when(F.col("_pred") == F.col("cls"), F.col("c")).otherwise(0)).alias("chosen"))
+        F.sum(F.when(F.col("_pred") == F.col("cls"), F.col("c")).otherwise(0)).alias("chosen"),
+        *[F.sum(F.when((F.col(label) == F.col("cls")) & (F.col("_pred") == j), F.col("c")).otherwise(0)).alias(f"pred_{j}") for j in range(k)])
+    row = [f"pred_{j}" for j in range(k)]
     z = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    per = per.select("cls", "support", z("tp", "chosen").alias("precision"), z("tp", "support").alias("recall"),
+    per = per.select("cls", "support", *row, z("tp", "chosen").alias("precision"), z("tp", "support").alias("recall"),
                      z(2 * F.col("tp"), F.col("support") + F.col("chosen")).alias("f1"))
     long = d.select(F.inline(F.array(*[F.struct(F.lit(i).alias("cls"), F.col(p).alias("s"), (F.col(label) == i).cast("int").alias("t")) for i, p in enumerate(probs)])))
     per = per.join(roc_auc(long, ["cls"], "s", "t").select("cls", "auc"), "cls").join(average_precision(long, ["cls"], "s", "t").select("cls", "ap"), "cls")
-    macro = per.agg(F.lit(-1).alias("cls"), F.sum("support").alias("support"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1", "auc", "ap")])
+    macro = per.agg(F.lit(-1).alias("cls"), F.sum("support").alias("support"), *[F.sum(c).alias(c) for c in row], *[F.avg(c).alias(c) for c in ("precision", "recall", "f1", "auc", "ap")])
     return per.unionByName(macro)
 
 

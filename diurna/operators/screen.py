@@ -81,13 +81,15 @@ def stability_selection(long: DataFrame, row_id: str, feature: str, label: str,
 
 
 def jaccard(sets: DataFrame, fold: str, feature: str) -> DataFrame:
-    """Mean and minimum pairwise Jaccard of per-fold feature sets (folds and features are few)."""
+    """Per selected feature its number of sets and frequency, with the mean and minimum pairwise Jaccard of the sets (folds and features are few)."""
     s = sets.groupBy(fold).agg(F.collect_set(feature).alias("s"))
     b = s.select(F.col(fold).alias("_f2"), F.col("s").alias("s2"))
     j = s.join(b, F.col(fold) < F.col("_f2")).select((F.size(F.array_intersect("s", "s2")) / F.size(F.array_union("s", "s2"))).alias("j"))
     n = sets.select(fold).distinct().agg(F.count("*").alias("n_sets"))
-    always = sets.groupBy(feature).agg(F.count("*").alias("c")).transform(one_row, n).agg(F.sum((F.col("c") == F.col("n_sets")).cast("int")).alias("n_always"))
-    return j.agg(F.avg("j").alias("mean_jaccard"), F.min("j").alias("min_jaccard")).transform(one_row, always).transform(one_row, n)
+    times = sets.groupBy(feature).agg(F.count("*").alias("times")).transform(one_row, n)
+    always = times.agg(F.coalesce(F.sum((F.col("times") == F.col("n_sets")).cast("int")), F.lit(0)).alias("n_always"))
+    facts = j.agg(F.avg("j").alias("mean_jaccard"), F.min("j").alias("min_jaccard")).transform(one_row, always)
+    return times.withColumn("frequency", F.col("times") / F.col("n_sets")).transform(one_row, facts)
 
 
 def redundancy(df: DataFrame, columns, limit: float = 0.95) -> DataFrame:

@@ -93,6 +93,13 @@ def padded_sequence(df: DataFrame, subject: str, order: str, values, steps: int,
     return s.select(subject, F.size("a").alias("n_real"), (F.concat(empty, real) if side == "left" else F.concat(real, empty)).alias("steps"))
 
 
+def length_facts(df: DataFrame, subject: str) -> DataFrame:
+    """One row: the least, median and greatest number of rows per subject, from which a padded length is chosen."""
+    size = df.groupBy(subject).agg(F.count("*").alias("t"))
+    per = size.groupBy("t").agg(F.count("*").alias("c"))  # as many rows as there are distinct lengths
+    return per.agg(F.min("t").alias("t_min"), F.percentile("t", 0.5, F.col("c")).alias("t_median"), F.max("t").alias("t_max"))
+
+
 def flatten(wins: DataFrame, keep, values, length: int, mode: str = "wide") -> DataFrame:
     """Window arrays to columns: every step, the mean, or the last step of each value."""
     def cols(v):

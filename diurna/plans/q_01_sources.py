@@ -209,11 +209,17 @@ def _(t):
     return out.groupBy("fmt").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
-@query("profile_columns", s="column", i="n_null n_distinct", f="min_v max_v mean_v sd_v", sql=" UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, min({c}) AS min_v, max({c}) AS max_v, "
-    f"avg({c}) AS mean_v, stddev_samp({c}) AS sd_v FROM c_day" for c in ("n", "v_max", "click_v", "purchase_v", "is_weekend")))
+PROFILED = ("n", "v_max", "click_v", "purchase_v", "is_weekend", "n_copy")
+
+
+@query("profile_columns", s="column", i="n_null n_distinct twins n_rows extra_rows subject_min subject_max", f="min_v max_v mean_v sd_v subject_median", sql=f"""
+    WITH d AS (SELECT *, n AS n_copy FROM c_day), k AS (SELECT count(*) AS c FROM d GROUP BY {', '.join(PROFILED)}), s AS (SELECT count(*) AS c FROM d GROUP BY subject_id)
+    SELECT * FROM ({' UNION ALL '.join(
+        f"SELECT '{c}' AS column, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, min({c}) AS min_v, max({c}) AS max_v, avg({c}) AS mean_v, stddev_samp({c}) AS sd_v, "
+        + ' + '.join(f'bool_and({c} IS NOT DISTINCT FROM {o})::INT' for o in PROFILED if o != c) + ' AS twins FROM d' for c in PROFILED)}),
+      (SELECT sum(c) AS n_rows, sum(c - 1) AS extra_rows FROM k), (SELECT min(c) AS subject_min, median(c) AS subject_median, max(c) AS subject_max FROM s)""")
 def _(t):
-    return C.profile(t.daily, ["n", "v_max", "click_v", "purchase_v", "is_weekend"])
+    return C.profile(t.daily.withColumn("n_copy", F.col("n")), list(PROFILED), "subject_id")
 
 
 @query("identical_column_pairs", s="col_a col_b", sql="SELECT 'value' AS col_a, 'value_copy' AS col_b")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from diurna.operators import sequences as Q
 from diurna.operators.radix import quantiles
+from diurna.operators.ranking import one_row
 from diurna.plans.registry import query
 
 K = ["subject_id", "channel"]
@@ -109,13 +110,14 @@ def _(t):
     return cells.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("share")) for c in ("slp_max", "slp_n", "overall")])))
 
 
-@query("padded_subject_sequence", s="subject_id", i="pos mask", f="v_max click_v", sql="""
+@query("padded_subject_sequence", s="subject_id", i="pos mask t_min t_max", f="v_max click_v t_median", sql="""
     WITH d AS (SELECT subject_id, v_max, click_v, row_number() OVER (PARTITION BY subject_id ORDER BY date DESC) AS r FROM c_day)
-    SELECT k.subject_id, k.pos, d.r IS NOT NULL AS mask, CASE WHEN d.r IS NULL THEN -1 ELSE v_max END AS v_max, CASE WHEN d.r IS NULL THEN -1 ELSE click_v END AS click_v
-    FROM (SELECT subject_id, unnest(range(28)) AS pos FROM c_subj) k LEFT JOIN d ON d.subject_id = k.subject_id AND d.r = 28 - k.pos""")
+    SELECT k.subject_id, k.pos, d.r IS NOT NULL AS mask, CASE WHEN d.r IS NULL THEN -1 ELSE v_max END AS v_max, CASE WHEN d.r IS NULL THEN -1 ELSE click_v END AS click_v, t_min, t_median, t_max
+    FROM (SELECT min(t) AS t_min, median(t) AS t_median, max(t) AS t_max FROM (SELECT count(*) AS t FROM c_day GROUP BY subject_id)), (SELECT subject_id, unnest(range(28)) AS pos FROM c_subj) k LEFT JOIN d ON d.subject_id = k.subject_id AND d.r = 28 - k.pos""")
 def _(t):
     s = Q.padded_sequence(t.daily, "subject_id", "date", ["v_max", "click_v"], 28)
-    return s.select("subject_id", F.posexplode("steps").alias("pos", "x")).select("subject_id", "pos", "x.mask", "x.v_max", "x.click_v")
+    steps = s.select("subject_id", F.posexplode("steps").alias("pos", "x")).select("subject_id", "pos", "x.mask", "x.v_max", "x.click_v")
+    return steps.transform(one_row, Q.length_facts(t.daily, "subject_id"))
 
 
 @query("flatten_window", s="subject_id start_date", f="v_max__t0 v_max__t1 v_max__t2 v_max__mean v_max__last", sql=f"""

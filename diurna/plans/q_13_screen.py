@@ -75,9 +75,10 @@ def fold_sets(t):
 SETS = f"SELECT out_fold, feature FROM (SELECT *, row_number() OVER (PARTITION BY out_fold ORDER BY f_value DESC, feature) AS rank FROM ({f_sql('(SELECT * FROM c_vl, (SELECT unnest(range(5)) AS out_fold) WHERE fold <> out_fold)', 'out_fold, ')})) WHERE rank <= 4"
 
 
-@query("selection_jaccard", i="n_sets n_always", f="mean_jaccard min_jaccard", sql=f"""
+@query("selection_jaccard", s="feature", i="times n_sets n_always", f="frequency mean_jaccard min_jaccard", sql=f"""
     WITH s AS ({SETS}), z AS (SELECT out_fold, list(feature) AS s FROM s GROUP BY 1), j AS (SELECT len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))::DOUBLE AS j FROM z a JOIN z b ON a.out_fold < b.out_fold)
-    SELECT avg(j) AS mean_jaccard, min(j) AS min_jaccard, (SELECT count(*) FROM z) AS n_sets, (SELECT count(*) FROM (SELECT feature FROM s GROUP BY 1 HAVING count(*) = 5)) AS n_always FROM j""")
+    SELECT feature, times, n_sets, times / n_sets::DOUBLE AS frequency, mean_jaccard, min_jaccard, (SELECT count(*) FROM (SELECT feature FROM s GROUP BY 1 HAVING count(*) = 5)) AS n_always
+    FROM (SELECT feature, count(*) AS times FROM s GROUP BY 1), (SELECT avg(j) AS mean_jaccard, min(j) AS min_jaccard FROM j), (SELECT count(*) AS n_sets FROM z)""")
 def _(t):
     return S.jaccard(fold_sets(t), "out_fold", "feature")
 

@@ -73,12 +73,13 @@ AM = "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END"
 OVR = "(SELECT subject_id, unnest([0, 1, 2]) AS cls, unnest([p0, p1, p2]) AS score, unnest([(y3 = 0)::INT, (y3 = 1)::INT, (y3 = 2)::INT]) AS y FROM c_prob)"
 
 
-@query("multiclass_metrics", i="cls support", f="precision recall f1 auc ap", sql=f"""
+@query("multiclass_metrics", i="cls support pred_0 pred_1 pred_2", f="precision recall f1 auc ap", sql=f"""
     WITH q AS (SELECT *, {AM} AS pred FROM c_prob), s AS (SELECT cls, count(*) FILTER (WHERE y3 = cls) AS support, coalesce(count(*) FILTER (WHERE y3 = cls AND pred = cls) / nullif(count(*) FILTER (WHERE pred = cls), 0)::DOUBLE, 0) AS precision,
-        count(*) FILTER (WHERE y3 = cls AND pred = cls) / count(*) FILTER (WHERE y3 = cls)::DOUBLE AS recall, 2.0::DOUBLE * count(*) FILTER (WHERE y3 = cls AND pred = cls) / (count(*) FILTER (WHERE y3 = cls) + count(*) FILTER (WHERE pred = cls)) AS f1 FROM q, (SELECT unnest([0, 1, 2]) AS cls) GROUP BY 1),
+        count(*) FILTER (WHERE y3 = cls AND pred = cls) / count(*) FILTER (WHERE y3 = cls)::DOUBLE AS recall, 2.0::DOUBLE * count(*) FILTER (WHERE y3 = cls AND pred = cls) / (count(*) FILTER (WHERE y3 = cls) + count(*) FILTER (WHERE pred = cls)) AS f1,
+        {', '.join(f'count(*) FILTER (WHERE y3 = cls AND pred = {j}) AS pred_{j}' for j in range(3))} FROM q, (SELECT unnest([0, 1, 2]) AS cls) GROUP BY 1),
     a AS ({auc_sql(OVR, 'cls')}), p AS ({pts(OVR, 'cls')}), ap AS (SELECT cls, sum(pos / (tp + fn) * tp / (tp + fp)) AS ap FROM p GROUP BY 1),
     j AS (SELECT s.*, auc, ap FROM s JOIN a ON a.cls = s.cls JOIN ap ON ap.cls = s.cls)
-    SELECT * FROM j UNION ALL SELECT -1, sum(support), avg(precision), avg(recall), avg(f1), avg(auc), avg(ap) FROM j""")
+    SELECT * FROM j UNION ALL SELECT -1, sum(support), avg(precision), avg(recall), avg(f1), sum(pred_0), sum(pred_1), sum(pred_2), avg(auc), avg(ap) FROM j""")
 def _(t):
     return M.multiclass(t.probabilities, "y3", ["p0", "p1", "p2"])
 
@@ -363,11 +364,15 @@ def _(t):
     return D.psi(sided(t), "feature", "value", "side")
 
 
-@query("wasserstein_1d", s="feature", f="wasserstein sd_ratio", sql=f"""
-    WITH {CDF} SELECT c.feature, wasserstein, sd_ratio FROM (SELECT feature, sum(abs(fa - fb) * (nx - value)) AS wasserstein FROM cd WHERE nx IS NOT NULL GROUP BY 1) c
-    JOIN (SELECT feature, stddev_samp(value) FILTER (WHERE side = 1) / stddev_samp(value) FILTER (WHERE side = 0) AS sd_ratio FROM {SIDE} GROUP BY 1) m ON m.feature = c.feature""")
+RATIOS = {f"ratio_{100 * q:g}": q for q in (0.05, 0.25, 0.5, 0.75, 0.95)}
+
+
+@query("wasserstein_1d", s="feature", f="wasserstein sd_ratio " + " ".join(RATIOS), sql=f"""
+    WITH {CDF} SELECT c.feature, wasserstein, sd_ratio, {', '.join(RATIOS)} FROM (SELECT feature, sum(abs(fa - fb) * (nx - value)) AS wasserstein FROM cd WHERE nx IS NOT NULL GROUP BY 1) c
+    JOIN (SELECT feature, stddev_samp(value) FILTER (WHERE side = 1) / stddev_samp(value) FILTER (WHERE side = 0) AS sd_ratio,
+      {', '.join(f'quantile_cont(value, {q}) FILTER (WHERE side = 1) / nullif(quantile_cont(value, {q}) FILTER (WHERE side = 0), 0) AS {n}' for n, q in RATIOS.items())} FROM {SIDE} GROUP BY 1) m ON m.feature = c.feature""")
 def _(t):
-    w = D.wasserstein(sided(t), "feature", "value", "side")
+    w = D.wasserstein(sided(t), "feature", "value", "side").join(D.quantile_ratios(sided(t), "feature", "value", "side", RATIOS), "feature")
     return w.join(D.moments(sided(t), "feature", "value", "side").select("feature", "sd_ratio"), "feature")
 
 
