@@ -9,8 +9,9 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Encodings tried in this order.
 ENCODINGS = ("utf-8", "MS949", "EUC-KR")
@@ -48,16 +49,67 @@ def headers(spark: SparkSession, path) -> dict[str, list[str]]:
     return groups
 
 
+def quoted_records(spark: SparkSession, path) -> DataFrame:
+    """(file, record): the CSV records of UTF-8 files whose quoted fields may hold newlines, headers left out.
+
+    Large files stay split. A line starts a record if an even number of quotes precedes it in its
+    file: each block of lines counts its quotes, a prefix sum over the blocks (a row per block)
+    tells whether a block starts inside quotes, and a window inside the block does the rest. Lines
+    that are whole records pass; only those of records over several lines are brought together.
+    Quotes stand around fields and doubled inside them (RFC 4180), nowhere else; an unclosed quote
+    makes one record of the rest of its file, as it does for any reader.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = lines.withColumn("quotes", F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'))))
+    upto = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = lines.withColumn("before", F.coalesce(F.sum("quotes").over(upto), F.lit(0)))
+    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("q"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opened = blocks.select("file", "block", F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("carried"))
+    marked = inside.join(opened, ["file", "block"]).withColumn("starts", (F.col("before") + F.col("carried")) % 2 == 0)
+    whole = marked.where(F.col("starts") & (F.col("quotes") % 2 == 0)).select("file", "block", "at", F.col("value").alias("record"))
+    # the other lines belong to the last start before them, in this block or an earlier one
+    torn = marked.where(~F.col("starts") | (F.col("quotes") % 2 == 1))
+    own = F.when(F.col("starts"), F.struct("block", "at"))
+    held = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    torn = torn.withColumn("own", F.last(own, ignorenulls=True).over(held))
+    last = torn.groupBy("file", "block").agg(F.max(own).alias("own_last"))
+    before = last.select("file", "block", F.last("own_last", ignorenulls=True).over(earlier).alias("left"))
+    keyed = torn.join(before, ["file", "block"]).withColumn("key", F.coalesce("own", "left"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
+    joined = keyed.groupBy("file", "key").agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("record"))
+    records = whole.unionByName(joined.select("file", F.col("key.block").alias("block"), F.col("key.at").alias("at"), "record"))
+    first = lines.groupBy("file").agg(F.min(F.struct("block", "at")).alias("first"))
+    body = records.join(first, "file").where(F.struct("block", "at") != F.col("first")).select("file", F.rtrim("record", F.lit("\r")).alias("record"))
+    return body.where("record <> ''")
+
+
+def _read_quoted(spark: SparkSession, found: list[str], header: str) -> DataFrame:
+    """The records of files that share a header, as text columns."""
+    names = spark.createDataFrame([(header.rstrip("\r"),)], "h string")
+    sample = names.select(F.schema_of_csv(F.lit(header.rstrip("\r")), {"quote": '"', "escape": '"'})).first()[0]
+    width = len(StructType.fromDDL(sample.removeprefix("STRUCT<").removesuffix(">")))
+    cells = F.from_csv("record", ", ".join(f"c{i} string" for i in range(width)), {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
+    title = names.select(F.from_csv("h", ", ".join(f"c{i} string" for i in range(width)), {"quote": '"', "escape": '"'}).alias("c")).select("c.*").first()
+    rows = quoted_records(spark, found).select(cells.alias("c")).select("c.*")
+    return rows.toDF(*[t if t is not None else f"_c{i}" for i, t in enumerate(title)])
+
+
 def read_csv_allowlist(spark: SparkSession, path, required, optional=(), multiline: bool = True, **options) -> DataFrame:
     """Text columns named in the allow-list; a missing required column is an error.
 
     Columns are matched by name in every file: files are grouped by their header line, each group is
-    read with its own header, and the groups are united by name. Quoted newlines are kept; set
-    ``multiline`` to False for exports without them, so that large files are split.
+    read with its own header, and the groups are united by name. Quoted newlines are kept, and large
+    UTF-8 files are split all the same (``quoted_records``); files in another encoding, or read with
+    options of Spark's reader, are one task each unless ``multiline`` is False.
     """
     out = None
-    for _, found in sorted(headers(spark, path).items()):
-        df = spark.read.options(header=True, multiLine=multiline, quote='"', escape='"', **options).csv(found)
+    for header, found in sorted(headers(spark, path).items()):
+        if multiline and not options:
+            df = _read_quoted(spark, found, header)
+        else:
+            df = spark.read.options(header=True, multiLine=multiline, quote='"', escape='"', **options).csv(found)
         clean = {c.lstrip("\ufeff"): c for c in df.columns}
         absent = [c for c in required if c not in clean]
         if absent:
@@ -123,7 +175,8 @@ def read_by_stem(spark: SparkSession, base: str, stem: str, required=(), optiona
     out = None
     for header, paths in sorted(headers(spark, found).items()):
         df = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(paths)
-        keep = [c for c in df.columns if not required or c in [*required, *optional]]
+        clean = {c.lstrip("\ufeff"): c for c in df.columns}
+        keep = [F.col(f"`{old}`").alias(c) for c, old in clean.items() if not required or c in [*required, *optional]]
         part = df.select(name.alias("source_name"), *keep)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
