@@ -202,18 +202,27 @@ def fingerprint_files(spark: SparkSession, path, block: int = 4 << 20) -> DataFr
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Written under a temporary name and renamed when the whole job has succeeded; an old table stays until then."""
+    """Written under a temporary name and renamed when the whole job has succeeded.
+
+    An old table is moved aside for the rename and put back if it fails; it is deleted last.
+    """
     spark = df.sparkSession
     temporary = f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}.tmp"
     writer = df.write
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(temporary)
-    delete(spark, path)
-    jvm = spark._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(temporary), jvm.org.apache.hadoop.fs.Path(path)
-    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+    source, target, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (temporary, path, f"{temporary}.old"))
+    fs = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.exists(target)
+    if held and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(source, target):
+        if held:
+            fs.rename(aside, target)
         raise OSError(f"could not publish {path}")
+    if held:
+        fs.delete(aside, True)
 
 
 def cached_table(spark: SparkSession, root: str, key: str, build) -> DataFrame:

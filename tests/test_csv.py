@@ -43,3 +43,14 @@ def test_byte_order_mark_and_header_only(spark, tmp_path):
     (tmp_path / "b.csv").write_text("id,v\n", encoding="utf-8")
     assert [tuple(r) for r in files.read_csv_allowlist(spark, str(tmp_path), ["id", "v"]).collect()] == [("1", "2")]
     assert files.read_by_stem(spark, str(tmp_path), "a", ["id"], ["v"]).columns == ["source_name", "id", "v"]
+
+
+def test_an_old_table_is_replaced_and_survives_a_failed_job(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in (3, 5):
+        files.write_table(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    with pytest.raises(Exception):
+        files.write_table(spark.range(2).selectExpr("raise_error('no') as x"), path)
+    assert spark.read.parquet(path).count() == 5
+    assert [p.name for p in tmp_path.iterdir() if p.name.endswith(".old")] == []
