@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from diurna.operators.neighbours import nearest
 from diurna.operators.ranking import one_row
-from diurna.operators.screen import anova_f
+from diurna.operators.screen import anova_f, best_k
 from diurna.sources.carriers import stack_columns
 
 
@@ -88,6 +88,15 @@ def gaussian_nb(train: DataFrame, test: DataFrame, columns, label: str, classes,
     return d.withColumns({f"p{k}": F.exp(F.col(f"_l{k}") - top_l) / norm for k in classes}).drop(*[f"_l{k}" for k in classes])
 
 
+def selected_nb(train: DataFrame, test: DataFrame, columns, label: str, classes, k: int, min_variance: float = 1e-10) -> DataFrame:
+    """Gaussian naive Bayes on the ``k`` columns of largest ANOVA F among those that vary in the train rows."""
+    spread = train.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
+    varying = [c for c in columns if spread[c] is not None and spread[c] > min_variance]
+    scores = anova_f(stack_columns(train, [label], varying, "feature"), [], "feature", label, "value")
+    chosen = {r.feature for r in best_k(scores, [], "feature", "f_value", k).collect()}  # k names
+    return gaussian_nb(train, test, [c for c in columns if c in chosen], label, classes)
+
+
 def lda(train: DataFrame, test: DataFrame, columns, label: str, shrinkage: float = 0.1) -> DataFrame:
     """Linear discriminant with shrinkage: Spark sums, then a p x p solve on the driver."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]

@@ -36,9 +36,11 @@ def sequence_like(df: DataFrame, columns, threshold: float = 0.05) -> DataFrame:
     return column_facts(df, columns, {"share": share}).withColumn("is_sequence", F.col("share") > threshold)
 
 
-def numeric_columns(df: DataFrame, columns, min_share: float = 0.5) -> DataFrame:
-    share = lambda c: F.avg(to_number(c.cast("string")).isNotNull().cast("double"))
-    return column_facts(df, columns, {"share": share}).withColumn("keep", F.col("share") >= min_share)
+def numeric_columns(df: DataFrame, columns, min_share: float = 0.5, few_share: float = 0.01, few: int = 5) -> DataFrame:
+    """``keep``: at least ``min_share`` of the rows are numbers; ``keep_few``: at least ``few`` rows and ``few_share`` of them, rounded up, are."""
+    known = lambda c: to_number(c.cast("string")).isNotNull()
+    facts = column_facts(df, columns, {"share": lambda c: F.avg(known(c).cast("double")), "n_numeric": lambda c: F.sum(known(c).cast("bigint")), "n_rows": lambda c: F.count(F.lit(1))})
+    return facts.withColumns({"keep": F.col("share") >= min_share, "keep_few": F.col("n_numeric") >= F.greatest(F.lit(few), F.ceil(F.col("n_rows") * F.lit(few_share)))})
 
 
 def varying_columns(df: DataFrame, columns) -> DataFrame:

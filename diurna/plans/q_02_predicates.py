@@ -31,9 +31,10 @@ def _(t):
     return P.sequence_like(t.raw_days, ["txt", "subject_id", "codes_txt"])
 
 
-@query("select_numeric_columns", s="name", i="keep", f="share", sql=" UNION ALL ".join(
+@query("select_numeric_columns", s="name", i="keep keep_few n_numeric", f="share", sql=" UNION ALL ".join(
     f"SELECT '{c}' AS name, avg(CASE WHEN isfinite(TRY_CAST(trim({c}) AS DOUBLE)) THEN 1.0::DOUBLE ELSE 0.0 END) AS share, "
-    f"avg(CASE WHEN isfinite(TRY_CAST(trim({c}) AS DOUBLE)) THEN 1.0::DOUBLE ELSE 0.0 END) >= 0.5 AS keep FROM c_raw"
+    f"avg(CASE WHEN isfinite(TRY_CAST(trim({c}) AS DOUBLE)) THEN 1.0::DOUBLE ELSE 0.0 END) >= 0.5 AS keep, count(*) FILTER (WHERE isfinite(TRY_CAST(trim({c}) AS DOUBLE))) AS n_numeric, "
+    f"count(*) FILTER (WHERE isfinite(TRY_CAST(trim({c}) AS DOUBLE))) >= greatest(5, ceil(0.01 * count(*))) AS keep_few FROM c_raw"
     for c in ("subject_id", "txt", "codes_txt")))
 def _(t):
     return P.numeric_columns(t.raw_days, ["subject_id", "txt", "codes_txt"])

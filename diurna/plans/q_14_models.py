@@ -12,6 +12,7 @@ from diurna.plans.q_11_prep import CLIPPED, FILL, each, row
 from diurna.operators.inference import DRAWS
 from diurna.operators.isotonic import isotonic
 from diurna.plans.q_12_splits import weight_sql
+from diurna.plans.q_13_screen import f_sql
 from diurna.plans.q_15_metrics import auc_sql, cells_sql, pts
 from diurna.plans.registry import query
 from diurna.sources.carriers import FEATURES
@@ -61,10 +62,25 @@ def nb_sql() -> str:
       SELECT vec_id, max(x) FILTER (WHERE k = 0) / sum(x) AS p0, max(x) FILTER (WHERE k = 1) / sum(x) AS p1, max(x) FILTER (WHERE k = 2) / sum(x) AS p2 FROM s GROUP BY 1"""
 
 
-@query("fit_naive_bayes", i="vec_id", f="p0 p1 p2", sql=nb_sql())
+BEST = 8
+
+
+def best_nb_sql() -> str:
+    train = "(SELECT * FROM c_vl WHERE fold <> 0)"
+    return f"""WITH ff AS ({f_sql(train)}), sel AS (SELECT ff.feature FROM ff JOIN (SELECT feature FROM {train} GROUP BY 1 HAVING var_pop(value) > 1e-10) v ON v.feature = ff.feature ORDER BY f_value DESC, ff.feature LIMIT {BEST}),
+      m AS (SELECT feature, y3, avg(value) AS m, var_pop(value) AS v FROM {train} WHERE feature IN (SELECT feature FROM sel) GROUP BY 1, 2),
+      e AS (SELECT 1e-9 * max(v) AS eps FROM (SELECT var_pop(value) AS v FROM {train} WHERE feature IN (SELECT feature FROM sel) GROUP BY feature)),
+      pr AS (SELECT y3, ln(count(*) / (SELECT count(*) FROM c_vec WHERE fold <> 0)::DOUBLE) AS lp FROM c_vec WHERE fold <> 0 GROUP BY 1),
+      l AS (SELECT t.vec_id, m.y3 AS k, max(lp) - sum(0.5 * (ln(2 * pi() * (v + eps)) + pow(t.value - m, 2) / (v + eps))) AS l FROM c_vl t JOIN m ON m.feature = t.feature JOIN pr ON pr.y3 = m.y3, e WHERE t.fold = 0 GROUP BY 1, 2),
+      s AS (SELECT *, exp(l - max(l) OVER (PARTITION BY vec_id)) AS x FROM l)
+      SELECT vec_id, max(x) FILTER (WHERE k = 0) / sum(x) AS p0, max(x) FILTER (WHERE k = 1) / sum(x) AS p1, max(x) FILTER (WHERE k = 2) / sum(x) AS p2 FROM s GROUP BY 1"""
+
+
+@query("fit_naive_bayes", s="variant", i="vec_id", f="p0 p1 p2", sql=f"SELECT 'all' AS variant, * FROM ({nb_sql()}) UNION ALL SELECT 'k_best', * FROM ({best_nb_sql()})")
 def _(t):
     tr, te = sides(t)
-    return L.gaussian_nb(tr, te, XS, "y3", [0, 1, 2])
+    every, best = L.gaussian_nb(tr, te, XS, "y3", [0, 1, 2]), L.selected_nb(tr, te, XS, "y3", [0, 1, 2], BEST)
+    return every.withColumn("variant", F.lit("all")).unionByName(best.withColumn("variant", F.lit("k_best")))
 
 
 @query("fit_lda_closed_form", i="vec_id", f="score")

@@ -306,12 +306,19 @@ def _(t):
     return I.welch(t.vector_long, ["feature"], "y", "value").withColumn("p", I.two_sided_t_p("t", "df"))
 
 
-ONE_T = """SELECT feature, r AS reference_mean, n, m AS mean, s AS sd, (m - r) / (s / sqrt(n)) AS t, n - 1.0::DOUBLE AS df FROM (SELECT feature, avg(value) FILTER (WHERE y = 0) AS r, count(value) FILTER (WHERE y = 1) AS n, avg(value) FILTER (WHERE y = 1) AS m, stddev_samp(value) FILTER (WHERE y = 1) AS s FROM c_vl GROUP BY 1)"""
+def one_t(src: str) -> str:
+    return f"""SELECT feature, r AS reference_mean, n, m AS mean, s AS sd, (m - r) / (s / sqrt(n)) AS t, n - 1.0::DOUBLE AS df FROM (SELECT feature, avg(value) FILTER (WHERE y = 0) AS r, count(value) FILTER (WHERE y = 1) AS n, avg(value) FILTER (WHERE y = 1) AS m, stddev_samp(value) FILTER (WHERE y = 1) AS s FROM {src} GROUP BY 1)"""
 
 
-@query("one_sample_t", s="feature", i="n", f="reference_mean mean sd t p p_greater", sql=f"SELECT *, CASE WHEN t > 0 THEN p / 2 ELSE 1 - p / 2 END AS p_greater FROM ({t_tail(ONE_T, 'feature, reference_mean, n, mean, sd, t, df')})")
+ONE_T = f"SELECT 'rows' AS level, * FROM ({one_t('c_vl')}) UNION ALL SELECT 'subjects', * FROM ({one_t('(SELECT feature, label, y, avg(value) AS value FROM c_vl GROUP BY 1, 2, 3)')})"
+
+
+@query("one_sample_t", s="level feature", i="n", f="reference_mean mean sd t p p_greater", sql=f"SELECT *, CASE WHEN t > 0 THEN p / 2 ELSE 1 - p / 2 END AS p_greater FROM ({t_tail(ONE_T, 'level, feature, reference_mean, n, mean, sd, t, df')})")
 def _(t):
-    d = I.one_sample_t(t.vector_long, ["feature"], "value", "y", 0, 1)
+    # the label stands for the subject: y is a function of it
+    means = t.vector_long.groupBy("feature", "label", "y").agg(F.avg("value").alias("value"))
+    rows, subjects = (I.one_sample_t(d, ["feature"], "value", "y", 0, 1) for d in (t.vector_long, means))
+    d = rows.withColumn("level", F.lit("rows")).unionByName(subjects.withColumn("level", F.lit("subjects")))
     d = d.withColumn("p", I.two_sided_t_p("t", (F.col("n") - 1).cast("double")))
     return d.withColumn("p_greater", F.when(F.col("t") > 0, F.col("p") / 2).otherwise(1 - F.col("p") / 2))
 
