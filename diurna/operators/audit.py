@@ -36,16 +36,24 @@ def dataset(df: DataFrame, subject: str, date: str, row_id: str, label: str, fea
                   log(bad, "finite_features", F.col("c") == 0, F.col("c"), "warning"), log(width, "expected_columns", F.col("c") == expected_columns, F.col("c"))])
 
 
-def split(train: DataFrame, test: DataFrame, subject: str, row_id: str, date: str, fitted: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Overlap of subjects, rows and subject-days; scope of fitting and of sampling."""
+def split(train: DataFrame, test: DataFrame, subject: str, row_id: str, date: str, fitted: DataFrame, sampled: DataFrame, made: DataFrame | None = None) -> DataFrame:
+    """Overlap of subjects, rows and subject-days; scope of fitting and of sampling; provenance.
+
+    ``made`` lists synthetic train rows with their ``source_id``: each source must be a known row, and none a test row.
+    """
     def both(keys):
         return train.select(*keys).distinct().join(test.select(*keys).distinct(), list(keys), "left_semi")
 
     test_ids = test.select(subject).distinct()
+    checks = []
+    if made is not None:
+        here, there = (d.select(F.col(row_id).alias("source_id")).distinct() for d in (train, test))
+        checks = [count_is_zero(made.join(here.unionByName(there).distinct(), "source_id", "left_anti"), "provenance_complete"),
+                  count_is_zero(made.join(there, "source_id", "left_semi"), "provenance_excludes_test")]
     return union([
         count_is_zero(both([subject]), "subject_overlap"), count_is_zero(both([row_id]), "row_overlap"), count_is_zero(both([subject, date]), "subject_date_overlap"),
         count_is_zero(fitted.select(subject).distinct().join(test_ids, subject, "left_semi"), "fit_scope_excludes_test"),
-        count_is_zero(sampled.select(subject).distinct().join(test_ids, subject, "left_semi"), "sampling_scope_excludes_test")])
+        count_is_zero(sampled.select(subject).distinct().join(test_ids, subject, "left_semi"), "sampling_scope_excludes_test"), *checks])
 
 
 def temporal_order(train: DataFrame, test: DataFrame, subject: str, date: str, min_gap: int) -> DataFrame:

@@ -35,13 +35,15 @@ def inter(cols: str) -> str:
     return f"SELECT count(*) FROM (SELECT DISTINCT {cols} FROM tr INTERSECT SELECT DISTINCT {cols} FROM te)"
 
 
-@query("audit_split", **LOG, sql="WITH tr AS (SELECT * FROM c_ep WHERE ep_id % 5 <> 0), te AS (SELECT * FROM c_ep WHERE ep_id % 5 = 0) " + rows(
+@query("audit_split", **LOG, sql="WITH tr AS (SELECT * FROM c_ep WHERE ep_id % 5 <> 0), te AS (SELECT * FROM c_ep WHERE ep_id % 5 = 0), mk AS (SELECT ep_id - 1 AS source_id FROM tr WHERE ep_id % 7 = 1) " + rows(
     ("subject_overlap", inter("subject_id"), "v = 0", "critical"), ("row_overlap", inter("ep_id"), "v = 0", "critical"), ("subject_date_overlap", inter("subject_id, date"), "v = 0", "critical"),
     ("fit_scope_excludes_test", inter("subject_id"), "v = 0", "critical"),
-    ("sampling_scope_excludes_test", "SELECT count(DISTINCT subject_id) FROM tr WHERE value > 480 AND subject_id IN (SELECT subject_id FROM te)", "v = 0", "critical")))
+    ("sampling_scope_excludes_test", "SELECT count(DISTINCT subject_id) FROM tr WHERE value > 480 AND subject_id IN (SELECT subject_id FROM te)", "v = 0", "critical"),
+    ("provenance_complete", "SELECT count(*) FROM mk WHERE source_id NOT IN (SELECT ep_id FROM c_ep)", "v = 0", "critical"),
+    ("provenance_excludes_test", "SELECT count(*) FROM mk WHERE source_id IN (SELECT ep_id FROM te)", "v = 0", "critical")))
 def _(t):
     tr, te = t.episodes.where("ep_id % 5 <> 0"), t.episodes.where("ep_id % 5 = 0")
-    return A.split(tr, te, "subject_id", "ep_id", "date", tr, tr.where("value > 480"))
+    return A.split(tr, te, "subject_id", "ep_id", "date", tr, tr.where("value > 480"), tr.where("ep_id % 7 = 1").select((F.col("ep_id") - 1).alias("source_id")))
 
 
 @query("audit_temporal_order", **LOG, sql="""WITH z AS (SELECT a.subject_id, a, b FROM (SELECT subject_id, max(date) AS a FROM c_slp WHERE day(date) <= 20 GROUP BY 1) a JOIN (SELECT subject_id, min(date) AS b FROM c_slp WHERE day(date) >= 24 GROUP BY 1) b ON a.subject_id = b.subject_id) """ + rows(
