@@ -23,7 +23,8 @@ QS, SQL = QUERIES, ORACLE
 SOME = ["coalesce_convert_column", "load_labels_checked", "percentile_outlier_clip", "interval_to_minute_grid", "dedup_longest", "parse_slash_series",
         "series_dynamics", "to_local_time", "subject_mean_std", "subject_rich_stats", "sleep_regularity_index", "windows_consecutive", "reference_ecdf",
         "apply_feature_program", "winsorise", "undersample_random", "bootstrap_subject_draws", "stability_selection", "blend_weight_search", "roc_auc",
-        "threshold_tiers", "permutation_p", "wasserstein_1d", "audit_split"]
+        "threshold_tiers", "permutation_p", "wasserstein_1d", "audit_split", "bootstrap_ci", "isotonic_calibrate", "random_intercept_test", "profile_columns", "smote",
+        "fit_naive_bayes", "score_frozen_model", "column_permutation"]
 
 
 def inventory():
