@@ -42,3 +42,13 @@ def power_skew(n, s1, s2, s3) -> Column:
     m = s1 / n
     var = s2 / n - m * m
     return F.when(var > 1e-24, (s3 / n - 3 * m * s2 / n + 2 * m * m * m) / F.pow(var, F.lit(1.5)))
+
+
+def correlation(x: str, y: str) -> Column:
+    """Aggregate: Pearson correlation over complete pairs; NULL, not an error, when one side is constant.
+
+    ``F.corr`` divides inside the aggregate, before any condition around it is looked at.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

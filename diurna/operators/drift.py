@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from diurna.functions.numbers import correlation
 from diurna.operators import radix
 from diurna.operators.neighbours import nearest
 from diurna.operators.ranking import cumulate, one_row, quantiles
@@ -77,7 +78,7 @@ def pair_correlations(df: DataFrame, columns, by=(), wide_limit: int = 24) -> Da
     """
     pairs = list(combinations(columns, 2))
     if len(columns) <= wide_limit:
-        wide = df.groupBy(*by).agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        wide = df.groupBy(*by).agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
         return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
     by, names = list(by), list(columns)
     means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)]).first()  # one row, schema wide

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from diurna.functions.numbers import correlation
 from diurna.sources.files import materialise
 
 PER_RANGE, MOST = 4096, 512  # rows of a range, and ranges per group at most
@@ -197,4 +198,4 @@ def spearman(df: DataFrame, group, x: str, y: str, min_n: int = 2) -> DataFrame:
     d = row_midranks(d, group, "_x").select(*group, "_y", F.col("midrank").alias("_rx"))
     j = row_midranks(d, group, "_y").select(*group, "_rx", F.col("midrank").alias("_ry"))
     varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry")) & (F.count("*") >= min_n)
-    return j.groupBy(*group).agg(F.when(varied, F.corr("_rx", "_ry")).alias("rho"), F.count("*").alias("n"))
+    return j.groupBy(*group).agg(F.when(varied, correlation("_rx", "_ry")).alias("rho"), F.count("*").alias("n"))

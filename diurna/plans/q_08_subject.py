@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from diurna.functions import clock as C
 from diurna.functions import series as S
 from diurna.functions.hashing import hash_int
+from diurna.functions.numbers import correlation
 from diurna.operators import joins as J
 from diurna.operators import subject as U
 from diurna.operators.ranking import spearman
@@ -313,14 +314,14 @@ def _(t):
 def _(t):
     d = J.adjacent_days(t.long.withColumn("sc", F.concat_ws("|", "subject_id", "channel")), "sc", "date", "value").where("value is not null and prev is not null")
     ok = (F.count("*") >= 10) & (F.stddev_pop("prev") > 1e-12) & (F.stddev_pop("value") > 1e-12)
-    return d.groupBy(*K).agg(F.count("*").alias("n_pairs"), F.when(ok, F.corr("prev", "value")).alias("r"))
+    return d.groupBy(*K).agg(F.count("*").alias("n_pairs"), F.when(ok, correlation("prev", "value")).alias("r"))
 
 
 @query("paired_day_correlation", s="subject_id", i="n", f="r", sql="""
     SELECT a.subject_id, count(*) AS n, CASE WHEN count(*) >= 5 AND stddev_pop(act_max) > 0 AND stddev_pop(slp_max) > 0 THEN corr(act_max, slp_max) END AS r FROM c_act a JOIN c_slp s ON a.subject_id = s.subject_id AND a.date = s.date GROUP BY 1""")
 def _(t):
     ok = (F.count("*") >= 5) & (F.stddev_pop("act_max") > 0) & (F.stddev_pop("slp_max") > 0)
-    return J.join_modalities(t.activity, t.sleep).groupBy("subject_id").agg(F.count("*").alias("n"), F.when(ok, F.corr("act_max", "slp_max")).alias("r"))
+    return J.join_modalities(t.activity, t.sleep).groupBy("subject_id").agg(F.count("*").alias("n"), F.when(ok, correlation("act_max", "slp_max")).alias("r"))
 
 
 @query("crosstab_counts", i="fold c0 c1 c2", sql="""
