@@ -23,8 +23,12 @@ def one_row(df: DataFrame, row: DataFrame) -> DataFrame:
 
 
 def _attach(df: DataFrame, small: DataFrame, group: list[str]) -> DataFrame:
-    """Join per-group facts; without a group the facts are one row."""
-    return df.join(small, group) if group else df.transform(one_row, small)
+    """Left join of per-group facts; without a group the facts are one row.
+
+    The left join keeps ``df`` from being broadcast: before it has run, its size is only a guess from
+    the files. It stays one only if a filter on the facts is inside ``coalesce`` with columns of ``df``.
+    """
+    return df.join(small, group, "left") if group else df.transform(one_row, small)
 
 
 def _below(edges: Column, value: Column) -> Column:
@@ -41,7 +45,7 @@ def _edges(rows: DataFrame, group: list[str], value: str, tag: Column, per_range
     """
     size = rows.groupBy(*group).agg(F.count("*").alias("_n")).withColumn("_k", F.least(F.lit(most), F.ceil(F.col("_n") / per_range)).cast("int"))
     unit = F.pmod(tag, F.lit(2 ** 32)) / F.lit(float(2 ** 32))
-    sample = _attach(rows, size, group).where((unit * F.col("_n") < 16 * F.col("_k")) & (F.col("_k") > 1))
+    sample = _attach(rows, size, group).where(F.coalesce((unit * F.col("_n") < 16 * F.col("_k")) & (F.col("_k") > 1), F.lit(False)))
     cut = F.transform(F.sequence(F.lit(1), F.col("_k") - 1), lambda k: F.get("_s", F.floor(k * F.size("_s") / F.col("_k")).cast("int")))
     return sample.groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias("_s"), F.max("_k").alias("_k")).select(*group, cut.alias("_edges"))
 
