@@ -191,7 +191,7 @@ PCT = "(rank() OVER (PARTITION BY model, seed ORDER BY score) + (count(*) OVER (
     UNION ALL SELECT 'rank', subject_id, seed, sum(s * CASE model WHEN 'a' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END) FROM (SELECT *, {PCT} AS s FROM c_oof) GROUP BY 2, 3""")
 def _(t):
     w = {"a": 0.6, "b": 0.4}
-    raw = E.blend(t.oof, ["subject_id", "seed"], "model", "score", w).withColumn("kind", F.lit("raw"))
+    raw = E.blend(t.oof_by_subject, ["subject_id", "seed"], "model", "score", w).withColumn("kind", F.lit("raw"))
     rk = E.rank_scores(t.oof, ["model", "seed"], "score")
     return raw.unionByName(E.blend(rk, ["subject_id", "seed"], "model", "rank_score", w).withColumn("kind", F.lit("rank")))
 
@@ -205,7 +205,7 @@ CV = ", ".join(f"({i}, '{k}', {w['a']!r}::DOUBLE, {w['b']!r}::DOUBLE)" for i, (k
     x AS (SELECT seed, wid, candidate, wa * wa + wb * wb AS concentration, y, round(a * wa + b * wb, 9) AS score FROM s, w), r AS ({auc_sql('x', 'seed, wid, candidate, concentration')})
     SELECT seed, wid, candidate, concentration, auc, row_number() OVER (PARTITION BY seed ORDER BY round(auc, 12) DESC, round(concentration, 12), wid) = 1 AS chosen FROM r""")
 def _(t):
-    return E.weight_search(t.oof, ["subject_id"], "model", "score", "y", CAND, ["seed"])
+    return E.weight_search(t.oof_by_subject, ["subject_id"], "model", "score", "y", CAND, ["seed"])
 
 
 @query("blend_gated", s="model mode", i="seed", f="auc weight", sql=f"""
@@ -220,7 +220,7 @@ WIDE = "(SELECT subject_id, y, y3, seed, max(score) FILTER (WHERE model = 'a') A
 
 
 def wide(t):
-    return t.oof.groupBy("subject_id", "y", "y3", "seed").pivot("model", ["a", "b"]).agg(F.max("score")).withColumnsRenamed({"a": "d", "b": "q"})
+    return t.oof_by_subject.groupBy("subject_id", "y", "y3", "seed").pivot("model", ["a", "b"]).agg(F.max("score")).withColumnsRenamed({"a": "d", "b": "q"})
 
 
 @query("hierarchical_combine", s="subject_id", i="seed", f="p0 p1 p2", sql=f"""
@@ -246,7 +246,7 @@ def _(t):
     hard = M.confusion(w, ["seed"], "y", (F.col("d") >= 0.409) & (F.col("q") >= 0.48)).withColumn("method", F.lit("hard"))
     s = w.withColumn("score", F.round(0.6 * F.col("d") + 0.4 * F.col("q"), 9))
     th = M.youden(M.roc_points(s, ["seed"], "score", "y"), ["seed"]).select("seed", "threshold")
-    return hard.unionByName(M.confusion(s.join(th, "seed"), ["seed"], "y", F.col("score") >= F.col("threshold")).withColumn("method", F.lit("soft")))
+    return hard.unionByName(M.confusion(s.join(F.broadcast(th), "seed"), ["seed"], "y", F.col("score") >= F.col("threshold")).withColumn("method", F.lit("soft")))
 
 
 @query("temperature_scale", s="subject_id", f="p0 p1 p2", sql="""

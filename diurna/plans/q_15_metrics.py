@@ -124,12 +124,12 @@ def _(t):
 @query("aggregate_repeated_oof", s="model subject_id", i="n complete", f="mean_score vote_rate sd_score", sql="""
     SELECT model, subject_id, count(*) AS n, count(*) = 3 AS complete, avg(score) AS mean_score, avg((score >= 0.45)::INT) AS vote_rate, stddev_samp(score) AS sd_score FROM c_oof GROUP BY 1, 2""")
 def _(t):
-    return M.repeated_oof(t.oof, ["model", "subject_id"], "score", 0.45, 3)
+    return M.repeated_oof(t.oof_by_subject, ["model", "subject_id"], "score", 0.45, 3)
 
 
 @query("oof_pivot", s="model subject_id", f="s0 s1 s2", sql="SELECT model, subject_id, max(score) FILTER (WHERE seed = 0) AS s0, max(score) FILTER (WHERE seed = 1) AS s1, max(score) FILTER (WHERE seed = 2) AS s2 FROM c_oof GROUP BY 1, 2")
 def _(t):
-    p = t.oof.groupBy("model", "subject_id").pivot("seed", [0, 1, 2]).agg(F.max("score"))
+    p = t.oof_by_subject.groupBy("model", "subject_id").pivot("seed", [0, 1, 2]).agg(F.max("score"))
     return p.withColumnsRenamed({str(k): f"s{k}" for k in range(3)})
 
 

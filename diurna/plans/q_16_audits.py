@@ -81,7 +81,7 @@ def _(t):
 
 @query("prediction_coverage", s="subject_id model", i="n", sql="SELECT subject_id, model, count(*) AS n FROM c_oof WHERE NOT (seed = 2 AND fold = 3) GROUP BY 1, 2 HAVING count(*) <> 3")
 def _(t):
-    return A.coverage(t.oof.where("not (seed = 2 and fold = 3)"), "subject_id", ["model"], 3)
+    return A.coverage(t.oof_by_subject.where("not (seed = 2 and fold = 3)"), "subject_id", ["model"], 3)
 
 
 FROZEN = ("subject_id", "model", "seed", "score")

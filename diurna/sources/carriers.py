@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from diurna.functions.hashing import hash_int
 
 CHANNELS = ("v_max", "click_v", "purchase_v")
+PER_TASK = 50_000  # subjects that one task groups
 DIM = 64  # width of the vectors in the table
 FEATURES = tuple(f"x{k}" for k in range(1, DIM + 1))
 
@@ -160,9 +161,21 @@ class Tables:
     @cached_property
     def oof(self) -> DataFrame:
         """Out-of-fold scores: two models, three seeds, with ties."""
+        return self._scores(self.customers)
+
+    @cached_property
+    def oof_by_subject(self) -> DataFrame:
+        """The rows of ``oof`` for groupings by subject: dealt by subject, at most about PER_TASK subjects in a task.
+
+        A table file is often one task; without this its hash tables hold every subject.
+        """
+        n = -(-max(1, self.table("customer").count()) // PER_TASK)
+        return self._scores(self.customers.repartition(n, "subject_id"))
+
+    def _scores(self, customers: DataFrame) -> DataFrame:
         seeds = F.explode(F.array(*[F.lit(i) for i in range(3)]))
         models = F.explode(F.array(F.lit("a"), F.lit("b")))
-        df = self.customers.withColumn("seed", seeds).withColumn("model", models)
+        df = customers.withColumn("seed", seeds).withColumn("model", models)
         a = hash_int("a", F.col("seed"), F.col("subject_id")) % 700 + 100 * F.col("y3")
         b = hash_int("b", F.col("seed"), F.col("subject_id")) % 800 + 60 * F.col("y3")
         return df.withColumn("score", F.when(F.col("model") == "a", a).otherwise(b) / F.lit(1000.0))
