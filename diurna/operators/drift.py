@@ -13,6 +13,7 @@ from diurna.functions.numbers import correlation
 from diurna.operators import radix
 from diurna.operators.neighbours import nearest
 from diurna.operators.ranking import cumulate, one_row, quantiles
+from diurna.sources.files import materialise
 
 
 def _cdf(long: DataFrame, feature: str, value: str, side: str, ranked: bool = False) -> DataFrame:
@@ -130,6 +131,7 @@ def memorisation(synthetic: DataFrame, train: DataFrame, holdout: DataFrame, col
     near = eps * len(columns) ** 0.5
     parts = {"train": nearest_distance(synthetic, train, columns, row_id), "holdout": nearest_distance(synthetic, holdout, columns, row_id),
              "real": nearest_distance(train, train, columns, row_id, skip_self=True)}
+    parts = {k: materialise(d.select("distance"), "distances") for k, d in parts.items()}  # each read several times below
     long = None
     for k, d in parts.items():
         d = d.select(F.lit(k).alias("pair"), "distance")
