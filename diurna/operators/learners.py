@@ -22,7 +22,6 @@ from diurna.operators.neighbours import nearest
 from diurna.operators.ranking import one_row
 from diurna.operators.screen import anova_f, best_k
 from diurna.sources.carriers import stack_columns
-from diurna.sources.files import materialise
 
 
 def assemble(df: DataFrame, columns, out: str = "features") -> DataFrame:
@@ -64,7 +63,6 @@ def fit_probabilities(name: str, train: DataFrame, test: DataFrame, columns, lab
 
 
 def auc(scored: DataFrame, label: str) -> float:
-    scored = materialise(scored.select("score", F.col(label)), "scores")  # the evaluator reads them several times
     return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol=label, numBins=0).evaluate(scored.withColumn(label, F.col(label).cast("double")))
 
 
@@ -203,7 +201,6 @@ def by_importance(df: DataFrame, columns, label: str) -> list[str]:
 def forward_path(df: DataFrame, columns, label: str, fold: str, folds, learner: str = "logistic") -> DataFrame:
     """Cross-validated AUC of the k most important features for each k."""
     order = by_importance(df, columns, label)
-    df = materialise(df.select(label, fold, *columns), "rows")  # by column: a fit of k columns reads no others
     rows = [(k, order[k - 1], auc(oof(df, order[:k], label, fold, folds, learner), label)) for k in range(1, len(order) + 1)]
     best = max(r[2] for r in rows)
     return df.sparkSession.createDataFrame([(*r, int(r[2] == best)) for r in rows], "k int, feature string, auc double, best int")
