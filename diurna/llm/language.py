@@ -133,6 +133,7 @@ def identify(df: DataFrame, model: Model, id_col="doc_id", text_col="text", keep
     with equal scores the first by name is named. An empty table gives an empty result.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by max_words and max_grams
+    place = df.columns.index(text_col) if keep else 1
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -140,7 +141,7 @@ def identify(df: DataFrame, model: Model, id_col="doc_id", text_col="text", keep
         vectors = np.empty((1024, len(m.langs)))
         for b in batches:
             langs, scores = [], []
-            for t in b.column(b.num_columns - 1):
+            for t in b.column(place):
                 text = t.as_py()
                 if text is None or not m.langs or not any(map(str.isalpha, text)):
                     langs.append("und")
@@ -157,11 +158,11 @@ def identify(df: DataFrame, model: Model, id_col="doc_id", text_col="text", keep
                 lang, s = score(m, words, vectors[np.fromiter(map(cache.__getitem__, words), np.int64, len(words))]) if words else ("und", 0.0)
                 langs.append(lang)
                 scores.append(s)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            kept = b.num_columns if keep else 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names[:kept], "lang_pred", "score"])
 
     if keep:
-        flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-        rows = flat.withColumn("the_text", F.col(f"c{df.columns.index(text_col)}"))
+        rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # the text goes to Python once
         fields = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(df.dtypes))
     else:
         rows = pick(df, doc_id=id_col, the_text=text_col)

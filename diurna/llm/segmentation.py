@@ -38,8 +38,8 @@ class Lattices:
         self.nodes = self.arcs = 0
         self.first = np.empty(0, np.int64)  # of a node, its first arc
         self.limit = np.empty(0, np.uint32)  # of an arc, the upper bound of its share; the last one's is the largest number
-        self.start = np.empty(0, np.int64)
-        self.piece = np.empty(0, np.int32)
+        self.back = np.empty(0, np.min_scalar_type(int(np.diff(self.v.starts).max(initial=1))))  # bytes from its end to its start
+        self.piece = np.empty(0, np.min_scalar_type(len(self.v.content)))
 
     def _grow(self, name: str, used: int, new: np.ndarray) -> None:
         """Append to an array that doubles when it is full, so that it is not copied for every batch."""
@@ -50,7 +50,7 @@ class Lattices:
         held[used:used + len(new)] = new
 
     def add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
-        """Pre-tokens not seen before; each position of their bytes, and the place before them, is a node."""
+        """Pre-tokens not seen before, by rising key; each position of their bytes, and the place before them, is a node."""
         flat, limits = gather(data, starts, ends)
         size = np.diff(limits)
         base = limits[:-1] + np.arange(len(size))  # a pre-token of n bytes has n + 1 nodes
@@ -85,12 +85,11 @@ class Lattices:
         bound[last] = (1 << 32) - 1
         self._grow("first", self.nodes, np.searchsorted(end_node, np.arange(len(flat) + len(size))) + self.arcs)
         self._grow("limit", self.arcs, bound.astype(np.uint32))
-        self._grow("start", self.arcs, start_node + self.nodes)
-        self._grow("piece", self.arcs, piece.astype(np.int32))
+        self._grow("back", self.arcs, end_node - start_node)
+        self._grow("piece", self.arcs, piece)
         self.arcs += len(end_node)
-        keys, node = np.concatenate([self.keys, keys]), np.concatenate([self.node, base + self.nodes])
-        order = np.argsort(keys)
-        self.keys, self.node = keys[order], node[order]
+        at = np.searchsorted(self.keys, keys)  # the new keys are sorted, too
+        self.keys, self.node = np.insert(self.keys, at, keys), np.insert(self.node, at, base + self.nodes)
         self.nodes += len(flat) + len(size)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
@@ -110,7 +109,7 @@ class Lattices:
                 arc[on] += 1
                 on = on[self.limit[arc[on]] <= r[on]]
             taken.append((who, self.piece[arc]))
-            now[who] = self.start[arc]
+            now[who] -= self.back[arc]
             count[who] += 1
             who = who[now[who] > node[who]]
             step += 1

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20  # bytes of text hashed at a time; a longer document is one chunk
+CHUNK = 1 << 18  # bytes of text hashed at a time (a worker holds some 100 times that); a longer document is one chunk
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15
