@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diurna.llm.frames import SPACES, documents, pick, stored, text_or_empty
+from diurna.llm.frames import SPACES, documents, in_batches, pick, stored, text_or_empty
 from diurna.llm.registry import llm_query
 from diurna.llm.words import mix
 
@@ -144,7 +144,7 @@ def screen(entries: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     asked = entries.select((_short() % buckets).alias("bucket"), _short().alias("key"), "sha", F.lit(None).cast("binary").alias("filter"))
     given = filters.select("bucket", F.lit(0).cast("bigint").alias("key"), F.lit(None).cast("string").alias("sha"), "filter")
     met = given.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", F.col("filter").isNull())
-    return met.mapInArrow(probe, "sha string, maybe boolean").where("sha is not null")
+    return in_batches(met, probe, "sha string, maybe boolean").where("sha is not null")
 
 
 def dedup(df: DataFrame, incoming, id_col="doc_id", text_col="text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from diurna.sources.files import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH = 1 << 20  # bytes of an Arrow batch; a longer row is one batch
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -27,6 +31,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, name)
 
 
+def in_batches(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of about BATCH bytes instead of 10,000 rows of any length.
+
+    The executor and its worker each hold a batch several times over, outside the heap, and keep that
+    memory. The setting is the session's, as plans read it when they run; one made before is left alone.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_KEY, None) is None:
+        conf.set(BATCH_KEY, str(BATCH))
+    return rows.mapInArrow(run, schema)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.llm import words as W
-from diurna.llm.frames import documents, pick, sketch, stored
+from diurna.llm.frames import documents, in_batches, pick, sketch, stored
 from diurna.llm.graph import components
 from diurna.llm.registry import llm_query
 
@@ -79,7 +79,7 @@ def _profile(rows: DataFrame, size: int) -> DataFrame:
                 part = b.slice(c.lo, c.hi - c.lo)
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["k"], pa.array(n), one, two], ["doc_id", "k", "n", "d1", "d2"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, k bigint, n bigint, d1 bigint, d2 bigint")
+    return in_batches(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, k bigint, n bigint, d1 bigint, d2 bigint")
 
 
 def _frequent(rows: DataFrame, total: int, size: int) -> np.ndarray:
@@ -92,7 +92,7 @@ def _frequent(rows: DataFrame, total: int, size: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([W.signed(shingles(c, size)[1])], ["token"])
 
     sample = rows.where(sketch(F.lit("shingles"), F.col("k")) < int(share * (1 << 60)))
-    common = sample.select("text").mapInArrow(run, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON)
+    common = in_batches(sample.select("text"), run, "token bigint").groupBy("token").count().where(F.col("count") >= COMMON)
     return np.sort(np.array([r.token for r in common.select("token").collect()], np.int64).view(np.uint64))
 
 
@@ -127,7 +127,7 @@ def _screened(rows: DataFrame, hot, size: int, t: Fraction) -> DataFrame:
                 free = np.flatnonzero((need == 0) & (n > 0))
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(free), pa.int64()), pa.array(ids[c.lo + free]), pa.array(np.zeros(len(free), np.int32))], ["token", "k", "need"])
 
-    sent = rows.select("k", "text").mapInArrow(run, "token bigint, k bigint, need int")
+    sent = in_batches(rows.select("k", "text"), run, "token bigint, k bigint, need int")
     # a set of need 0 has a null token, too: spread over the tasks by id
     place = F.coalesce("token", F.col("k"))
     w = Window.partitionBy(place)
@@ -151,7 +151,7 @@ def _sets(rows: DataFrame, hot, size: int) -> DataFrame:
                 n = np.bincount(row, minlength=c.hi - c.lo)
                 yield pa.RecordBatch.from_arrays([b["k"].slice(c.lo, c.hi - c.lo), pa.array(n.astype(np.int64)), *lists], ["k", "n", "tokens", "warm"])
 
-    return rows.select("k", "text").mapInArrow(run, "k bigint, n bigint, tokens array<bigint>, warm array<bigint>")
+    return in_batches(rows.select("k", "text"), run, "k bigint, n bigint, tokens array<bigint>, warm array<bigint>")
 
 
 def _missing(n: Column, t: Fraction) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diurna.llm.frames import documents, pick, sketch
+from diurna.llm.frames import documents, in_batches, pick, sketch
 from diurna.llm.registry import llm_query
 
 MAX_ROWS, MAX_WORDS, MAX_GRAMS = 20_000, 40_000, 40_000
@@ -90,8 +90,8 @@ def fit(df: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", max_ro
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
 
     schema = "lang string, word string, n bigint"
-    words = sample.select("lang", "text").mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
-    grams = words.mapInArrow(pieces, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    words = in_batches(sample.select("lang", "text"), count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
+    grams = in_batches(words, pieces, schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).persist()
     totals = {r.lang: r.n for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # one row per language
     langs = sorted(totals)
 
@@ -167,7 +167,7 @@ def identify(df: DataFrame, model: Model, id_col="doc_id", text_col="text", keep
     else:
         rows = pick(df, doc_id=id_col, the_text=text_col)
         fields = f"doc_id {rows.dtypes[0][1]}"
-    return rows.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return in_batches(rows, predict, f"{fields}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diurna.llm import words as W
-from diurna.llm.frames import documents, pick
+from diurna.llm.frames import documents, in_batches, pick
 from diurna.llm.pieces import MODEL, Texts, Vocabulary, arcs, gather, load, pretokens
 from diurna.llm.registry import llm_query
 
@@ -178,7 +178,7 @@ def encode(df: DataFrame, id_col="doc_id", text_col="text", model: str = MODEL,
                 lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(pieces), mask=pa.array(null))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], lists, pa.array(good, mask=null)], ["doc_id", "pieces", "lossless"])
 
-    return rows.select("doc_id", "text", key.alias("key")).mapInArrow(run, f"doc_id {kind}, pieces array<int>, lossless boolean")
+    return in_batches(rows.select("doc_id", "text", key.alias("key")), run, f"doc_id {kind}, pieces array<int>, lossless boolean")
 
 
 def decode(df: DataFrame, id_col="doc_id", pieces_col="pieces", model: str = MODEL) -> DataFrame:

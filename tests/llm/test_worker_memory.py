@@ -8,6 +8,7 @@ import pytest
 
 from diurna.llm import jaccard, language, segmentation
 from diurna.llm import words as W
+from diurna.llm.frames import BATCH, BATCH_KEY, in_batches
 from diurna.llm.pieces import load, pretokens
 
 
@@ -69,3 +70,43 @@ def test_texts_go_to_the_language_model_once(spark, monkeypatch):
     assert seen == [["string", "bigint", "string"]]
     got = {r[1]: (r[0], r[2], r.lang_pred) for r in out.collect()}
     assert got == {1: ("and and", "x", "en"), 2: (None, "and", "und"), 3: ("und", "and", "de")}
+
+
+@pytest.fixture
+def unset(spark):
+    old = spark.conf.get(BATCH_KEY, None)
+    spark.conf.unset(BATCH_KEY)
+    yield spark
+    spark.conf.unset(BATCH_KEY) if old is None else spark.conf.set(BATCH_KEY, old)
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(unset):
+    docs = unset.range(0, 300, 1, 1).selectExpr("id AS doc_id", "repeat('ab cd ', 8000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    found = in_batches(docs, sizes, "n bigint, size bigint").collect()
+    assert sum(r.n for r in found) == 300
+    assert max(r["size"] for r in found) < 1.2 * BATCH
+
+
+def test_operators_bound_their_batches_and_keep_every_row(unset):
+    docs = unset.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id % 30, ' next ', id % 30, ' '), 4000) AS text", "'de' AS lang")
+    rows = docs.selectExpr("doc_id AS k", "doc_id", "text")
+    model = language.Model(["de"], {"next": 0}, {}, np.array([[-1.0]]), np.empty((0, 1)))
+    made = {
+        "identify": lambda: language.identify(docs, model),
+        "encode": lambda: segmentation.encode(docs),
+        "profile": lambda: jaccard._profile(rows, jaccard.SHINGLE),
+    }
+    for name, run in made.items():
+        unset.conf.unset(BATCH_KEY)
+        out = run()
+        assert unset.conf.get(BATCH_KEY, None) == str(BATCH), name
+        got = sorted(map(str, out.collect()))
+        unset.conf.set(BATCH_KEY, str(1 << 30))  # one batch; a setting made before is left alone
+        whole = run()
+        assert unset.conf.get(BATCH_KEY) == str(1 << 30)
+        assert got == sorted(map(str, whole.collect())) and len(got) == 60, name
