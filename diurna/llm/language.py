@@ -71,13 +71,19 @@ def fit(df: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", max_ro
     sample = rows.where(sketch(F.lit("fit"), F.col("doc_id")) < int(share * (1 << 60))) if share < 1 else rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: dict[str, Counter] = {}
+        seen: dict[str, Counter] = {}
+
+        def counted() -> pa.RecordBatch:
+            cols = list(zip(*[(lang, w, c) for lang, cs in seen.items() for w, c in cs.items()], strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
+
+        for b in batches:  # batches are small: counts run on over them
             for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words_of(text))
-            rows = [(lang, w, c) for lang, cs in seen.items() for w, c in cs.items()]
-            cols = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
+            if sum(map(len, seen.values())) > CACHE:
+                yield counted()
+                seen.clear()
+        yield counted()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -110,3 +110,22 @@ def test_operators_bound_their_batches_and_keep_every_row(unset):
         whole = run()
         assert unset.conf.get(BATCH_KEY) == str(1 << 30)
         assert got == sorted(map(str, whole.collect())) and len(got) == 60, name
+
+
+def test_word_counts_run_on_over_batches(unset, monkeypatch):
+    docs = unset.range(0, 40, 1, 1).selectExpr("id AS doc_id", "repeat(concat('word', id % 7, ' next '), 8000) AS text", "concat('l', id % 2) AS lang")
+    whole = language.fit(docs)
+    unset.conf.set(BATCH_KEY, "1")  # a row is a batch
+    sent, frame = [], type(unset.range(0))
+    real = frame.mapInArrow
+
+    def noted(self, f, schema, *a, **k):
+        made = real(self, f, schema, *a, **k)
+        sent.append(made)
+        return made
+
+    monkeypatch.setattr(frame, "mapInArrow", noted)
+    small = language.fit(docs)
+    assert sent[0].count() == 4  # two words of two languages
+    assert (whole.langs, whole.words, whole.grams) == (small.langs, small.words, small.grams)
+    assert np.array_equal(whole.word_logs, small.word_logs) and np.array_equal(whole.gram_logs, small.gram_logs)
