@@ -4,15 +4,16 @@ Every window of ``length`` words picks the smallest hash among its ANCHOR-word s
 so two equal windows hold the same anchor at the same place. Anchors found in two documents are
 seeds; everything else is dropped at once. A seed is extended to both sides over the windows that
 picked it, but not by joining documents in pairs, which a passage in thousands of documents would
-square: the windows around seeds meet by 128 bits of hash of their whole word sequence, and a window
-repeats if its sequence also starts in a document with a smaller id. Overlapping repeated windows
-join into maximal repeats, whose words are removed. Word hashes have 64 bits (``words.hashed``); two
-words that agree in them count as one word.
+square: the windows around a seed are dealt by their anchor, one row for each run of them, and meet
+by the hash of their whole word sequence, and a window repeats if its sequence also starts in a
+document with a smaller id. Overlapping repeated windows join into maximal repeats, whose words are
+removed. Word hashes have 64 bits (``words.hashed``); two words that agree in them count as one
+word. Anchor and window together, or two hashes of the window, make 128 bits.
 
 Anchors that a bounded sample already shows in several documents count as seeds without being
-exchanged, so very frequent passages cost nothing in the seed join; windows meet by partial
-aggregation (smallest id per window) and a join that adaptive execution splits where one window is
-very frequent. Copies of a whole word sequence are resolved by one digest and only the first of
+exchanged, and the windows around them are dealt one by one. Windows that the sample shows in
+several documents are not dealt at all: the smallest id of each comes from a pass of its own and
+goes to all tasks. Copies of a whole word sequence are resolved by one digest and only the first of
 them takes part.
 """
 
@@ -24,7 +25,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from diurna.llm import words as W
@@ -71,9 +72,19 @@ def profile(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, k bigint, n_words bigint, sha string, row bigint")
 
 
-def frequent_anchors(rows: DataFrame, n: int, length: int, k: int) -> np.ndarray:
-    """Sorted anchors in COMMON or more of about SAMPLE rows drawn by hash of the id: a bounded list."""
+def second(words: np.ndarray, length: int) -> np.ndarray:
+    """Another hash of every window, independent of ``W.grams(words, length)``."""
+    return W.grams(W.mix(words ^ np.uint64(99)), length)
+
+
+def sampled(rows: DataFrame, n: int) -> DataFrame:
+    """Texts of about SAMPLE of n rows drawn by hash of the id."""
     share = min(1.0, SAMPLE / max(n, 1))
+    return stored(rows.where(sketch(F.lit("anchors"), F.col("k")) < int(share * (1 << 60))).select("text"), "sample")
+
+
+def frequent_anchors(sample: DataFrame, length: int, k: int) -> np.ndarray:
+    """Sorted anchors in COMMON or more rows of the sample: a bounded list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,11 +94,68 @@ def frequent_anchors(rows: DataFrame, n: int, length: int, k: int) -> np.ndarray
                     pairs = np.unique(np.stack([low.view(np.int64), row], 1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0])], ["anchor"])
 
-    sample = rows.where(sketch(F.lit("anchors"), F.col("k")) < int(share * (1 << 60)))
-    common = sample.select("text").mapInArrow(run, "anchor bigint").groupBy("anchor").count().where(F.col("count") >= COMMON)
+    common = sample.mapInArrow(run, "anchor bigint").groupBy("anchor").count().where(F.col("count") >= COMMON)
     return np.sort(np.array([r.anchor for r in common.select("anchor").collect()], np.int64).view(np.uint64))
 
 
+def frequent_windows(sample: DataFrame, hot: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes, by the first, of windows in COMMON or more rows of the sample; their anchors are all in ``hot``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in W.chunks(b["text"]):
+                row, first, _, low = anchors(c, length, k)
+                on = np.isin(low, hot)
+                if on.any():
+                    one, two = W.grams(c.words, length)[first[on]], second(c.words, length)[first[on]]
+                    found = np.unique(np.stack([one.view(np.int64), two.view(np.int64), row[on]], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["h1", "h2"])
+
+    if not len(hot):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    common = sample.mapInArrow(run, "h1 bigint, h2 bigint").groupBy("h1", "h2").count().where(F.col("count") >= COMMON)
+    pairs = np.array([(r.h1, r.h2) for r in common.collect()], np.int64).reshape(-1, 2).view(np.uint64)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
+
+
+def listed(ones: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted ``ones``, whether it is there) of each hash."""
+    if not len(ones):
+        return np.zeros(len(one), np.int64), np.zeros(len(one), bool)
+    place = np.minimum(np.searchsorted(ones, one), len(ones) - 1)
+    return place, ones[place] == one
+
+
+def first_ids(rows: DataFrame, ones: np.ndarray, twos: np.ndarray, length: int) -> np.ndarray:
+    """Smallest k of the rows that hold each listed window."""
+    first = np.full(len(ones), LAST)
+    if not len(ones):
+        return first
+    often = rows.sparkSession.sparkContext.broadcast((ones, twos))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, twos = often.value
+        least = np.full(len(ones), LAST)
+        for b in batches:
+            ids = b["k"].to_numpy()
+            for c in W.chunks(b["text"]):
+                row, start = c.within(length)
+                if not len(row):
+                    continue
+                place, there = listed(ones, W.grams(c.words, length)[start])
+                if there.any():
+                    row, start, place = row[there], start[there], place[there]
+                    same = second(c.words, length)[start] == twos[place]
+                    np.minimum.at(least, place[same], ids[c.lo + row[same]])
+        at = np.flatnonzero(least < LAST)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(least[at])], ["place", "k"])
+
+    for r in rows.select("k", "text").mapInArrow(run, "place bigint, k bigint").groupBy("place").agg(F.min("k").alias("k")).collect():
+        first[r.place] = r.k
+    return first
+
+
 def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGTH) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, spans (array of [first word, end) of maximal repeats).
 
@@ -104,12 +172,20 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
     copies = base.select("sha", "k", "n_words", "row").distinct().join(firsts.drop("last"), "sha").where("k > first")
     copies = stored(copies.select("k", "row", F.col("n_words") >= length), "copies").toDF("k", "row", "long")
     n = base.count()
-    hot = df.sparkSession.sparkContext.broadcast(frequent_anchors(rows, n, length, k))  # at most SAMPLE rows' anchors / COMMON
     later = base.select("sha", "k").join(firsts.drop("last"), "sha", "left").groupBy("k").agg(F.min(F.coalesce(F.col("k") > F.col("first"), F.lit(False))).alias("gone"))
     skip = stored(later.where("gone").select(F.col("k").alias("ck")), "skipped")
 
+    # ids all of whose rows are later copies take no part
+    first_rows = rows.join(skip, rows.k == skip.ck, "left_anti").select("k", "row", "text")
+    # both lists come from about SAMPLE rows and hold at most 1 / COMMON of their anchors and windows
+    share = df.sparkSession.sparkContext.broadcast
+    sample = sampled(rows, n)
+    common = frequent_anchors(sample, length, k)
+    ones, twos = frequent_windows(sample, common, length, k)
+    hot, often = share(common), share((ones, twos, first_ids(first_rows, ones, twos, length)))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct anchors of each document; a null anchor stands for 'holds a frequent one'."""
+        """Distinct anchors of each document; a warm row, with the id as anchor, stands for 'holds a frequent one'."""
         for b in batches:
             ids = b["k"].to_numpy()
             for c in W.chunks(b["text"]):
@@ -119,24 +195,27 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
                 new = np.append(True, (np.diff(row) != 0) | (low[1:] != low[:-1]))  # neighbouring windows mostly share theirs
                 row, low = row[new], low[new]
                 is_hot = np.isin(low, hot.value)
-                rest = pa.RecordBatch.from_arrays([W.signed(low[~is_hot]), pa.array(ids[c.lo + row[~is_hot]])], ["anchor", "k"])
-                yield rest
                 some = np.unique(ids[c.lo + row[is_hot]])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(some)], ["anchor", "k"])
-
-    # ids all of whose rows are later copies take no part
-    first_rows = rows.join(skip, rows.k == skip.ck, "left_anti").select("k", "row", "text")
-    asked = first_rows.mapInArrow(ask, "anchor bigint, k bigint")
-    cold = asked.where("anchor is not null")
-    shared = cold.groupBy("anchor").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("anchor")
-    seeds = cold.join(shared, "anchor").groupBy("k").agg(F.collect_set("anchor").alias("seeds"))
-    warm = asked.where("anchor is null").select("k", F.array().cast("array<bigint>").alias("seeds"))
-    seeds = seeds.unionByName(warm).groupBy("k").agg(F.max_by("seeds", F.size("seeds")).alias("seeds"))
+                cold = ids[c.lo + row[~is_hot]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(low[~is_hot].view(np.int64), some)), pa.array(np.append(cold, some)), pa.array(np.arange(len(cold) + len(some)) >= len(cold))],
+                    ["anchor", "k", "warm"])
+
+    # dealt once: an anchor that is not frequent is in a bounded share of the documents
+    alike = Window.partitionBy("anchor", "warm")
+    asked = first_rows.mapInArrow(ask, "anchor bigint, k bigint, warm boolean")
+    shared = asked.withColumns({"lo": F.min("k").over(alike), "hi": F.max("k").over(alike)}).where("warm or lo < hi")
+    seeds = shared.groupBy("k").agg(F.collect_set(F.when(~F.col("warm"), F.col("anchor"))).alias("seeds"))
     seeds = stored(seeds, "seeds").withColumnRenamed("k", "sk")
     held = first_rows.join(seeds, F.col("k") == F.col("sk")).select("k", "row", "text", "seeds")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Windows around seeds: 128-bit hash, id, row digest, first word."""
+        """Runs of windows around seeds: what they are dealt by, id, row digest, first word of the first window, hashes.
+
+        Cold windows are dealt by their anchor. Those around frequent anchors are dealt by one hash and
+        have another. Frequent windows are judged here: what repeats goes by the id, with null hashes.
+        """
+        ones, twos, least = often.value
         for b in batches:
             ids = b["k"].to_numpy()
             seeds_of = [np.sort(s.values.to_numpy().view(np.uint64)) if s.is_valid else np.empty(0, np.uint64) for s in b["seeds"]]
@@ -146,21 +225,38 @@ def repeats(df: DataFrame, id_col="doc_id", text_col="text", length: int = LENGT
                 if not len(row):
                     continue
                 cuts = np.searchsorted(row, np.arange(c.hi - c.lo + 1))
-                on = np.isin(low, hot.value)
+                warm = np.isin(low, hot.value)
+                on = warm.copy()
                 for i, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     on[a:z] |= np.isin(low[a:z], seeds_of[c.lo + i])
-                row, first = row[on], first[on]
-                one, two = W.grams(c.words, length)[first], W.grams(W.mix(c.words ^ np.uint64(99)), length)[first]
+                row, first, by, warm = row[on], first[on], low[on], np.flatnonzero(warm[on])
+                of = ids[c.lo + row]
+                h = W.grams(c.words, length)[first]
+                known, new = np.zeros(len(row), bool), np.ones(len(row), bool)
+                if len(warm):
+                    two = second(c.words, length)[first[warm]]
+                    place, there = listed(ones, h[warm])
+                    there[there] = twos[place[there]] == two[there]
+                    by[warm], h[warm] = h[warm], two
+                    by[warm[there]] = of[warm[there]].view(np.uint64)
+                    known[warm[there]] = True
+                    use = np.ones(len(row), bool)
+                    use[warm[there]] = of[warm[there]] > least[place[there]]
+                    row, first, by, of, h, known, new = (x[use] for x in (row, first, by, of, h, known, new))
+                if not len(row):
+                    continue
+                new[1:] = (np.diff(row) != 0) | (by[1:] != by[:-1]) | (np.diff(first) != 1)
+                start = np.flatnonzero(new)
+                hashes = pa.ListArray.from_arrays(pa.array(np.append(start, len(row)), pa.int32()), pa.array(h.view(np.int64), mask=known))
                 yield pa.RecordBatch.from_arrays(
-                    [W.signed(one), W.signed(two), pa.array(ids[c.lo + row]), pa.array(text_row[c.lo + row]), pa.array((first - c.offsets[row]).astype(np.int32))],
-                    ["h1", "h2", "k", "row", "at"])
-
-    windows = held.mapInArrow(extend, "h1 bigint, h2 bigint, k bigint, row bigint, at int")
-    earliest = windows.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
-    # written, so that the join is dealt anew and adaptive execution can split a very frequent window
-    earliest = stored(earliest, "earliest").withColumnsRenamed({"h1": "e1", "h2": "e2"})
-    hits = windows.join(earliest, (F.col("h1") == F.col("e1")) & (F.col("h2") == F.col("e2"))).where("k > first")
-    hits = hits.groupBy("k", "row").agg(F.collect_set("at").alias("at")).withColumnsRenamed({"k": "hk", "row": "hrow"})
+                    [W.signed(by[start]), pa.array(of[start]), pa.array(text_row[c.lo + row[start]]), pa.array((first - c.offsets[row])[start].astype(np.int32)), hashes],
+                    ["by", "k", "row", "at", "h"])
+
+    runs = held.mapInArrow(extend, "by bigint, k bigint, row bigint, at int, h array<bigint>").repartition("by")
+    windows = runs.select("by", "k", "row", "at", F.posexplode("h").alias("d", "h"))
+    # equal windows are dealt by the same value: this does not deal them again
+    windows = windows.withColumn("first", F.min("k").over(Window.partitionBy("by", "h"))).where("h is null or k > first")
+    hits = windows.groupBy("k", "row").agg(F.collect_set(F.col("at") + F.col("d")).alias("at")).withColumnsRenamed({"k": "hk", "row": "hrow"})
     # the row is compared after the join, whose key stays the one that the texts are already dealt by
     found = held.select("k", "row", "text").join(hits, F.col("k") == F.col("hk")).where(F.col("row").bitwiseXOR(F.col("hrow")) == 0).select("k", "text", "row", "at")
 

@@ -226,6 +226,25 @@ def test_repeats_with_frequent_anchors(spark, messy, monkeypatch):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(messy)
 
 
+def test_repeats_deal_anchors_and_windows_once(spark, monkeypatch):
+    """Every pass over the texts feeds one exchange: what was dealt for a minimum is not dealt again for a join."""
+    rnd, steps, lists = random.Random(4), {}, []
+    prose = lambda n: [f"w{rnd.randint(0, 400)}" for _ in range(n)]
+    phrase, passage, rare = "a b c d e".split(), prose(20), prose(15)
+    rows = [(i, " ".join(prose(6) + phrase + prose(9) + (passage if i % 2 else []) + (rare if i in (7, 31) else []) + prose(3)), None, None) for i in range(40)]
+    # around the frequent phrase: the same windows in two documents; one window many times; an id twice; no id
+    rows += [(i, " ".join([*rare[:9], *phrase, *rare[9:], f"x{i}"]), None, None) for i in (50, 51)]
+    rows += [(60, "z " * 40, None, None), (61, "z " * 30 + "y", None, None), (62, " ".join(["y", *passage, "u"]), None, None), (62, " ".join(["v", *passage, "t"]), None, None), (None, " ".join([*passage, "s"]), None, None)]
+    store, windows = substrings.stored, substrings.frequent_windows
+    monkeypatch.setattr(substrings, "stored", lambda df, name: steps.setdefault(name, df) and store(df, name))
+    monkeypatch.setattr(substrings, "frequent_windows", lambda *a: lists.append(windows(*a)) or lists[-1])
+    got = substrings.repeats(make(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(rows)
+    assert 8 <= len(lists[0][0]) < 30  # of the passage, not all windows
+    passes = {name: df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow ") for name, df in steps.items()}
+    assert passes["seeds"] == 1 and passes["removed"] == 2 and "earliest" not in passes  # anchors; windows and removal
+
+
 # 5 secrets
 
 
